@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, fingerprint, lines, packing, simhash
+from lodestrata.llm import chat, decontaminate, fingerprint, lines, packing, quality, simhash, suffix_tree
 from lodestrata.llm.common import durable, table
 
 
@@ -15,6 +15,22 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "host", "path", "low_p", "toxic_p", "low_host", "low_path", "toxic_host", "toxic_path", "keep")
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tree, counts = suffix_tree.train(docs.where(~suffix_tree.is_held_out(F.col("doc_id"))))
+    out = suffix_tree.score(docs, tree, counts)
+    return out.select("doc_id", suffix_tree.is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tree.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -59,7 +75,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("lines_in").cast("long").alias("lines_in"), F.coalesce(left, F.lit(0)).cast("long").alias("lines_kept"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_simhash_near_dedup, op7_document_fingerprints, op9_chat_formatting, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_benchmark_decontamination, op5_packing, op6_simhash_near_dedup, op7_document_fingerprints, op9_chat_formatting, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op9_chat_formatting": r"""
