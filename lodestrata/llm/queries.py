@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, decontaminate, fingerprint, lines, packing, quality, simhash, suffix_tree
+from lodestrata.llm import chat, decontaminate, fingerprint, html, lines, packing, quality, simhash, substrings, suffix_tree
 from lodestrata.llm.common import durable, table
 
 
@@ -31,6 +31,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -54,6 +58,12 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["length"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
@@ -75,7 +85,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("lines_in").cast("long").alias("lines_in"), F.coalesce(left, F.lit(0)).cast("long").alias("lines_kept"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_benchmark_decontamination, op5_packing, op6_simhash_near_dedup, op7_document_fingerprints, op9_chat_formatting, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_benchmark_decontamination, op4_html_extraction, op5_packing, op6_simhash_near_dedup, op7_document_fingerprints, op8_suffix_array_dedup, op9_chat_formatting, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op9_chat_formatting": r"""
