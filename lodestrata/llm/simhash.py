@@ -62,12 +62,15 @@ def widths(segments: int) -> list[int]:
 
 def lookups(fps: DataFrame, radius: int, segments: int) -> DataFrame:
     """``k, fp``: all table entries under which a fingerprint is kept or looked up."""
-    rows, at = [], 0
-    for t, width in enumerate(widths(segments)):
+    def entries(t: int, at: int, width: int) -> Column:
         masks = [sum(1 << x for x in bits) for n in range(radius // segments + 1) for bits in combinations(range(width), n)]
         own = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
-        keys = F.filter(F.transform(F.array(*map(F.lit, masks)).cast("array<long>"), lambda m, own=own: own.bitwiseXOR(m)), lambda k, own=own: k >= own)
-        rows.append(F.transform(keys, lambda k, t=t: k * segments + t))
+        keys = F.filter(F.transform(F.array(*map(F.lit, masks)).cast("array<long>"), lambda m: own.bitwiseXOR(m)), lambda k: k >= own)
+        return F.transform(keys, lambda k: k * segments + t)
+
+    rows, at = [], 0
+    for t, width in enumerate(widths(segments)):
+        rows.append(entries(t, at, width))
         at += width
     return fps.select(F.explode(F.concat(*rows)).alias("k"), "fp")
 
