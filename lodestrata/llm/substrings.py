@@ -255,8 +255,11 @@ def settled(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``d, k, spans``: for each document that loses bytes the pieces to remove, not yet merged. ``docs`` has d, k and text."""
-    known = durable(settled(docs, length, gram))
+    """``d, k, spans``: for each document that loses bytes the pieces to remove, not yet merged.
+
+    ``docs`` has doc_id, d, k and text. It is joined as it is, so that the caller's join can read the same shuffled rows.
+    """
+    known = durable(settled(docs.where(F.octet_length("text") >= length).select("d", "k", "text"), length, gram))
     asked = known.where("not settled").groupBy("d", "k").agg(F.collect_list(F.struct("v", "start", "n")).alias("asked"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,8 +290,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         if held:
             yield done()
 
-    there = docs.join(asked, ["d", "k"])
-    texts = there.mapInArrow(fetch, f"v long, {KEYS}, bytes binary").repartition(F.col("v")).sortWithinPartitions("v", "d", "k", "start")
+    texts = docs.join(asked, ["d", "k"]).mapInArrow(fetch, f"v long, {KEYS}, bytes binary").repartition(F.col("v")).sortWithinPartitions("v", "d", "k", "start")
     found = texts.mapInArrow(settle, KEYS)
     return known.where("settled").select("d", "k", "start", "n").unionByName(found).groupBy("d", "k").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
@@ -303,8 +305,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     """
     kind = dict(docs.dtypes)[doc_id]
     mine = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    mine = mine.withColumn("k", F.crc32(F.encode("text", "UTF-8")))
-    found = spans(mine.where(F.octet_length("text") >= length).select("d", "k", "text"), length, gram)
+    mine = mine.withColumn("k", F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0).cast("long")))
+    found = spans(mine, length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
@@ -328,4 +330,4 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
                     kept.append(b"".join([*rest, raw[at:]]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, whole), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    return mine.join(found, ["d", "k"], "left").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,length:long>>, kept binary")
+    return mine.join(found, ["d", "k"], "left").mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,length:long>>, kept binary")
