@@ -119,7 +119,7 @@ sc as (select q.vec_id as query_id, v.source_id, {COSINE} as score from vv q joi
 tp as (select *, row_number() over (partition by query_id order by score desc, source_id) as rank from sc where score > 0 qualify rank <= 10)"""
 
 
-@query(f"with {TOP} select query_id, source_id, round(score, 6) as score, rank from tp")
+@query(f"with {TOP} select query_id, source_id, round(score, 6) as score, cast(rank as integer) as rank from tp")
 def q17_semantic_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest knowledge vectors of every vector whose id is divisible by 100."""
     rows = views.vectors(spark, d)
@@ -134,7 +134,7 @@ def q18_semantic_suppressed(spark: SparkSession, d: str) -> DataFrame:
     return vectors.resolved(hits, views.units(spark, d)).groupBy("query_id").agg(F.count("*").alias("hits"), F.count_if(~F.col("found")).alias("suppressed"))
 
 
-@query("select count(*) as vectors, coalesce(max(len(embedding)), 0) as dimensions from embeddings")
+@query("select count(*) as vectors, cast(coalesce(max(len(embedding)), 0) as integer) as dimensions from embeddings")
 def q19_vector_stats(spark: SparkSession, d: str) -> DataFrame:
     return vectors.stats(views.vectors(spark, d))
 
@@ -154,7 +154,7 @@ def q22_alias_df_prune(spark: SparkSession, d: str) -> DataFrame:
     return linker.pruned(linker.gazetteer(views.entities(spark)), views.chunk_texts(spark, d), 0.05).select("alias", "entity_id")
 
 
-@query(f"with {sql.mentions()} select id, st as start, en as \"end\", alias, entity_id from ac")
+@query(f"with {sql.mentions()} select id, st as start, cast(en as integer) as \"end\", alias, entity_id from ac")
 def q23_spans(spark: SparkSession, d: str) -> DataFrame:
     return linker.accepted(linker.spans(views.chunk_texts(spark, d), linker.gazetteer(views.entities(spark)))).select("id", "start", "end", "alias", "entity_id")
 

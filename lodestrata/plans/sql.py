@@ -90,7 +90,7 @@ def search(r: Request) -> str:
     else:
         ctes.append("al as (select *, 'scoped' as scope from own)")
     late = f"row_number() over (partition by regexp_extract(summary, '^(.+?\\.pdf)( - page ([0-9]+))?$', 1) order by score desc, id) > {r.per_document_limit}" if r.per_document_limit else "false"
-    return f"with {', '.join(ctes)}, qt as (select *, {late} as late from al) select row_number() over (order by late, score desc, id) as pos, id, score, scope from qt order by pos limit {r.limit}"
+    return f"with {', '.join(ctes)}, qt as (select *, {late} as late from al) select cast(row_number() over (order by late, score desc, id) as integer) as pos, id, score, scope from qt order by pos limit {r.limit}"
 
 
 def _list(items: list[str]) -> str:
@@ -161,7 +161,7 @@ best as (select *, len(matched) as score from mt where len(matched) > 0 order by
 nb as (select b.id as node, e.id as edge_id, e.type, 'outgoing' as direction, e.dst as other from best b join edges e on e.src = b.id
   union all select b.id, e.id, e.type, 'incoming', e.src from best b join edges e on e.dst = b.id and e.src <> e.dst),
 ln as (select node, list_sort(list(edge_id || '|' || nb.type || '|' || direction || '|' || other || '|' || n.vs[2]))[1:3] as c from nb join nodes n on n.id = nb.other group by node)
-select best.id, 'graph:KnowledgeEntity' as type, vs[2] as summary, score, array_to_string(matched, ',') as matched, coalesce(array_to_string(c, ';'), '') as connections from best left join ln on ln.node = best.id"""
+select best.id, 'graph:KnowledgeEntity' as type, vs[2] as summary, cast(score as integer) as score, array_to_string(matched, ',') as matched, coalesce(array_to_string(c, ';'), '') as connections from best left join ln on ln.node = best.id"""
 
 
 def cosine_floor(x: float) -> float:
