@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import durable, slices
 from lodestrata.llm.tokens import PUNCTUATION, mixed, word_hashes
 
-#: Words of a seed; a seed is rare up to this share of the documents, or up to twice its item's median seed.
+#: Words of a seed; a seed is rare up to this share of the documents, or up to twice the median of its item's seeds that occur.
 SEED, RARE_SHARE = 4, 1e-5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of an item's full score.
@@ -174,6 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         good = frequency <= RARE_SHARE * total
         for k in range(len(items.ids)):
             own = items.of[items.item == k]
+            own = own[frequency[own] > 0]
             if len(own):
                 good[own] |= frequency[own] <= 2 * np.median(frequency[own])
         items.use(good)

@@ -282,6 +282,8 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:4] == held[-1][:4]:
+                    continue  # a repeated row of the table
                 if size >= MERGED and row[0] != held[-1][0]:
                     yield done()
                     held, size = [], 0
