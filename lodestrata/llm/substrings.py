@@ -11,6 +11,7 @@ intervals of the merged order; after as many rounds as a window has symbols, a b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import buffers, durable, slices
-from lodestrata.llm.tokens import STEP, _power, mixed
+from lodestrata.llm.tokens import _power, mixed
 
 #: Bytes of a window and of the short strings whose least hash deals it out.
 LENGTH, GRAM = 100, 32
-#: Stretches that a task compares among themselves before it sends them on.
-TOGETHER = 1_000_000
+#: Bytes hashed in one step, and stretches or windows that a task compares among themselves before it sends them on.
+STEP, TOGETHER = 2 << 20, 500_000
+#: A least hash with more unsettled stretches than this goes window by window, dealt out by the windows' own hashes.
+HOT, BROADCAST_HOT = 20_000, 100_000
 #: Bytes of a symbol: divides LENGTH. Symbols that are merged in one go, and shards in each.
 SYMBOL, MERGED, SHARDS = 10, 48_000, 4
 
@@ -195,7 +198,7 @@ def settled(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP):
                 raw, offsets = buffers(part.column("text"))
                 row, start, n, v, c = stretches(raw, offsets, length, gram)
                 held.append((v, np.asarray(part.column("d"))[row], np.asarray(part.column("k"))[row], start, n, c))
@@ -260,39 +263,89 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     ``docs`` has doc_id, d, k and text. It is joined as it is, so that the caller's join can read the same shuffled rows.
     """
     known = durable(settled(docs.where(F.octet_length("text") >= length).select("d", "k", "text"), length, gram))
-    asked = known.where("not settled").groupBy("d", "k").agg(F.collect_list(F.struct("v", "start", "n")).alias("asked"))
+    open_ = known.where("not settled").drop("settled")
+    hot = durable(open_.groupBy("v").agg(F.count("*").alias("times")).where(F.col("times") > HOT).select("v", F.lit(True).alias("hot")))
+    few = hot.limit(BROADCAST_HOT + 1).count() <= BROADCAST_HOT
+    open_ = open_.join(F.broadcast(hot) if few else hot, "v", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    asked = open_.groupBy("d", "k").agg(F.collect_list(F.struct("v", "start", "n", "hot")).alias("asked"))
+    names, types = ["settled", "v", "d", "k", "start", "n", "bytes"], [pa.bool_(), *[pa.int64()] * 5, pa.binary()]
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: list[tuple[bytes, int, int, int]] = []
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names=names)
+
+        def sent() -> list[tuple]:
+            """The first of each window that this task has, to be compared with other tasks'; the rest is settled."""
+            out, lead = [], None
+            for window, d, k, start in sorted(windows):
+                if lead is None or window != lead[0]:
+                    lead = (window, d, k, start)
+                    out.append((False, int.from_bytes(blake2b(window, digest_size=8).digest(), "little", signed=True), d, k, start, 1, window))
+                elif (d, k, start) != lead[1:]:
+                    out.append((True, d * 0x9E3779B1 + start & 0x7FFFFFFFFFFFFFFF, d, k, start, 1, b""))
+            windows.clear()
+            return out
+
         for batch in batches:
             for part in slices(batch, "text"):
-                d, k, text = (part.column(c).to_pylist() for c in ("d", "k", "text"))
-                rows = [(x["v"], d[i], k[i], x["start"], x["n"], raw[x["start"] : x["start"] + x["n"] + length - 1]) for i, own in enumerate(part.column("asked").to_pylist()) for raw in [text[i].encode()] for x in own]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.binary()], strict=True)], names=["v", "d", "k", "start", "n", "bytes"])
+                rows = []
+                for d, k, text, own in zip(*(part.column(c).to_pylist() for c in ("d", "k", "text", "asked")), strict=True):
+                    raw = text.encode()
+                    for x in own:
+                        if x["hot"]:
+                            windows += [(raw[i : i + length], d, k, i) for i in range(x["start"], x["start"] + x["n"])]
+                        else:
+                            rows.append((False, x["v"], d, k, x["start"], x["n"], raw[x["start"] : x["start"] + x["n"] + length - 1]))
+                yield made(rows + (sent() if len(windows) >= TOGETHER // 4 else []))
+        yield made(sent())
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        group: list[tuple] = []
         size = 0
 
-        def done() -> pa.RecordBatch:
+        def spans_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["d", "k", "start", "n"])
+
+        def done() -> list[tuple]:
             out = []
-            for (_, d, k, start, _, _), again in zip(held, repeated([x[5] for x in held], [x[4] for x in held], length), strict=True):
+            for (_, _, d, k, start, _, _), again in zip(held, repeated([x[6] for x in held], [x[5] for x in held], length), strict=True):
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], again, [False])).astype(np.int8)))
                 out += [(d, k, start + a, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["d", "k", "start", "n"])
+            return out
+
+        def closed() -> None:
+            """One window alone has nothing to equal."""
+            nonlocal size
+            if len(group) > 1 or group and group[0][5] > 1:
+                held.extend(group)
+                size += sum(len(x[6]) for x in group)
+            group.clear()
 
         for batch in batches:
+            sure: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:4] == held[-1][:4]:
+                if row[0]:
+                    sure.append(row[2:6])
+                    continue
+                if group and row[1:5] == group[-1][1:5]:
                     continue  # a repeated row of the table
-                if size >= MERGED and row[0] != held[-1][0]:
-                    yield done()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[5])
+                if group and row[1] != group[-1][1]:
+                    closed()
+                    if size >= MERGED:
+                        yield spans_of(done())
+                        held.clear()
+                        size = 0
+                group.append(row)
+            if sure:
+                yield spans_of(sure)
+        closed()
         if held:
-            yield done()
+            yield spans_of(done())
 
-    texts = docs.join(asked, ["d", "k"]).mapInArrow(fetch, f"v long, {KEYS}, bytes binary").repartition(F.col("v")).sortWithinPartitions("v", "d", "k", "start")
+    texts = docs.join(asked, ["d", "k"]).mapInArrow(fetch, f"settled boolean, v long, {KEYS}, bytes binary").repartition(F.col("v")).sortWithinPartitions("settled", "v", "d", "k", "start")
     found = texts.mapInArrow(settle, KEYS)
     return known.where("settled").select("d", "k", "start", "n").unionByName(found).groupBy("d", "k").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 

@@ -19,10 +19,12 @@ def brute(rows, length):
     return out
 
 
+@pytest.mark.parametrize("hot", [0, 3, 10**6])
 @pytest.mark.parametrize(("seed", "length", "gram"), [(1, 20, 8), (2, 100, 32), (3, 30, 30), (4, 20, 5)])
-def test_against_brute_force(spark, monkeypatch, seed, length, gram):
+def test_against_brute_force(spark, monkeypatch, seed, length, gram, hot):
     import zlib
 
+    monkeypatch.setattr(substrings, "HOT", hot)
     monkeypatch.setattr(substrings, "MERGED", 500)
     rng = random.Random(seed)
     piece = lambda k: "".join(rng.choices("abé \n", k=k))
