@@ -44,10 +44,26 @@ def normalize(text: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", text or "").casefold().split())
 
 
+def spaced(text: Column) -> Column:
+    """The search tokens of a text, each with a space before and after it: runs of letters and digits in lower case, Latin marks removed.
+
+    Two spaces stand between tokens, so that each has its own; no token: two spaces. Counts need no array.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    bare = F.when(F.length(low) == F.octet_length(low), low).otherwise(F.translate(low, ACCENTS[0], ACCENTS[1]))
+    return F.concat(F.lit("  "), F.trim(F.regexp_replace(bare, "[^\\p{L}\\p{N}\\p{Co}]+", "  ")), F.lit("  "))
+
+
+def token_count(spaced_text: Column) -> Column:
+    """How many tokens a spaced text has."""
+    empty = F.trim(spaced_text) == ""
+    return F.when(empty, 0).otherwise((F.length(spaced_text) - F.length(F.replace(spaced_text, F.lit("  "), F.lit("")))) / 2 - 1).cast("int")
+
+
 def tokens(text: Column) -> Column:
-    """Search tokens: runs of letters and digits in lower case, Latin marks removed."""
-    bare = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTS[0], ACCENTS[1])
-    return F.filter(F.split(F.regexp_replace(bare, "[^\\p{L}\\p{N}\\p{Co}]+", " "), " "), lambda t: t != "")
+    """The search tokens as an array."""
+    bare = F.trim(spaced(text))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, " +"))
 
 
 def query_tokens(text: str) -> list[str]:
@@ -99,13 +115,17 @@ def shortened_list(items: Column, most: int, item_most: int) -> Column:
     return F.transform(F.slice(F.coalesce(items, F.array().cast("array<string>")), 1, most), lambda x: shortened(x, item_most))
 
 
-def phrase_count(array: Column, phrase: Sequence[str]) -> Column:
-    """Occurrences of a phrase in an array of tokens."""
+def phrase_count(spaced_text: Column, phrase: Sequence[str]) -> Column:
+    """Occurrences of a phrase in a spaced text. A phrase that can overlap itself is counted by position."""
+    if any(list(phrase[:k]) == list(phrase[-k:]) for k in range(1, len(phrase))):
+        array = F.split(F.trim(spaced_text), " +")
 
-    def here(token: Column, i: Column) -> Column:
-        found = token == phrase[0]
-        for k, word in enumerate(phrase[1:], 1):
-            found = found & F.coalesce(F.get(array, i + k) == word, F.lit(False))
-        return found
+        def here(token: Column, i: Column) -> Column:
+            found = token == phrase[0]
+            for k, word in enumerate(phrase[1:], 1):
+                found = found & F.coalesce(F.get(array, i + k) == word, F.lit(False))
+            return found
 
-    return F.size(F.filter(array, here))
+        return F.when(F.contains(spaced_text, F.lit(f" {'  '.join(phrase)} ")), F.size(F.filter(array, here))).otherwise(0)
+    mark = f" {'  '.join(phrase)} "
+    return ((F.length(spaced_text) - F.length(F.replace(spaced_text, F.lit(mark), F.lit("")))) / len(mark)).cast("int")

@@ -49,43 +49,42 @@ class Request:
         return max(1, min(max(4 * self.limit, 32), CHANNEL_CAP))
 
 
+FIELDS = ("in_summary", "in_resolution", "in_tags", "in_refs")
+
+
 def indexed(units: DataFrame) -> DataFrame:
-    """``units`` with ``fields``: the tokens of summary, resolution, tags and source references, each list one field."""
-    joined = lambda c: text.tokens(F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), " "))
-    return units.withColumn("fields", F.array(text.tokens(F.col("summary")), text.tokens(F.col("resolution")), joined("tags"), joined("source_refs")))
+    """``units`` with the spaced tokens of summary, resolution, tags and source references, each list one field."""
+    joined = lambda c: text.spaced(F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), " "))
+    return units.withColumns(dict(zip(FIELDS, (text.spaced(F.col("summary")), text.spaced(F.col("resolution")), joined("tags"), joined("source_refs")), strict=True)))
 
 
 def indexed_cjk(units: DataFrame) -> DataFrame:
-    """``units`` with ``fields``: one field with all text, CJK characters apart."""
+    """``units`` with one field of all text, CJK characters apart."""
     whole = F.concat_ws(" ", "summary", "resolution", F.array_join("tags", " "), F.array_join("source_refs", " "))
-    return units.withColumn("fields", F.array(text.tokens(text.cjk_spaced(whole))))
+    return units.withColumn("in_all", text.spaced(text.cjk_spaced(whole)))
 
 
 def bm25(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """The units in which a phrase occurs, with ``found`` (occurrences of each phrase) and ``bm25`` (lower is better).
 
-    A phrase lies within one field. Repeated phrases count again. A term found in over half the units weighs IDF_FLOOR.
+    ``index`` has token fields, named in_...; a phrase lies within one field. Repeated phrases count again. A term found
+    in over half the units weighs IDF_FLOOR.
     """
-    counted = index.withColumn("found", F.array(*[_occurrences(p) for p in phrases]))
-    counted = counted.withColumn("length", F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f)))
+    fields = [c for c in index.columns if c.startswith("in_")]
+    total = lambda f: sum((f(F.col(c)) for c in fields[1:]), f(F.col(fields[0])))
+    counted = index.withColumns({"found": F.array(*[total(lambda c, p=p: text.phrase_count(c, p)) for p in phrases]), "length": total(text.token_count)})
     sums = counted.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"), *[F.count_if(F.col("found")[k] > 0).alias(f"n{k}") for k in range(len(phrases))]).first()
     score = F.lit(0.0)
     for k in range(len(phrases)):
         idf = max(math.log((sums.n - sums[f"n{k}"] + 0.5) / (sums[f"n{k}"] + 0.5)), IDF_FLOOR)
         tf = F.col("found")[k].cast("double")
         score = score - F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(sums.mean or 1.0)))
-    return counted.where(F.exists("found", lambda n: n > 0)).withColumn("bm25", score).drop("fields", "length")
-
+    return counted.where(F.exists("found", lambda n: n > 0)).withColumn("bm25", score).drop(*fields, "length")
 
-def _occurrences(phrase: list[str]) -> Column:
-    return F.aggregate("fields", F.lit(0), lambda n, f: n + text.phrase_count(f, phrase))
 
-
-def in_scope(request: Request, names: list[str]) -> Column:
-    """What may be returned: searchable units of the workspaces, repository and, if strict, session."""
+def in_scope(request: Request) -> Column:
+    """What may be returned at all: searchable units of the repository and, if strict, session."""
     rule = searchable()
-    if names:
-        rule = rule & scope.in_workspace(F.col("workspace_id"), names)
     if request.repo_id:
         rule = rule & F.col("repo_id").isin(request.repo_id, "")
     if request.session_scope == "strict":
@@ -93,52 +92,44 @@ def in_scope(request: Request, names: list[str]) -> Column:
     return rule
 
 
-def channel(found: DataFrame, name: str, request: Request, names: list[str]) -> DataFrame:
-    """The best units of a channel with their rank, from 1."""
-    order = [F.round("bm25", PLACES), F.desc("updated_at"), F.asc("id")]
-    best = found.where(in_scope(request, names)).orderBy(*order).limit(request.depth)
-    return best.select("id", "summary", "session_id", F.lit(name).alias("channel"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
-
-
-class Lexical:
-    """A request's phrases scored once; its channels with and without workspaces read the same scores."""
-
-    def __init__(self, units: DataFrame, request: Request) -> None:
-        self.request, self.channels = request, {}
-        phrases = [text.query_tokens(t) for t in text.terms(request.query)]
-        real = [p for p in phrases if p]
-        if real:
-            found = bm25(indexed(units), real)
-            if len(real) == len(phrases):
-                self.channels["all"] = found.where(F.forall("found", lambda n: n > 0))
-            self.channels["any"] = found
-        runs = text.cjk_runs(request.query)
-        if runs:
-            self.channels["cjk"] = bm25(indexed_cjk(units), runs).where(F.forall("found", lambda n: n > 0))
-        self.empty = units.select("id", "summary", "session_id", F.lit("").alias("channel"), F.lit(0).alias("rank")).limit(0)
-
-    def ranked(self, names: list[str]) -> DataFrame:
-        """``id, summary, channel, rank`` of all channels."""
-        rows = [channel(found, name, self.request, names) for name, found in self.channels.items()]
-        return reduce(DataFrame.unionByName, rows) if rows else self.empty
-
-    def fused(self, names: list[str]) -> DataFrame:
-        """``id, summary, score`` by reciprocal ranks and boosts, ``channels`` joined by +."""
-        weight = F.coalesce(*[F.when(F.col("channel") == k, F.lit(w)) for k, w in WEIGHTS.items()])
-        rows = self.ranked(names).groupBy("id").agg(F.first("summary").alias("summary"), F.first("session_id").alias("session_id"), F.sum(weight / (RANK_BASE + F.col("rank"))).alias("raw"))
-        bonus = F.lit(0.0)
-        page = PAGE_BOOST if self.request.page_boost is None else float(self.request.page_boost)
-        if page:
-            bonus = bonus + F.when(text.stripped(F.col("summary")).rlike(DOCUMENT), F.lit(page)).otherwise(0.0)
-        if self.request.session_id and self.request.session_scope == "prefer":
-            bonus = bonus + F.when(F.col("session_id") == self.request.session_id, F.lit(SESSION_BOOST)).otherwise(0.0)
-        return rows.select("id", "summary", F.round(F.col("raw") + bonus / (RANK_BASE + 1), 6).alias("score"))
-
-    def match_mode(self, names: list[str]) -> DataFrame:
-        """One row: the channels that found something, joined by + in the order all, any, cjk, or none."""
-        sure = self.ranked(names).agg(F.collect_set("channel").alias("c"))
-        label = F.array_join(F.filter(F.array(*map(F.lit, WEIGHTS)), lambda k: F.array_contains("c", k)), "+")
-        return sure.select(F.when(label == "", F.lit("none")).otherwise(label).alias("match_mode"))
+def ranked(units: DataFrame, request: Request) -> DataFrame:
+    """``scope, channel, rank, id, summary, session_id``: the best units of each channel, own for the workspaces and wide for all.
+
+    A unit is scored once for all channels and scopes that it is in; each task sends on at most ``depth`` units of each.
+    Without workspaces, or with the fallback off, there is no wide scope.
+    """
+    phrases = [text.query_tokens(t) for t in text.terms(request.query)]
+    real = [p for p in phrases if p]
+    runs = text.cjk_runs(request.query)
+    whole = F.forall("found", lambda n: n > 0)
+    rows = []
+    if real:
+        every = whole if len(real) == len(phrases) else F.lit(False)
+        rows.append(bm25(indexed(units), real).withColumn("channels", F.array_compact(F.array(F.when(every, F.lit("all")), F.lit("any")))))
+    if runs:
+        rows.append(bm25(indexed_cjk(units), runs).withColumn("channels", F.array_compact(F.array(F.when(whole, F.lit("cjk"))))))
+    if not rows:
+        return units.select(F.lit("").alias("scope"), F.lit("").alias("channel"), F.lit(0).alias("rank"), "id", "summary", "session_id").limit(0)
+    own = scope.in_workspace(F.col("workspace_id"), request.aliases) if request.aliases else F.lit(True)
+    wide = F.lit(bool(request.aliases and request.scope_fallback == "global"))
+    scopes = F.array_compact(F.array(F.when(own, F.lit("own")), F.when(wide, F.lit("wide"))))
+    found = reduce(DataFrame.unionByName, [r.where(in_scope(request)).select("id", "summary", "session_id", "updated_at", F.round("bm25", PLACES).alias("bm25"), F.explode("channels").alias("channel"), scopes.alias("scopes")) for r in rows])
+    found = found.select("*", F.explode("scopes").alias("scope")).drop("scopes")
+    order = Window.partitionBy("scope", "channel").orderBy("bm25", F.desc("updated_at"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= request.depth).select("scope", "channel", "rank", "id", "summary", "session_id")
+
+
+def fused(rows: DataFrame, request: Request) -> DataFrame:
+    """``id, summary, own, wide``: scores by reciprocal ranks and boosts in either scope, null where a unit isn't in it."""
+    weight = F.coalesce(*[F.when(F.col("channel") == k, F.lit(w)) for k, w in WEIGHTS.items()]) / (RANK_BASE + F.col("rank"))
+    rows = rows.groupBy("id").agg(F.first("summary").alias("summary"), F.first("session_id").alias("session_id"), *[F.sum(F.when(F.col("scope") == k, weight)).alias(k) for k in ("own", "wide")])
+    bonus = F.lit(0.0)
+    page = PAGE_BOOST if request.page_boost is None else float(request.page_boost)
+    if page:
+        bonus = bonus + F.when(text.stripped(F.col("summary")).rlike(DOCUMENT), F.lit(page)).otherwise(0.0)
+    if request.session_id and request.session_scope == "prefer":
+        bonus = bonus + F.when(F.col("session_id") == request.session_id, F.lit(SESSION_BOOST)).otherwise(0.0)
+    return rows.select("id", "summary", *[F.round(F.col(k) + bonus / (RANK_BASE + 1), 6).alias(k) for k in ("own", "wide")])
 
 
 def document_key(summary: str = "summary", unit_id: str = "id") -> Column:
@@ -161,28 +152,19 @@ def search(units: DataFrame, request: Request) -> DataFrame:
 
     Global evidence follows a workspace's own by score: own units get a boost, others join unless the fallback is off.
     """
-    engine = Lexical(units, request)
-    own = engine.fused(request.aliases).withColumn("scope", F.lit("scoped"))
-    if request.aliases and request.scope_fallback == "global":
-        own = own.withColumn("score", F.round(F.col("score") + SCOPE_BOOST / (RANK_BASE + 1), 6))
-        wider = engine.fused([]).join(own.select("id"), "id", "left_anti").withColumn("scope", F.lit("wider"))
-        own = own.unionByName(wider)
-    return with_quota(own, request.limit, request.per_document_limit).select("pos", "id", "summary", "score", "scope")
+    rows = fused(ranked(units, request), request)
+    boost = SCOPE_BOOST / (RANK_BASE + 1) if request.aliases and request.scope_fallback == "global" else 0.0
+    rows = rows.select("id", "summary", F.coalesce(F.round(F.col("own") + boost, 6), F.col("wide")).alias("score"), F.when(F.col("own").isNotNull(), "scoped").otherwise("wider").alias("scope"))
+    return with_quota(rows, request.limit, request.per_document_limit).select("pos", "id", "summary", "score", "scope")
 
 
 def scope_report(units: DataFrame, request: Request) -> DataFrame:
-    """One row: ``match_mode, scope_match, scope_suppressed`` of a request."""
-    engine = Lexical(units, request)
-    own, extra = engine.fused(request.aliases).select("id"), None
-    if request.aliases and request.scope_fallback == "global":
-        extra = engine.fused([]).select("id").join(own, "id", "left_anti")
-    mode = engine.match_mode(request.aliases)
-    if extra is None:
-        return mode.select("match_mode", F.lit("exact" if request.aliases else "global").alias("scope_match"), F.lit(0).cast("long").alias("scope_suppressed"))
-    counts = own.agg(F.count("*").alias("own"), F.lit(0).cast("long").alias("extra")).unionByName(extra.agg(F.lit(0).cast("long").alias("own"), F.count("*").alias("extra")))
-    counts = counts.agg(F.sum("own").alias("own"), F.sum("extra").alias("extra"))
-    label = F.when((F.col("extra") > 0) & (F.col("own") > 0), "mixed").when(F.col("extra") > 0, "relaxed").otherwise("exact")
-    return mode.join(F.broadcast(counts)).select("match_mode", label.alias("scope_match"), F.col("extra").alias("scope_suppressed"))
+    """One row: ``match_mode, scope_match, scope_suppressed`` of a request; the mode is that of the workspaces' own channels."""
+    by_id = ranked(units, request).groupBy("id").agg(F.max((F.col("scope") == "own").cast("int")).alias("own"), F.collect_set(F.when(F.col("scope") == "own", F.col("channel"))).alias("c"))
+    sums = by_id.agg(F.coalesce(F.sum("own"), F.lit(0)).alias("own"), F.coalesce(F.sum(1 - F.col("own")), F.lit(0)).alias("extra"), F.array_distinct(F.flatten(F.collect_set("c"))).alias("c"))
+    label = F.array_join(F.filter(F.array(*map(F.lit, WEIGHTS)), lambda k: F.array_contains("c", k)), "+")
+    match = F.when((F.col("extra") > 0) & (F.col("own") > 0), "mixed").when(F.col("extra") > 0, "relaxed").otherwise("exact" if request.aliases else "global")
+    return sums.select(F.when(label == "", "none").otherwise(label).alias("match_mode"), match.alias("scope_match"), F.col("extra").alias("scope_suppressed"))
 
 
 def get_many(units: DataFrame, ids: list[str], searchable_only: bool = False) -> DataFrame:

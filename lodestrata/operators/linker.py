@@ -6,10 +6,14 @@ first word; the others, which begin with CJK or other characters, are compared b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as fn
+from lodestrata.lineage import durable
 
 #: Surfaces that name nothing by themselves.
 STOPWORDS = (
@@ -79,10 +83,31 @@ def candidates(texts: DataFrame, names: DataFrame, whole_words: bool = True) ->
 
 
 def _contained(texts: DataFrame, names: DataFrame) -> DataFrame:
-    if names.limit(MOST_WORDLESS + 1).count() > MOST_WORDLESS:
+    """``texts`` (id, h) with each of ``names`` whose alias is anywhere in them.
+
+    Up to MOST_WORDLESS aliases go to every task as one automaton that reads a text once; more meet the texts on their first two characters.
+    """
+    listed = [r.alias for r in names.select("alias").distinct().limit(MOST_WORDLESS + 1).collect()]
+    if len(listed) > MOST_WORDLESS:
         pair = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("h") - 1, F.lit(1))), lambda i: F.substring(F.col("h"), i, F.lit(2)))))
         return texts.select("id", "h", pair.alias("two")).join(names.withColumn("two", F.left("alias", F.lit(2))), "two").where(F.contains("h", "alias")).drop("two")
-    return texts.join(F.broadcast(names), F.contains("h", "alias"))
+    if not listed:
+        return texts.join(names, F.lit(False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        finder = ahocorasick.Automaton()
+        for alias in listed:
+            finder.add_word(alias, alias)
+        finder.make_automaton()
+        for batch in batches:
+            found = [(k, alias) for k, h in enumerate(batch.column("h").to_pylist()) for alias in {a for _, a in finder.iter(h)}]
+            at = pa.array([k for k, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("h").take(at), pa.array([a for _, a in found], pa.string())], names=["id", "h", "alias"])
+
+    kind = dict(texts.dtypes)["id"]
+    return texts.select("id", "h").mapInArrow(run, f"id {kind}, h string, alias string").join(F.broadcast(names), "alias").select("id", "h", *names.columns)
 
 
 def pruned(names: DataFrame, texts: DataFrame, most_share: float = 0.25, least_texts: int = 20) -> DataFrame:
@@ -158,6 +183,37 @@ def rollup(found: DataFrame, documents: DataFrame) -> DataFrame:
     return out.select("document_id", "entity_id", F.when(F.col("level") == 1, F.col("first")).otherwise(F.col("best")).alias("alias"), "occurrences", "chunks", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("level")).alias("confidence"), "evidence")
 
 
+def document_pairs(rolled: DataFrame, limit: int | None, document_id: str = "") -> DataFrame:
+    """``source_id, other_id, shared``: pairs of documents with the number of entities that both mention, the ``limit`` first by number and ids.
+
+    Documents that mention the same entities are one class, so pairs are counted between classes. From a class at most
+    limit + 1 documents can be among the first pairs, those with the smallest ids; only classes whose number of shared entities can
+    still matter are expanded. No limit: all pairs.
+    """
+    sets = rolled.groupBy("document_id").agg(F.array_sort(F.collect_set("entity_id")).alias("set"))
+    order = Window.partitionBy("set").orderBy("document_id")
+    sized = sets.groupBy("set").agg(F.count("*").alias("n")).withColumn("class", F.xxhash64("set"))
+    entries = sized.select("class", "n", F.explode("set").alias("e"))
+    met = entries.alias("a").join(entries.alias("b"), "e").where("a.class <= b.class")
+    pairs = met.groupBy(F.col("a.class").alias("ca"), F.col("b.class").alias("cb")).agg(F.count("*").alias("shared"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"))
+    members = sets.withColumn("class", F.xxhash64("set"))
+    if limit is not None and not document_id:
+        many = F.when(F.col("ca") == F.col("cb"), F.col("na") * (F.col("na") - 1) / 2).otherwise(F.col("na") * F.col("nb"))
+        least, left = 0, limit
+        for level in pairs.groupBy("shared").agg(F.sum(many).alias("m")).orderBy(F.desc("shared")).toLocalIterator():
+            least, left = level.shared, left - level.m
+            if left <= 0:
+                break
+        pairs = pairs.where(F.col("shared") >= least)
+        members = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit + 1)
+    a, b = members.select(F.col("class").alias("ca"), F.col("document_id").alias("x")), members.select(F.col("class").alias("cb"), F.col("document_id").alias("y"))
+    both = pairs.select("ca", "cb", "shared").join(a, "ca").join(b, "cb").where((F.col("ca") != F.col("cb")) | (F.col("x") < F.col("y"))).where("x <> y")
+    both = both.select(F.least("x", "y").alias("source_id"), F.greatest("x", "y").alias("other_id"), "shared")
+    if document_id:
+        both = both.where((F.col("source_id") == document_id) | (F.col("other_id") == document_id))
+    return both if limit is None else both.orderBy(F.desc("shared"), "source_id", "other_id").limit(limit)
+
+
 def document_links(rolled: DataFrame, entities: DataFrame, document_id: str = "", entity_ids: list[str] | None = None, limit: int | None = 8) -> DataFrame:
     """``source_id, other_id, shared, entity_ids, entity_labels, source_evidence, other_evidence``: pairs of documents that mention the same entity.
 
@@ -166,28 +222,28 @@ def document_links(rolled: DataFrame, entities: DataFrame, document_id: str = ""
     rows = rolled.select("document_id", "entity_id", "evidence")
     if entity_ids is not None:
         rows = rows.where(F.col("entity_id").isin(*entity_ids) if entity_ids else F.lit(False))
+    rows = durable(rows)
+    top = document_pairs(rows, None if limit is None else max(1, min(limit, 50)), document_id)
     a = rows.select("entity_id", F.col("document_id").alias("source_id"), F.col("evidence").alias("ea"))
     b = rows.select("entity_id", F.col("document_id").alias("other_id"), F.col("evidence").alias("eb"))
-    pair = F.col("source_id") < F.col("other_id")
-    if document_id:
-        pair = pair & ((F.col("source_id") == document_id) | (F.col("other_id") == document_id))
     labels = entities.select(F.col("id").alias("entity_id"), F.coalesce("label", "id").alias("label"))
-    met = a.join(b, "entity_id").where(pair).join(labels, "entity_id", "left")
+    met = top.join(a, "source_id").join(b, ["other_id", "entity_id"]).join(labels, "entity_id", "left")
     item = F.struct("entity_id", F.coalesce("label", "entity_id").alias("label"))
-    out = met.groupBy("source_id", "other_id").agg(
-        F.count_distinct("entity_id").alias("shared"), F.slice(F.array_sort(F.collect_set(item)), 1, 8).alias("e"),
+    out = met.groupBy("source_id", "other_id", "shared").agg(
+        F.slice(F.array_sort(F.collect_set(item)), 1, 8).alias("e"),
         F.slice(F.flatten(F.array_sort(F.collect_set("ea"))), 1, 3).alias("source_evidence"), F.slice(F.flatten(F.array_sort(F.collect_set("eb"))), 1, 3).alias("other_evidence"),
     )
     out = out.select("source_id", "other_id", "shared", F.transform("e", lambda x: x["entity_id"]).alias("entity_ids"), F.transform("e", lambda x: x["label"]).alias("entity_labels"), "source_evidence", "other_evidence")
-    return out if limit is None else out.orderBy(F.desc("shared"), "source_id", "other_id").limit(max(1, min(limit, 50)))
+    return out if limit is None else out.orderBy(F.desc("shared"), "source_id", "other_id")
 
 
 def planned_links(rolled: DataFrame, names: DataFrame, limit: int = 5) -> DataFrame:
     """The pairs that relinking would add: uncapped entities, each labelled by its alphabetically last alias."""
     label = names.groupBy("entity_id").agg(F.max_by("display", "alias").alias("label"))
-    rows = rolled.select("document_id", "entity_id")
-    met = rows.withColumnRenamed("document_id", "source_id").join(rows.withColumnRenamed("document_id", "other_id"), "entity_id").where("source_id < other_id").join(label, "entity_id", "left")
+    rows = durable(rolled.select("document_id", "entity_id"))
+    top = document_pairs(rows, limit)
+    met = top.join(rows.withColumnRenamed("document_id", "source_id"), "source_id").join(rows.withColumnRenamed("document_id", "other_id"), ["other_id", "entity_id"]).join(label, "entity_id", "left")
     item = F.struct("entity_id", F.coalesce("label", "entity_id").alias("label"))
     out = met.groupBy("source_id", "other_id").agg(F.array_sort(F.collect_set(item)).alias("e"))
     out = out.select("source_id", "other_id", F.size("e").alias("shared"), F.transform("e", lambda x: x["entity_id"]).alias("entity_ids"), F.transform("e", lambda x: x["label"]).alias("entity_labels"))
-    return out.orderBy(F.desc("shared"), "source_id", "other_id").limit(limit)
+    return out.orderBy(F.desc("shared"), "source_id", "other_id")

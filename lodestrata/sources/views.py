@@ -36,10 +36,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores, dealt out; larger tables stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each non-blank line of a document as a page."""
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    docs = read(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    docs = spread(read(spark, sf_dir, "documents")).join(labels, "doc_id", "left")
     lines = docs.select("doc_id", "lang", "source", "quality", "toxic", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "resolution")).where(F.col("resolution").rlike("[^ \\t\\n\\r\\f]"))
     doc, n = F.col("doc_id").cast("string"), (F.col("pos") + 1).cast("string")
     name = F.concat("source", F.lit("-"), doc, F.lit(".pdf"))
