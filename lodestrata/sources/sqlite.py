@@ -35,7 +35,7 @@ class SqliteReader(DataSourceReader):
     def partitions(self) -> list[RowRange]:
         with opened(self.path) as db:
             low, high = db.execute(f"select min(rowid), max(rowid) from {named(self.table)}").fetchone()
-        return [] if low is None else [RowRange(at, min(at + STRIDE, high + 1)) for at in range(low, high + 1, STRIDE)]
+        return [RowRange(0, 0)] if low is None else [RowRange(at, min(at + STRIDE, high + 1)) for at in range(low, high + 1, STRIDE)]
 
     def read(self, partition: RowRange) -> Iterator[tuple]:
         listed = ", ".join(map(named, self.columns))
