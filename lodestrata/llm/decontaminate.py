@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,11 @@ LEAST = 0.5
 BLOCK_BYTES = 8 << 20
 
 
+def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in lower case, of any script, without ASCII punctuation, and their rows."""
+    return word_hashes(pc.utf8_lower(texts.cast(pa.large_string())), PUNCTUATION)
+
+
 def grams(h: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-word sequences within rows and the word at which each begins."""
     if len(h) < n:
@@ -39,7 +45,7 @@ class Items:
 
     def __init__(self, ids: list, texts: list[str | None], n: int = SEED) -> None:
         self.ids, self.n = ids, n
-        h, rows = word_hashes(pa.array(texts, pa.string()), PUNCTUATION)
+        h, rows = folded(pa.array(texts, pa.string()))
         cut = np.searchsorted(rows, np.arange(len(ids) + 1))
         self.words = [h[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
         seed, item, place = [], [], []
@@ -160,7 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             n = np.zeros(len(sent.value.seeds), np.int64)
             for batch in batches:
                 for part in slices(batch, "text"):
-                    h, rows = word_hashes(part.column("text"), PUNCTUATION)
+                    h, rows = folded(part.column("text"))
                     seed, word = sent.value.found(h, rows)
                     pair = np.unique(rows[word] * max(len(n), 1) + seed) if len(seed) else seed
                     n += np.bincount(pair % max(len(n), 1), minlength=len(n))
@@ -184,7 +190,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             items = sent.value
             for batch in batches:
                 for part in slices(batch, "text"):
-                    h, rows = word_hashes(part.column("text"), PUNCTUATION)
+                    h, rows = folded(part.column("text"))
                     found = matches(h, rows, items, least) if len(h) else []
                     if found:
                         row, item, score, word = zip(*found, strict=True)
