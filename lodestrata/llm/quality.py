@@ -25,7 +25,7 @@ from lodestrata.llm.tokens import PUNCTUATION, SPACE, word_hashes
 #: Labelled rows that the document model is fitted on, at most.
 SAMPLE = 20_000
 #: A lexicon entry is in so many sampled texts and this many standard deviations off the label's rate.
-LEAST_TEXTS, DEVIATIONS = 8, 7.0
+LEAST_TEXTS, DEVIATIONS = 6, 6.5
 #: Most that a site's record can shift a document's log-odds.
 MOST_SHIFT = 2.0
 #: Sites up to which their posteriors are broadcast.
