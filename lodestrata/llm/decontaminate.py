@@ -157,8 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     spark, kinds = docs.sparkSession, (dict(source.dtypes)["doc_id"], dict(benchmark.dtypes)[item_id])
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, word long"
     item_type = benchmark.select(F.col(item_id)).limit(0).toArrow().schema.field(0).type
-    out = spark.createDataFrame([], schema)
-    total = None
+    out = total = None
     for items in blocks(benchmark, item_id, item_text):
         sent = spark.sparkContext.broadcast(items)
 
@@ -196,8 +195,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                         row, item, score, word = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row, pa.int64())), pa.array([items.ids[k] for k in item], item_type), pa.array(score, pa.float64()), pa.array(word, pa.int64())], names=["doc_id", "item_id", "score", "word"])
 
-        out = out.unionByName(source.mapInArrow(run, schema))
-    return out
+        found = source.mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: str | float) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from lodestrata.llm.common import buffers
 
 #: Bytes hashed in one step; a step ends at white space.
-STEP = 4 << 20
+STEP = 2 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _powers: dict[str, np.ndarray] = {}
