@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import SLICE_BYTES, buffers, slices
+from lodestrata.llm.common import buffers, slices
 from lodestrata.llm.tokens import LOWER, SPACE
 
 LONGEST, END = 4096, 2
 #: Distinct units whose ids a worker remembers; when there are more it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: The vocabulary's special tokens. A slice of texts with one of them is encoded text by text.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordIds(tokenizer_path)
         for batch in batches:
-            for part in slices(batch, "text", 2 * SLICE_BYTES):
+            for part in slices(batch, "text"):
                 ids, ends = coder(part.column("text"))
                 rows, at = [], 0
                 for k, end in enumerate(ends.tolist()):
