@@ -72,14 +72,16 @@ def bm25(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """
     fields = [c for c in index.columns if c.startswith("in_")]
     total = lambda f: sum((f(F.col(c)) for c in fields[1:]), f(F.col(fields[0])))
-    counted = index.withColumns({"found": F.array(*[total(lambda c, p=p: text.phrase_count(c, p)) for p in phrases]), "length": total(text.token_count)})
+    counted = index.withColumns({"found": F.array(*[total(lambda c, p=p: text.phrase_count(c, p)) for p in phrases]), "length": total(text.token_count), "row": F.monotonically_increasing_id()})
     sums = counted.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"), *[F.count_if(F.col("found")[k] > 0).alias(f"n{k}") for k in range(len(phrases))]).first()
     score = F.lit(0.0)
     for k in range(len(phrases)):
         idf = max(math.log((sums.n - sums[f"n{k}"] + 0.5) / (sums[f"n{k}"] + 0.5)), IDF_FLOOR)
         tf = F.col("found")[k].cast("double")
         score = score - F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(sums.mean or 1.0)))
-    return counted.where(F.exists("found", lambda n: n > 0)).withColumn("bm25", score).drop(*fields, "length")
+    # a filter on counts alone would move below them and have every text tokenised again for each phrase
+    hit = F.exists("found", lambda n: n > 0) & (F.col("row") >= 0)
+    return counted.where(hit).withColumn("bm25", score).drop(*fields, "length", "row")
 
 
 def in_scope(request: Request) -> Column:

@@ -64,8 +64,8 @@ def gazetteer(entities: DataFrame, include_tags: bool = False, include_aliases:
 
 def normalized_texts(texts: DataFrame) -> DataFrame:
     """``id, h``: normalised texts that are not empty; rows without an id go."""
-    rows = texts.where(F.coalesce("id", F.lit("")) != "").select("id", fn.normalized(F.col("text")).alias("h"))
-    return rows.where("h <> ''")
+    rows = texts.where(F.coalesce("id", F.lit("")) != "").select("id", fn.normalized(F.col("text")).alias("h"), F.monotonically_increasing_id().alias("row"))
+    return rows.where("h <> '' and row >= 0").select("id", "h")  # the row keeps later filters from normalising again
 
 
 def candidates(texts: DataFrame, names: DataFrame, whole_words: bool = True) -> DataFrame:
