@@ -3,7 +3,6 @@ Arrow slices and connected components."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.lineage import durable, shared_dir
+
 #: Text bytes that one vectorised step of a Python worker handles; a single longer text is a step of its own.
 SLICE_BYTES = 4 << 20
 
@@ -21,20 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share: the session's ``spark.checkpoint.dir``, or a local one where that is unset, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestrata-"))
-    return context.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; lost executors do not lose the rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: for rows with whole texts."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
