@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare word n-grams of the test items are seeds that find passages; a Smith-Waterman
+"""Benchmark decontamination: word n-grams of the test items are seeds that find passages; a Smith-Waterman
 alignment of the item with the text around its seeds scores them, so edited and paraphrased copies count too."""
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import durable, slices
 from lodestrata.llm.tokens import PUNCTUATION, mixed, word_hashes
 
-#: Words of a seed; a seed is rare up to this share of the documents, or up to twice the median of its item's seeds that occur.
-SEED, RARE_SHARE = 4, 1e-5
+#: Words of a seed.
+SEED = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of an item's full score.
 LEAST = 0.5
@@ -60,15 +60,8 @@ class Items:
         seed = np.concatenate([*seed, np.zeros(0, np.uint64)])
         self.seeds, self.of = np.unique(seed, return_inverse=True)
         self.sizes = sorted(set(self.size[self.size > 0].tolist()))
-        self.use(np.ones(len(self.seeds), bool))
-
-    def use(self, good: np.ndarray) -> None:
-        """From now on only these seeds find anything."""
-        order = np.argsort(self.of, kind="stable")
-        order = order[good[self.of[order]]]
-        self.by = order
-        self.start = np.searchsorted(self.of[order], np.arange(len(self.seeds) + 1))
-        self.good = good
+        self.by = np.argsort(self.of, kind="stable")
+        self.start = np.searchsorted(self.of[self.by], np.arange(len(self.seeds) + 1))
         self.index = None
 
     def found(self, h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +73,6 @@ class Items:
             g, at = grams(h, rows, n)
             got = self.index.get_indexer(g)
             on = np.flatnonzero(got >= 0)
-            on = on[self.good[got[on]]]
             seeds.append(got[on])
             words.append(at[on])
         return np.concatenate(seeds), np.concatenate(words)
@@ -118,12 +110,15 @@ def matches(h: np.ndarray, rows: np.ndarray, items: Items, least: float) -> list
     new = np.ones(len(item), bool)
     new[1:] = (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (shift[1:] - shift[:-1] > size[item[1:]])
     starts = np.flatnonzero(new)
+    # Item words that a window lacks can't match, so a window with too few of them is never aligned.
     best: dict[tuple[int, int], tuple[float, int]] = {}
     for a, b in zip(starts.tolist(), np.append(starts[1:], len(item)).tolist(), strict=True):
         k, r = int(item[a]), int(row[a])
         n = int(size[k])
         begin = max(int(shift[a]) - n // 2, int(first[r]))
         stop = min(int(shift[b - 1]) + n + n // 2 + 1, int(first[r + 1]))
+        if np.isin(items.words[k], h[begin:stop]).sum() < least * n:
+            continue
         score, end = align(items.words[k], h[begin:stop])
         share = score / (MATCH * n)
         if share >= least and share > best.get((r, k), (0.0, 0))[0]:
@@ -148,43 +143,18 @@ def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Items]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """``doc_id, item_id, score, word``: every document and item whose best alignment reaches ``least`` of the item's full score.
 
-    ``word`` is the word of the document where the alignment ends. Document frequencies of seeds are counted over
-    all documents. Every item keeps seeds: those at most twice as frequent as its median one, so an item copied into
-    a third of all documents is still found. Null or wordless texts match nothing. Null ids and repeated rows are
+    ``word`` is the word of the document where the alignment ends. Every seed of every item is looked up, however
+    many documents have it, so neither copies nor partial copies hide each other. Null or wordless texts match nothing. Null ids and repeated rows are
     documents of their own; repeated items count once. Other columns are ignored. Empty tables give no rows.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     spark, kinds = docs.sparkSession, (dict(source.dtypes)["doc_id"], dict(benchmark.dtypes)[item_id])
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, word long"
     item_type = benchmark.select(F.col(item_id)).limit(0).toArrow().schema.field(0).type
-    out = total = None
+    out = None
     for items in blocks(benchmark, item_id, item_text):
         sent = spark.sparkContext.broadcast(items)
 
-        def tally(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            n = np.zeros(len(sent.value.seeds), np.int64)
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    h, rows = folded(part.column("text"))
-                    seed, word = sent.value.found(h, rows)
-                    pair = np.unique(rows[word] * max(len(n), 1) + seed) if len(seed) else seed
-                    n += np.bincount(pair % max(len(n), 1), minlength=len(n))
-            on = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(n[on])], names=["seed", "n"])
-
-        frequency = np.zeros(len(items.seeds), np.int64)
-        for r in source.select("text").mapInArrow(tally, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-            frequency[r.seed] = r.n
-        total = docs.count() if total is None else total
-        good = frequency <= RARE_SHARE * total
-        for k in range(len(items.ids)):
-            own = items.of[items.item == k]
-            own = own[frequency[own] > 0]
-            if len(own):
-                good[own] |= frequency[own] <= 2 * np.median(frequency[own])
-        items.use(good)
-        sent = spark.sparkContext.broadcast(items)
-
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             items = sent.value
             for batch in batches:

@@ -78,3 +78,13 @@ def test_empty_tables(spark):
     assert dc.contaminated(df, bench).count() == 0
     assert dc.contaminated(spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"), bench.limit(0)).count() == 0
     assert dc.contaminated(spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"), bench).count() == 1
+
+
+def test_frequent_seeds_find_edited_and_partial_copies_beside_a_whole_one(spark):
+    one, two = [f"q{i}" for i in range(40)], [f"r{i}" for i in range(40)]
+    edited = [x if j % 5 else "new" for j, x in enumerate(one)]
+    texts = [one, two] + [["pad", *edited, f"end{i}"] for i in range(60)] + [[f"other{i}", *two[:21]] for i in range(60)] + [[*two[:8], f"no{i}"] for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "item_id long, text string")
+    want = {(0, 1), (1, 2)} | {(i, 1) for i in range(2, 62)} | {(i, 2) for i in range(62, 122)}
+    assert {(r.doc_id, r.item_id) for r in dc.contaminated(df, bench).collect()} == want
