@@ -49,3 +49,15 @@ def test_run_and_names(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] and sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert lines.RATIO == 0.1
+
+
+def test_null_and_repeated_ids_are_decided_by_row(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    same, other = "a text of some words that has copies under odd ids", "quite another text with its own words and nothing more"
+    rows = [(2, same), (2, same), (None, same), (7, same), (None, other), (None, None), (3, item), (None, item), (3, "clean words only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    single = corpus_pipeline.one_of_each(spark, docs, SF)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, single.collect()), key=key) == sorted([(2, same), (None, other), (None, None), (3, item), (3, "clean words only")], key=key)
+    clean = corpus_pipeline.without_test_items(spark, docs, SF)
+    assert sorted(map(tuple, clean.collect()), key=key) == sorted([r for r in rows if r[1] != item], key=key) and clean.columns == docs.columns
