@@ -22,8 +22,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tree, counts = suffix_tree.train(docs.where(~suffix_tree.is_held_out(F.col("doc_id"))))
-    out = suffix_tree.score(docs, tree, counts)
+    tree = suffix_tree.train(docs.where(~suffix_tree.is_held_out(F.col("doc_id"))))
+    out = suffix_tree.score(docs, tree)
     return out.select("doc_id", suffix_tree.is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tree.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -1,19 +1,22 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-The alphabet is the frequent words, the end of a text and one symbol for all other words, which stand under it by
-their own smoothed counts. A context is considered if its share of the training tokens is over a threshold,
-so there are at most 1 / threshold of each length, whatever the corpus; it is kept if the divergence of
-its next symbols from those of its suffix, times its count, pays for its parameters. Distributions are smoothed
-towards the suffix's (Witten-Bell), and a text's tokens are scored from the longest kept suffix of what precedes.
-
-Counting is distributed and covers all training texts. Only the bounded tree and the bounded list of frequent words
-reach the driver; the counts of all other words stay in a table that grows with the corpus and are joined.
+Symbols are words; the tree is a table. A context of up to ``DEPTH`` symbols is a candidate from ``LEAST_CONTEXT``
+occurrences on, and stores a next symbol from ``LEAST_NEXT`` occurrences on: absolute counts, so the tree grows with
+the corpus. A candidate is kept if the divergence of what follows it from what follows its suffix, times its count,
+pays for its parameters; one that isn't kept behaves like its suffix. Distributions are smoothed towards the
+suffix's (Witten-Bell), the shortest towards discounted word counts, and those towards a model of the bytes of a word, so all words, seen
+or not, together have a probability of one at most. A token is scored from the longest kept suffix of what precedes it.
+
+Counting is distributed and covers all training texts. Each length is one pass, which leaves out sequences whose two
+parts can't be frequent enough; it knows them by bit tables of a fixed size. Workers get the most frequent rows of the
+tree, HOT_ROWS at most; what a token needs beyond them is joined with the rest of the table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,46 +24,71 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import durable, slices
-from lodestrata.llm.tokens import word_hashes
+from lodestrata.llm.common import buffers, durable, slices
+from lodestrata.llm.tokens import LOWER, SPACE, mixed, weighed_words
 
-#: Shares of the training tokens: a word of the alphabet, a context, a word whose count every task gets.
-SYMBOL_SHARE, CONTEXT_SHARE, KNOWN_SHARE = 1e-4, 5e-4, 1e-6
+#: Occurrences of a context, and of a next symbol after it, from which on they are counted.
+LEAST_CONTEXT, LEAST_NEXT = 100, 10
 DEPTH = 3
 #: What each next symbol that a context stores must pay in nats, over all its occurrences.
 PRICE = 2.0
-#: The hash that stands for the end of a text.
-END = np.uint64(0x5EED0E0D0E0D5EED)
+#: Rows of the tree that every worker gets, the most frequent ones.
+HOT_ROWS = 1_500_000
+#: Binary logarithm of the bits of a table that says which hashes may be frequent.
+BITS = 25
+#: Bytes of text counted in one step.
+STEP = 8 << 20
+#: The hashes that stand for the end of a text and for what precedes it.
+END, BEGIN = np.uint64(0x5EED0E0D0E0D5EED), np.uint64(0x0BE61D0E6150BE61)
 
 
 @dataclass
 class Tree:
-    """``symbols``: sorted hashes of the alphabet's words; symbol len(symbols) is any other word, the next one precedes a text.
+    """``words``: all training words (key, n). ``facts``: rows (key, n, own, bow) of frequent words and kept contexts.
 
-    ``orders[d]`` has for contexts of length d + 1: ``keys`` (earliest symbol * width + number of the rest), ``kept``, ``back``
-    (weight of the suffix's distribution), ``pairs`` (number * width + next symbol) and ``own`` (discounted probability).
+    ``own`` is what a context itself gives to a next symbol, keyed by the hash of both; ``bow``, keyed by the context's
+    hash, the weight of its suffix's distribution. ``keys, n, own, bow`` are the hot rows, sorted by key; rarer rows are
+    in ``cold`` (None: there are none), and ``cold_bits`` tells which hashes may be there. ``spread`` has log10
+    probabilities of 256 bytes and the end of a word, ``known_from`` the count from which all words are among the hot rows.
     """
 
-    symbols: np.ndarray
-    known: np.ndarray
-    known_counts: np.ndarray
+    words: DataFrame
+    facts: DataFrame
+    cold: DataFrame | None
     train_tokens: int
     distinct: int
-    base: np.ndarray
-    other_tokens: int
-    other_distinct: int
     discount: float
-    orders: list[dict[str, np.ndarray]] = field(default_factory=list)
+    depth: int
+    known_from: int
+    sent: object
 
-    @property
-    def width(self) -> int:
-        return len(self.symbols) + 2
+    def word_log10(self, n: Column, letters: Column) -> Column:
+        """log10 of a word's probability without context; ``letters`` is the byte model's."""
+        if not self.train_tokens:
+            return letters
+        return F.when(n > 0, F.log10((n - self.discount) / self.train_tokens)).otherwise(letters + float(np.log10(self.discount * self.distinct / self.train_tokens)))
 
-    def other_log10(self, count: Column) -> Column:
-        """log10 of a word's probability among the other words; words that training lacks are one event."""
-        seen = (count - self.discount) / max(self.other_tokens, 1)
-        unseen = max(self.discount * self.other_distinct, 0.5) / max(self.other_tokens, 1)
-        return F.log10(F.when(count > 0, seen).otherwise(F.lit(min(unseen, 1.0))))
+
+@dataclass
+class Hot:
+    """What workers get of a tree."""
+
+    keys: np.ndarray
+    n: np.ndarray
+    own: np.ndarray
+    bow: np.ndarray
+    spread: np.ndarray
+    cold_bits: np.ndarray | None
+    train_tokens: int
+    distinct: int
+    discount: float
+    depth: int
+    index: pd.Index | None = None
+
+    def look(self, h: np.ndarray) -> np.ndarray:
+        if self.index is None:
+            self.index = pd.Index(self.keys)
+        return self.index.get_indexer(h)
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -68,218 +96,259 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 7 == 2
 
 
-def with_ends(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes with an END after each row, and the row of each."""
-    h, rows = word_hashes(texts)
-    per = np.bincount(rows, minlength=len(texts))
-    at = np.cumsum(per)
-    return np.insert(h, at, END), np.insert(rows, at, np.arange(len(texts)))
+def framed(texts: pa.Array, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the tokens between BEGIN and END, the row of each, its place there (BEGIN: 0), and the words' sums of weights."""
+    h, rows, sums = weighed_words(texts, weights)
+    n = len(texts)
+    ends = np.cumsum(np.bincount(rows, minlength=n))
+    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    at = np.concatenate((starts, ends))
+    order = np.argsort(np.concatenate((2 * np.arange(n), 2 * np.arange(n) + 1)), kind="stable")
+    h = np.insert(h, at[order], np.tile(np.array([BEGIN, END]), n))
+    rows = np.insert(rows, at[order], np.repeat(np.arange(n), 2))
+    if weights is not None:
+        sums = np.insert(sums, at[order], 0.0)
+    begin = starts + 2 * np.arange(n)
+    place = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
+    return h, rows, place, sums
+
+
+def joint(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The hash of a sequence from those of it without its last and without its first symbol."""
+    return mixed(context * np.uint64(0x9E3779B97F4A7C15) + suffix)
+
+
+def sequences(h: np.ndarray, most: int) -> list[np.ndarray]:
+    """For each length up to ``most`` the hashes of the sequences that end at each token; those that cross rows are meaningless."""
+    out = [h]
+    for _ in range(1, most):
+        out.append(joint(np.concatenate((h[:1], out[-1][:-1])), out[-1]))
+    return out
+
+
+def bits_of(rows: DataFrame, key: str = "key") -> np.ndarray:
+    """A table of 2**BITS bits, set for the hashes in ``rows``; it may be set for others too. Combined before it reaches the driver."""
+    slot = F.shiftrightunsigned(key, 64 - (BITS - 6)).alias("slot")
+    own = F.expr(f"shiftleft(1L, cast({key} & 63 as int))")
+    found = rows.groupBy(slot).agg(F.bit_or(own).alias("bits")).toPandas()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[found["slot"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
 
 
-def counted(keys: np.ndarray, kind: int) -> pa.RecordBatch:
-    value, n = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(value), kind, np.int32)), pa.array(value.astype(np.int64) if value.dtype != np.uint64 else value.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+def maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (bits[(h >> np.uint64(64 - (BITS - 6))).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def counts(texts: DataFrame, keys: Callable[[pa.Array], dict[int, np.ndarray]]) -> DataFrame:
-    """``kind, key, n`` summed over all texts; each slice and each task sums first."""
+def signed(h: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(h).view(np.int64))
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``kind, key, n``: kind 0 counts words and ends, kind 1 the bytes inside words, in lower case."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                for kind, values in keys(part.column("text")).items():
-                    yield counted(values, kind)
+            for part in slices(batch, "text", STEP):
+                h, _, place, _ = framed(part.column("text"))
+                key, n = np.unique(h[place > 0], return_counts=True)
+                letters = np.bincount(LOWER[buffers(part.column("text"))[0]], minlength=256)
+                letters[SPACE] = 0
+                seen = np.flatnonzero(letters)
+                for kind, k, c in ((0, signed(key), n), (1, pa.array(seen), letters[seen])):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), kind, np.int32)), k, pa.array(c.astype(np.int64))], names=["kind", "key", "n"])
 
     return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-class Walk:
-    """Symbols and context numbers of a batch of texts."""
-
-    def __init__(self, tree: Tree) -> None:
-        self.tree, self.symbol = tree, pd.Index(tree.symbols)
-        self.index = [pd.Index(o["keys"]) for o in tree.orders]
-
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        found = self.symbol.get_indexer(h).astype(np.int64)
-        return np.where(found < 0, len(self.tree.symbols), found)
-
-    def contexts(self, sym: np.ndarray, rows: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For each length the number of the context before each token, -1 if it isn't considered."""
-        first = np.flatnonzero(np.diff(rows, prepend=-1))
-        place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
-        out: list[np.ndarray] = []
-        for d in range(depth):
-            prior = self.prior(sym, place, d)
-            if d == 0:
-                out.append(prior)
-                continue
-            good = np.flatnonzero((out[-1] >= 0) & (prior >= 0))
-            number = np.full(len(sym), -1, np.int64)
-            number[good] = self.index[d].get_indexer(prior[good] * self.stride(d) + out[-1][good])
-            out.append(number)
-        return out
-
-    def prior(self, sym: np.ndarray, place: np.ndarray, d: int) -> np.ndarray:
-        """The symbol d + 1 before; the one that precedes a text at its edge, -1 beyond."""
-        back = np.concatenate((np.full(d + 1, -1), sym))[: len(sym)]
-        return np.where(place > d, back, np.where(place == d, self.tree.width - 1, -1))
-
-    def stride(self, d: int) -> int:
-        return max(self.tree.width, len(self.tree.orders[d - 1]["keys"])) if d else self.tree.width
-
-
-def train(docs: DataFrame, text: str = "text", depth: int = DEPTH, price: float = PRICE) -> tuple[Tree, DataFrame]:
-    """The tree, and the table ``key, n`` of all training words' counts, from every text of ``docs``."""
+def sequence_counts(texts: DataFrame, length: int, contexts: np.ndarray, suffixes: np.ndarray) -> DataFrame:
+    """``key, context, suffix, n`` of sequences of ``length`` symbols with LEAST_NEXT occurrences; both bit tables must have their parts."""
+    sent = texts.sparkSession.sparkContext.broadcast((contexts, suffixes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_context, of_suffix = sent.value
+        for batch in batches:
+            for part in slices(batch, "text", STEP):
+                h, _, place, _ = framed(part.column("text"))
+                whole = sequences(h, length - 1)[-1]
+                at = np.flatnonzero(place >= length - 1)
+                a, b = whole[at - 1], whole[at]
+                on = maybe(of_context, a) & maybe(of_suffix, b)
+                a, b = a[on], b[on]
+                _, first, n = np.unique(joint(a, b), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([signed(a[first]), signed(b[first]), pa.array(n.astype(np.int64))], names=["context", "suffix", "n"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.asarray(batch.column(c), dtype=np.int64).view(np.uint64) for c in ("context", "suffix"))
+            yield pa.RecordBatch.from_arrays([signed(joint(a, b)), *batch.columns], names=["key", *batch.schema.names])
+
+    found = texts.mapInArrow(run, "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_NEXT)
+    return found.mapInArrow(named, "key long, context long, suffix long, n long")
+
+
+def fitted(rows: DataFrame, below: DataFrame, contexts: DataFrame, price: float) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (key, n, p, own) of one length, and its kept contexts (key, n, bow).
+
+    ``below`` (key, p) has the suffixes' smoothed probabilities, ``contexts`` (key, n) the candidates. What a context
+    doesn't store is one more outcome of the divergence.
+    """
+    whole = contexts.select(F.col("key").alias("context"), F.col("n").alias("whole"))
+    both = durable(rows.join(below.select(F.col("key").alias("suffix"), F.col("p").alias("q")), "suffix").join(whole, "context"))
+    sums = both.groupBy("context").agg(F.first("whole").alias("whole"), F.sum("n").alias("stored"), F.count("*").alias("kinds"), F.sum("q").alias("q"), F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("q"))).alias("gain"))
+    rest = F.col("whole") - F.col("stored")
+    gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / F.col("whole") / F.greatest(1 - F.col("q"), F.lit(1e-12)))).otherwise(0.0)
+    bow = (rest + F.col("kinds")) / (F.col("whole") + F.col("kinds"))
+    kept = sums.where(gain > price * (F.col("kinds") + 1)).select("context", "kinds", F.col("whole").alias("weight"), bow.alias("bow"))
+    own = F.col("n") / (F.col("whole") + F.col("kinds"))
+    out = both.join(kept.select("context", "kinds", "bow"), "context", "left")
+    out = out.select("key", "n", F.when(F.col("bow").isNull(), F.col("q")).otherwise(own + F.col("bow") * F.col("q")).alias("p"), F.when(F.col("bow").isNotNull(), own).alias("own"))
+    return durable(out), durable(kept.select(F.col("context").alias("key"), F.col("weight").alias("n"), "bow"))
+
+
+def train(docs: DataFrame, text: str = "text", depth: int = DEPTH, price: float = PRICE, hot_rows: int | None = None) -> Tree:
+    """The tree of every text of ``docs``. Null text: empty. No rows: words have the byte model's probabilities only."""
     texts = docs.select(F.col(text).alias("text"))
-    table = durable(counts(texts, lambda t: {0: with_ends(t)[0]}).select("key", "n"))
-    sums = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    spark, most = texts.sparkSession, HOT_ROWS if hot_rows is None else hot_rows
+    found = durable(word_counts(texts))
+    words = found.where("kind = 0").select("key", "n")
+    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"), F.coalesce(F.sum(F.when(F.col("key") == int(END.astype(np.int64)), F.col("n"))), F.lit(0)).alias("texts")).first()
     total, distinct = int(sums.n), int(sums.v)
-    often = table.where(F.col("n") >= max(KNOWN_SHARE * total, 1)).orderBy("key").toPandas()
-    known, known_counts = often["key"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
-    order = np.argsort(known)
-    known, known_counts = known[order], known_counts[order]
-    main = (known_counts >= SYMBOL_SHARE * total) | (known == END)
-    symbols, symbol_counts = known[main], known_counts[main]
-    rest = table.where((F.col("n") < max(SYMBOL_SHARE * total, 1)) & (F.col("key") != int(END.astype(np.int64)))).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")
-    ).first()
-    discount = min(0.9, max(0.1, rest.one / (rest.one + 2 * rest.two))) if rest.one else 0.5
-    base = (np.concatenate((symbol_counts, [rest.n, 0])) + 1.0) / (total + len(symbols) + 1.0)
-    base[-1] = 0
-    tree = Tree(symbols, known, known_counts, total, distinct, base, int(rest.n), int(rest.v), discount)
-    width = tree.width
-    tree.orders.append({"keys": np.arange(width)})
-    shared = texts.sparkSession.sparkContext
-    for d in range(depth):
-        sent = shared.broadcast(tree)
-
-        def keys(part: pa.Array, d: int = d, sent=sent) -> dict[int, np.ndarray]:  # noqa: ANN001
-            walk = walker(sent)
-            h, rows = with_ends(part)
-            sym = walk.symbols(h)
-            number = walk.contexts(sym, rows, d + 1)[d]
-            on = np.flatnonzero(number >= 0)
-            out = {1: number[on] * width + sym[on]}
-            if d + 1 < depth:
-                first = np.flatnonzero(np.diff(rows, prepend=-1))
-                place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
-                prior = walk.prior(sym, place, d + 1)
-                longer = np.flatnonzero((number >= 0) & (prior >= 0))
-                out[2] = prior[longer] * max(width, len(walk.tree.orders[d]["keys"])) + number[longer]
-            return out
-
-        found = durable(counts(texts, keys).where((F.col("kind") == 1) | (F.col("n") >= max(CONTEXT_SHARE * total, 2))))
-        nexts = found.where("kind = 1").select("key", "n").toPandas().sort_values("key")
-        fit(tree, d, nexts["key"].to_numpy(np.int64), nexts["n"].to_numpy(np.int64), price)
-        if d + 1 < depth:
-            longer = found.where("kind = 2").select("key").toPandas()["key"].to_numpy(np.int64)
-            tree.orders.append({"keys": np.sort(longer)})
-            if not len(longer):
-                tree.orders.pop()
-                break
-    for o in reversed(range(1, len(tree.orders))):  # what a kept context ends in is kept too
-        parent = tree.orders[o]["keys"][tree.orders[o]["kept"]] % max(width, len(tree.orders[o - 1]["keys"]))
-        tree.orders[o - 1]["kept"][parent] = True
-    return tree, table
-
-
-def fit(tree: Tree, d: int, pairs: np.ndarray, n: np.ndarray, price: float) -> None:
-    """Fills in the contexts of length d + 1 from the counts of their next symbols."""
-    order, width = tree.orders[d], tree.width
-    size = len(order["keys"])
-    number, sym = pairs // width, pairs % width
-    total, kinds = np.bincount(number, n, size), np.bincount(number, minlength=size)
-    whole = np.maximum(total + kinds, 1)
-    order |= {"pairs": pairs, "own": n / whole[number], "back": np.where(total > 0, kinds / whole, 1.0)}
-    parent = order["keys"] % max(width, len(tree.orders[d - 1]["keys"])) if d else np.full(size, -1)
-    below = parent_probability(tree, d - 1, parent[number], sym)
-    gain = np.bincount(number, n * np.log(np.maximum(n / total[number], 1e-300) / below), size)
-    order["kept"] = gain > price * np.maximum(kinds, 1)
-
-
-def parent_probability(tree: Tree, d: int, number: np.ndarray, sym: np.ndarray) -> np.ndarray:
-    """Smoothed probabilities of next symbols after contexts of length d + 1; -1: none."""
-    if d < 0:
-        return tree.base[sym]
-    order, width = tree.orders[d], tree.width
-    up = order["keys"][number] % max(width, len(tree.orders[d - 1]["keys"])) if d else number
-    p = parent_probability(tree, d - 1, up, sym)
-    at = np.searchsorted(order["pairs"], number * width + sym)
-    at = np.minimum(at, max(len(order["pairs"]) - 1, 0))
-    own = np.where(order["pairs"][at] == number * width + sym, order["own"][at], 0.0) if len(order["pairs"]) else 0.0
-    return own + order["back"][number] * p
-
-
-_walks: dict[int, Walk] = {}
-
-
-def walker(sent) -> Walk:  # noqa: ANN001
-    """The worker's one walk over a broadcast tree."""
-    if id(sent.value) not in _walks:
-        _walks.clear()
-        _walks[id(sent.value)] = Walk(sent.value)
-    return _walks[id(sent.value)]
-
-
-def log10_next(walk: Walk, sym: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """log10 probability of each symbol after the longest kept suffix of what precedes it."""
-    tree = walk.tree
-    p = tree.base[sym]
-    for d, number in enumerate(walk.contexts(sym, rows, len(tree.orders))):
-        order = tree.orders[d]
-        on = np.flatnonzero(number >= 0)
-        on = on[order["kept"][number[on]]]
-        if not len(on):
-            continue
-        if "index" not in order:
-            order["index"] = pd.Index(order["pairs"])
-        at = order["index"].get_indexer(number[on] * tree.width + sym[on])
-        p[on] = np.where(at >= 0, order["own"][at], 0.0) + order["back"][number[on]] * p[on]
-    return np.log10(p)
-
-
-def score(docs: DataFrame, tree: Tree, table: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    discount = min(0.9, max(0.1, sums.one / (sums.one + 2 * sums.two))) if sums.one else 0.5
+    letters = found.where("kind = 1").toPandas()
+    spread = np.ones(257)
+    spread[letters["key"].to_numpy(np.int64)] += letters["n"].to_numpy(np.int64)
+    spread[256] += total
+    spread = np.log10(spread / spread.sum())
+
+    often = words.where(F.col("n") >= LEAST_NEXT)
+    below = often.select("key", "n", ((F.col("n") - discount) / max(total, 1)).alias("p"))
+    first = spark.createDataFrame([(int(BEGIN.astype(np.int64)), int(sums.texts))], "key long, n long")
+    contexts = often.unionByName(first).where(F.col("n") >= LEAST_CONTEXT)
+    none = F.lit(None).cast("double")
+    parts = [often.select("key", "n", F.col("n").alias("weight"), none.alias("own"), none.alias("bow"))]
+    for d in range(1, depth + 1):
+        rows = sequence_counts(texts, d + 1, bits_of(contexts), bits_of(below))
+        below, kept = fitted(rows, below, contexts, price)
+        parts.append(below.where("own is not null").select("key", F.lit(None).cast("long").alias("n"), F.col("n").alias("weight"), "own", none.alias("bow")))
+        parts.append(kept.select("key", F.lit(None).cast("long").alias("n"), F.col("n").alias("weight"), none.alias("own"), "bow"))
+        contexts = below.where(F.col("n") >= LEAST_CONTEXT).select("key", "n")
+    facts = durable(reduce(DataFrame.unionByName, parts).groupBy("key").agg(*[F.max(c).alias(c) for c in ("n", "weight", "own", "bow")]))
+    least = frequent_from(facts, most)
+    hot = facts.where(F.col("weight") >= least).drop("weight").toPandas().sort_values("key")
+    cold = facts.where(F.col("weight") < least).drop("weight") if least > LEAST_NEXT else None
+    key = hot["key"].to_numpy(np.int64).view(np.uint64)
+    values = [hot["n"].fillna(0).to_numpy(np.int64), *(hot[c].to_numpy(np.float32) for c in ("own", "bow"))]
+    sent = spark.sparkContext.broadcast(Hot(key, *values, spread, None if cold is None else bits_of(cold.where("own is not null or bow is not null")), total, distinct, discount, depth))
+    return Tree(words, facts, cold, total, distinct, discount, depth, least, sent)
+
+
+def frequent_from(facts: DataFrame, most: int) -> int:
+    """The least weight from which on ``facts`` has ``most`` rows at most; weights are told apart to a sixteenth of their binary logarithm."""
+    step = F.floor(F.log2(F.col("weight").cast("double")) * 16).alias("step")
+    at, left = 1 << 62, most
+    for r in facts.groupBy(step).agg(F.count("*").alias("rows"), F.min("weight").alias("least")).orderBy(F.desc("step")).collect():
+        if r.rows > left:
+            return at
+        left, at = left - r.rows, r.least
+    return LEAST_NEXT
+
+
+def slot(name: str, d: int) -> str:
+    return f"{name}{d}"
+
+
+def score(docs: DataFrame, tree: Tree, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` for every text.
 
-    ``base_score`` is the add-one unigram log10 probability. Null text: empty, whose only token is its end.
-    Null ids and repeated rows are documents of their own; other columns are ignored; no rows give no rows.
+    ``base_score`` is the add-one unigram log10 probability, ``score`` the tree's log10 probability of the whole text. Null text: empty,
+    whose only token is its end. Null ids and repeated rows are documents of their own; other columns are ignored; no rows give no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
+    sent, depth = tree.sent, tree.depth
     whole = tree.train_tokens + tree.distinct + 1
+    values = [*(slot("own", d) for d in range(1, depth + 1)), *(slot("bow", d) for d in range(1, depth + 1))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
+        m = sent.value
         for batch in batches:
-            tree = sent.value
-            walk = walker(sent)
-            index = pd.Index(tree.known) if index is None else index
-            with np.errstate(divide="ignore"):
-                among = np.log10(np.maximum(tree.known_counts - tree.discount, 1e-9) / max(tree.other_tokens, 1))
             for part in slices(batch, "text"):
-                h, rows = with_ends(part.column("text"))
-                sym, found, size = walk.symbols(h), index.get_indexer(h), part.num_rows
-                logs, known = log10_next(walk, sym, rows), found >= 0
-                other = known & (sym == len(tree.symbols))
-                logs[other] += among[found[other]]
-                rare = np.flatnonzero(~known)
+                size = part.num_rows
+                h, rows, place, sums = framed(part.column("text"), m.spread[:256].take(LOWER))
+                sums += m.spread[256]
+                grams = sequences(h, depth + 1)
+                found = [m.look(grams[0])]
+                open_ = np.zeros(len(h), bool)
+                p = np.ones(len(h))
+                n = np.where(found[0] >= 0, m.n[found[0]], 0) if len(m.keys) else np.zeros(len(h), np.int64)
+                known = n > 0
+                p[known] = (n[known] - m.discount) / m.train_tokens
+                facts: dict[str, np.ndarray] = {}
+                for d in range(1, depth + 1):
+                    here = np.flatnonzero(place >= d)
+                    context = found[d - 1][here - 1]
+                    bow = np.where(context >= 0, m.bow[context], np.nan) if len(m.keys) else np.full(len(here), np.nan)
+                    on = np.ones(len(here), bool) if m.cold_bits is not None or d < depth else ~np.isnan(bow)
+                    at = np.full(len(h), -1)
+                    at[here[on]] = m.look(grams[d][here[on]])
+                    found.append(at)
+                    own = np.where(at[here] >= 0, m.own[at[here]], np.nan) if len(m.keys) else np.full(len(here), np.nan)
+                    if m.cold_bits is not None:
+                        for name, value, got, key in (("own", own, at[here], grams[d][here]), ("bow", bow, context, grams[d - 1][here - 1])):
+                            ask = (got < 0) & maybe(m.cold_bits, key)
+                            open_[here[ask]] = True
+                            facts[slot(name, d)], facts[f"{slot(name, d)}_key"] = np.full(len(h), np.nan), np.zeros(len(h), np.uint64)
+                            facts[slot(name, d)][here], facts[f"{slot(name, d)}_key"][here] = value, np.where(ask, key, 0)
+                    kept = ~np.isnan(bow)
+                    p[here[kept]] = np.nan_to_num(own[kept].astype(np.float64)) + bow[kept] * p[here[kept]]
+                token = place > 0
+                sure, asked = token & ~open_, token & open_
                 base = np.full(len(h), -np.log10(whole))
-                base[known] += np.log10(tree.known_counts[found[known]] + 1.0)
-                sums = [np.bincount(rows, w, size) for w in (logs, base)]
+                base[known] += np.log10(n[known] + 1.0)
+                rare = np.flatnonzero(token & ~known)  # the word's own count is yet to be looked up
+                rare = rare[np.argsort(rows[rare], kind="stable")]
                 ends = np.concatenate(([0], np.cumsum(np.bincount(rows[rare], minlength=size)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.bincount(rows, minlength=size)), pa.array(np.bincount(rows[known], minlength=size)), pa.array(sums[1]), pa.array(sums[0]), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[rare].view(np.int64)))],
-                    names=["doc_id", "n_tokens", "n_known", "base_score", "score", "rare"],
-                )
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([signed(h[rare]), pa.array(sums[rare]), pa.array(sure[rare])], ["key", "letters", "alone"]))
+                cols = [part.column("doc_id"), pa.array(np.bincount(rows[token], minlength=size)), pa.array(np.bincount(rows[token & known], minlength=size)), pa.array(np.bincount(rows[token], base[token], size)), pa.array(np.bincount(rows[sure], np.log10(p[sure]), size)), lists]
+                names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "rare"]
+                if m.cold_bits is not None:
+                    some = np.flatnonzero(asked)
+                    ends = np.concatenate(([0], np.cumsum(np.bincount(rows[some], minlength=size)))).astype(np.int32)
+                    fields = {"word": signed(h[some]), "letters": pa.array(sums[some]), "n": pa.array(n[some])}
+                    for v in values:
+                        fields |= {v: pa.array(facts[v][some].astype(np.float64), from_pandas=True), f"{v}_key": signed(facts[f"{v}_key"][some])}
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(list(fields.values()), list(fields))))
+                    names.append("open")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(source.dtypes)["doc_id"]
-    parts = durable(source.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<long>").withColumn("__row", F.monotonically_increasing_id()))
-    asked = parts.select("__row", F.explode("rare").alias("key"))
-    few = table.where(F.col("n") < max(KNOWN_SHARE * tree.train_tokens, 1))
+    cold = tree.cold is not None
+    field = "word: bigint, letters: double, n: bigint, " + ", ".join(f"{v}: double, {v}_key: bigint" for v in values)
+    schema = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<struct<key: bigint, letters: double, alone: boolean>>" + (f", open array<struct<{field}>>" if cold else "")
+    parts = durable(source.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()))
+    asked = parts.select("__row", F.explode("rare").alias("r")).select("__row", "r.*")
+    few = tree.words.where(F.col("n") < tree.known_from)
     n = F.coalesce("n", F.lit(0))
-    found = asked.join(few, "key", "left").groupBy("__row").agg(F.count_if(n > 0).alias("__k"), F.sum(F.log10(n + 1)).alias("__b"), F.sum(tree.other_log10(n)).alias("__s"))
-    return parts.join(found, "__row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("__k", F.lit(0))).alias("n_known"),
-        (F.col("base_score") + F.coalesce("__b", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("__s", F.lit(0.0))).alias("score"),
-    )
+    found = asked.join(few, "key", "left").groupBy("__row").agg(F.count_if(n > 0).alias("__k"), F.sum(F.log10(n + 1)).alias("__b"), F.sum(F.when(F.col("alone"), tree.word_log10(n, F.col("letters"))).otherwise(0.0)).alias("__s"))
+    out = parts.drop("rare", "open").join(found, "__row", "left")
+    added = F.coalesce("__s", F.lit(0.0))
+    if cold:
+        out = out.join(joined(parts, tree, values), "__row", "left")
+        added += F.coalesce("__t", F.lit(0.0))
+    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("__k", F.lit(0))).alias("n_known"), (F.col("base_score") + F.coalesce("__b", F.lit(0.0))).alias("base_score"), (F.col("score") + added).alias("score"))
+
+
+def joined(parts: DataFrame, tree: Tree, values: list[str]) -> DataFrame:
+    """``__row, __t``: log10 probabilities of the tokens that need rows of the tree which workers don't have. A hot row is never asked
+    for, so no key that is asked for has more than its share of the tokens, whatever the corpus."""
+    tokens = parts.select("__row", F.posexplode("open").alias("__at", "t")).select("__row", "__at", "t.*")
+    facts = tree.cold.unionByName(tree.words.where(F.col("n") < LEAST_NEXT).select("key", "n", *[F.lit(None).cast("double").alias(c) for c in ("own", "bow")]))
+    asks = [F.struct(F.lit(v).alias("slot"), F.col(f"{v}_key").alias("key")) for v in values] + [F.struct(F.lit("n").alias("slot"), F.when(F.col("n") == 0, F.col("word")).otherwise(F.lit(0)).alias("key"))]
+    asked = tokens.select("__row", "__at", F.explode(F.filter(F.array(*asks), lambda a: a["key"] != 0)).alias("a")).select("__row", "__at", "a.*")
+    got = asked.join(facts, "key").groupBy("__row", "__at").agg(F.max(F.when(F.col("slot") == "n", F.col("n"))).alias("__n"), *[F.max(F.when(F.col("slot") == v, F.col(v[:3]))).alias(f"__{v}") for v in values])
+    both = tokens.join(got, ["__row", "__at"], "left")
+    p = F.pow(F.lit(10.0), tree.word_log10(F.greatest("n", F.coalesce("__n", F.lit(0))), F.col("letters")))
+    for d in range(1, tree.depth + 1):
+        own, bow = (F.coalesce(F.col(slot(x, d)), F.col(f"__{slot(x, d)}")) for x in ("own", "bow"))
+        p = F.when(bow.isNull(), p).otherwise(F.coalesce(own, F.lit(0.0)) + bow * p)
+    return both.groupBy("__row").agg(F.sum(F.log10(p)).alias("__t"))

@@ -44,8 +44,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _hashed(raw: np.ndarray, first: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words of ``raw``; ``first`` marks bytes that begin a row."""
+def _hashed(raw: np.ndarray, first: np.ndarray, breaks: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of ``raw`` and the sums of their bytes' weights; ``first`` marks bytes that begin a row."""
     gap = breaks[raw]
     word = ~gap
     begins = word.copy()
@@ -56,7 +56,11 @@ def _hashed(raw: np.ndarray, first: np.ndarray, breaks: np.ndarray) -> tuple[np.
     up, down = _power(len(raw) + 1)
     sums = np.cumsum((LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[: len(raw)])
     before = np.where(s > 0, sums[s - 1], np.uint64(0)) if len(s) else sums[:0]
-    return mixed((sums[e] - before) * down[s] + (e - s).astype(np.uint64)), s
+    hashes = mixed((sums[e] - before) * down[s] + (e - s).astype(np.uint64))
+    if weights is None:
+        return hashes, s, np.zeros(0)
+    sums = np.concatenate(([0.0], np.cumsum(weights[raw])))
+    return hashes, s, sums[e + 1] - sums[s]
 
 
 def word_hashes(texts: pa.Array, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +68,14 @@ def word_hashes(texts: pa.Array, breaks: np.ndarray = SPACE) -> tuple[np.ndarray
 
     Null rows have none. Memory is bounded by STEP and the words, not by the longest text.
     """
+    return weighed_words(texts, None, breaks)[:2]
+
+
+def weighed_words(texts: pa.Array, weights: np.ndarray | None, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``word_hashes`` returns, and for each word the sum of its bytes' ``weights`` (256 numbers; none: an empty array)."""
     raw, offsets = buffers(texts)
     starts = offsets[:-1][offsets[:-1] < offsets[1:]]
-    hashes, places, at = [], [], 0
+    hashes, places, sums, at = [], [], [np.zeros(0)], 0
     while at < len(raw):
         to = min(len(raw), at + STEP)
         if to < len(raw):
@@ -78,13 +87,14 @@ def word_hashes(texts: pa.Array, breaks: np.ndarray = SPACE) -> tuple[np.ndarray
                     to += 1
         first = np.zeros(to - at, dtype=bool)
         first[starts[np.searchsorted(starts, at) : np.searchsorted(starts, to)] - at] = True
-        h, s = _hashed(raw[at:to], first, breaks)
+        h, s, own = _hashed(raw[at:to], first, breaks, weights)
         hashes.append(h)
+        sums.append(own)
         places.append(s + at)
         at = to
     h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
     place = np.concatenate([*places, np.zeros(0, np.int64)])
-    return h, np.searchsorted(offsets, place, side="right") - 1
+    return h, np.searchsorted(offsets, place, side="right") - 1, np.concatenate(sums)
 
 
 def hash_words(words: list[str]) -> np.ndarray:

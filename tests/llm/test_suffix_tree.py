@@ -1,87 +1,149 @@
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lodestrata.llm import suffix_tree as st
 from lodestrata.llm.queries import op2_lm_scoring
-from lodestrata.llm.tokens import hash_words
 
 SF = "/root/testdata/sf0.001"
+BEGIN, END = "\x01begin", "\x01end"
 
 
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
 
+class Plain:
+    """The tree, by dictionaries."""
+
+    def __init__(self, texts, depth=st.DEPTH, price=st.PRICE, least_context=st.LEAST_CONTEXT, least_next=st.LEAST_NEXT):
+        framed = [[BEGIN, *words(t), END] for t in texts]
+        self.words = Counter(w for t in framed for w in t[1:])
+        self.n = sum(self.words.values())
+        times = Counter(self.words.values())
+        self.discount = min(0.9, max(0.1, times[1] / (times[1] + 2 * times[2]))) if times[1] else 0.5
+        letters = Counter(b for t in framed for w in t[1:-1] for b in w.encode())
+        whole = sum(letters.values()) + 256 + self.n + 1
+        self.letter = lambda b: math.log10((letters[b] + 1) / whole)
+        self.stop = math.log10((self.n + 1) / whole)
+        self.depth, self.own, self.bow = depth, {}, {}
+        for d in range(1, depth + 1):
+            grams = Counter(tuple(t[i : i + d + 1]) for t in framed for i in range(len(t) - d))
+            contexts = Counter(tuple(t[i : i + d]) for t in framed for i in range(len(t) - d + (0 if d > 1 else 0)))
+            after = defaultdict(dict)
+            for g, n in grams.items():
+                if n >= least_next and contexts[g[:-1]] >= least_context:
+                    after[g[:-1]][g[-1]] = n
+            for c, nexts in after.items():
+                total, stored, kinds = contexts[c], sum(nexts.values()), len(nexts)
+                below = {w: 10 ** self.log10(c[1:], w) for w in nexts}
+                gain = sum(n * math.log(n / total / below[w]) for w, n in nexts.items())
+                if total > stored:
+                    gain += (total - stored) * math.log((total - stored) / total / max(1 - sum(below.values()), 1e-12))
+                if gain > price * (kinds + 1):
+                    self.bow[c] = (total - stored + kinds) / (total + kinds)
+                    for w, n in nexts.items():
+                        self.own[*c, w] = n / (total + kinds)
+
+    def log10(self, context, w):
+        n = self.words[w]
+        byte = self.stop + (0 if w == END else sum(map(self.letter, w.encode())))
+        if not self.n:
+            return byte
+        p = (n - self.discount) / self.n if n else 10**byte * self.discount * len(self.words) / self.n
+        for d in range(1, len(context) + 1):
+            c = tuple(context[-d:])
+            if c in self.bow:
+                p = self.own.get((*c, w), 0.0) + self.bow[c] * p
+        return math.log10(p)
+
+    def score(self, text):
+        t = [BEGIN, *words(text), END]
+        return sum(self.log10(t[max(0, i - self.depth) : i], t[i]) for i in range(1, len(t)))
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
 def test_contract_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in docs}
-    counts = Counter()
-    for r in docs:
-        if not held[r.doc_id]:
-            counts.update([*words(r.text), None])
-    n, v = sum(counts.values()), len(counts)
+    plain = Plain([r.text for r in docs if not held[r.doc_id]])
+    n, v = plain.n, len(plain.words)
     out = op2_lm_scoring(spark, SF).toPandas().set_index("doc_id")
-    assert len(out) == len(docs)
+    assert len(out) == len(docs) and len(plain.bow) > 20
     for r in docs:
-        own = [*words(r.text), None]
+        own = [*words(r.text), END]
         row = out.loc[r.doc_id]
         assert row.held_out == held[r.doc_id] and row.n_tokens == len(own) and row.train_tokens == n
-        assert row.n_known == sum(counts[w] > 0 for w in own)
-        assert row.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), rel=1e-9)
-    test = out[out.held_out]
-    assert test.score.sum() > test.base_score.sum() and (out.score < 0).all()
+        assert row.n_known == sum(plain.words[w] > 0 for w in own)
+        assert row.base_score == pytest.approx(sum(math.log10((plain.words[w] + 1) / (n + v + 1)) for w in own), rel=1e-9)
+        assert row.score == pytest.approx(plain.score(r.text), rel=1e-5)
 
 
-def tree_of(spark, texts, **how):
-    return st.train(spark.createDataFrame([(t,) for t in texts], "text string"), **how)
+def toy():
+    rng = np.random.default_rng(3)
+    return [" ".join(rng.choice(list("abcdefgh"), 60, p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.04, 0.01])) + f" rare{i} once{i % 7}" for i in range(40)] + ["a b c a b d " * 40, None]
 
 
-def test_distributions_sum_to_one(spark, monkeypatch):
-    monkeypatch.setattr(st, "SYMBOL_SHARE", 0.02)
-    monkeypatch.setattr(st, "KNOWN_SHARE", 0.01)
-    rng = np.random.default_rng(3)
-    texts = [" ".join(rng.choice(list("abcdefgh"), 60, p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.04, 0.01])) + f" rare{i} once{i % 7}" for i in range(40)] + ["a b c a b c " * 30]
-    tree, table = tree_of(spark, texts)
-    walk = st.Walk(tree)
-    width = tree.width
-    sym = np.arange(width - 1)
-    for context in ([], [0], [1, 0], [2, 1, 0], [width - 2, 1]):
-        p = []
-        for s in sym:
-            path = np.array([*context, s])
-            p.append(10 ** st.log10_next(walk, path, np.zeros(len(path), np.int64))[-1])
-        assert sum(p) == pytest.approx(1.0)
-    few = tree.symbols[:-1]
-    others = table.where(~F.col("key").isin([int(x.astype(np.int64)) for x in tree.symbols]))
-    mass = others.agg(F.sum(F.pow(F.lit(10.0), tree.other_log10(F.col("n"))))).first()[0]
-    unseen = 10 ** spark.range(1).select(tree.other_log10(F.lit(0))).first()[0]
-    assert mass + unseen == pytest.approx(1.0) and len(few) > 3
+@pytest.mark.parametrize("hot_rows", [None, 12, 0])
+def test_rows_of_the_tree_that_workers_lack_are_joined(spark, hot_rows):
+    """The same scores, however many rows every worker has."""
+    texts, asked = toy(), [*toy()[:5], "", "a b c zzz a b é", "unseen a b c a", "h g rare1 f once3 " * 9]
+    plain = Plain(texts)
+    tree = st.train(frame(spark, texts), hot_rows=hot_rows)
+    assert (tree.cold is not None) == (hot_rows is not None)
+    got = {r.doc_id: r for r in st.score(frame(spark, asked), tree).collect()}
+    for i, t in enumerate(asked):
+        assert got[i].score == pytest.approx(plain.score(t), rel=1e-5) and got[i].n_known == sum(plain.words[w] > 0 for w in [*words(t), END])
+
+
+def test_probabilities_sum_to_one_at_most(spark):
+    texts = toy()
+    plain = Plain(texts)
+    assert len(plain.bow) > 3
+    fresh = [chr(97 + i) + chr(97 + j) for i in range(26) for j in range(26)] + list("ijklmnopqrstuvwxyz")
+    every = [*plain.words, *(w for w in fresh if w not in plain.words)]
+    for context in ([], ["a"], ["a", "b"], ["c", "a", "b"], ["never", "a"], ["b", "a", "rare1"]):
+        assert 0.8 < sum(10 ** plain.log10([BEGIN, *context][-3:], w) for w in every) <= 1 + 1e-9
+
+
+def test_gibberish_scores_below_real_text(spark):
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect() if r.text and len(r.text) > 600]
+    rng = np.random.default_rng(1)
+    own = words(docs[0])[:100]
+    odd = ["".join(rng.choice(list("qxzjkvwy"), 6)) for _ in own]
+    tree = st.train(frame(spark, docs[1:]))
+    real, gibberish, known = (r.score for r in st.score(frame(spark, [" ".join(own), " ".join(odd), " ".join(sorted(own))]), tree).orderBy("doc_id").collect())
+    assert gibberish < 2 * real and known < 0
+
+
+def test_the_tree_grows_with_the_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    few, all_ = (st.train(d).facts.agg({"own": "count", "bow": "count"}).first() for d in (docs.where("doc_id % 4 = 0"), docs))
+    assert all_["count(own)"] > 2 * few["count(own)"] and all_["count(bow)"] > 2 * few["count(bow)"]
 
 
 def test_contexts_are_kept_where_they_tell_something(spark):
-    tree, _ = tree_of(spark, ["x a y b " * 40, "y a x b " * 40] * 5)
-    a, b, x, y = (int(np.searchsorted(tree.symbols, hash_words([w])[0])) for w in "abxy")
-    assert tree.orders[0]["kept"][a]
-    own = st.Walk(tree)
-    sure = 10 ** st.log10_next(own, np.array([x, a, y]), np.zeros(3, np.int64))[-1]
-    rare = 10 ** st.log10_next(own, np.array([x, a, x]), np.zeros(3, np.int64))[-1]
-    assert sure > 0.9 > 0.1 > rare
-    free, _ = tree_of(spark, [" ".join(np.random.default_rng(i).choice(list("abcd"), 300)) for i in range(20)])
-    assert free.orders[0]["kept"].sum() <= 1
+    plain = Plain(["x a y b " * 40, "y a x b " * 40] * 5)
+    assert ("a",) in plain.bow and 10 ** plain.log10(["x", "a"], "y") > 0.9 > 0.1 > 10 ** plain.log10(["x", "a"], "x")
+    tree = st.train(frame(spark, [" ".join(np.random.default_rng(i).choice(list("abcd"), 300)) for i in range(20)]))
+    assert tree.facts.where("bow is not null").count() <= 3
 
 
 def test_odd_rows(spark):
-    tree, table = tree_of(spark, [None, "", "a b", "a b", "B a"])
-    rows = [(1, None, "x"), (None, "a b", "x"), (2, "", "x"), (2, "", "x"), (3, "zz " * 200_000, "x"), (4, "É\x00 b", "x")]
-    out = st.score(spark.createDataFrame(rows, "doc_id long, text string, score string"), tree, table).collect()
+    tree = st.train(spark.createDataFrame([(None,), ("",), ("a b",), ("a b",), ("B a",)], "text string"))
+    rows = [(1, None, "x"), (None, "a b", "x"), (2, "", "x"), (2, "", "x"), (3, "zz " * 200_000, "x"), (4, "É\x00 b", "x")]
+    clash = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, score string, __row int, n_known int")
+    out = st.score(clash, tree).collect()
     n = {r.doc_id: r.n_tokens for r in out}
-    assert len(out) == 6 and n[1] == 1 and n[None] == 3 and n[3] == 200_001 and n[4] == 2 and all(r.score < 0 for r in out)
-    assert st.score(spark.createDataFrame([], "doc_id long, text string"), tree, table).count() == 0
-    none, empty = st.train(spark.createDataFrame([], "text string"))
-    assert st.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), none, empty).first().n_known == 0
+    assert len(out) == 6 and n[1] == 1 and n[None] == 3 and n[3] == 200_001 and n[4] == 3 and all(r.score < 0 for r in out)
+    assert st.score(spark.createDataFrame([], "doc_id long, text string"), tree).count() == 0
+    empty = st.train(spark.createDataFrame([], "text string"))
+    got = st.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), empty).first()
+    assert got.n_known == 0 and got.score < 0
