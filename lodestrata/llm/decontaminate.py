@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import durable, slices
-from lodestrata.llm.tokens import PUNCTUATION, mixed, word_hashes
+from lodestrata.llm.tokens import PUNCTUATION, grams, word_hashes
 
 #: Words of a seed.
 SEED = 4
@@ -29,17 +29,6 @@ def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(pc.utf8_lower(texts.cast(pa.large_string())), PUNCTUATION)
 
 
-def grams(h: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-word sequences within rows and the word at which each begins."""
-    if len(h) < n:
-        return h[:0], np.zeros(0, np.int64)
-    out = h[: len(h) - n + 1].copy()
-    for k in range(1, n):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
-    at = np.flatnonzero(rows[: len(rows) - n + 1] == rows[n - 1 :])
-    return out[at], at
-
-
 class Items:
     """Test items with their seeds. An item shorter than a seed is its own seed of fewer words only in ``short``."""
 
