@@ -51,6 +51,18 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def joined_hot(rows: DataFrame, values: DataFrame, key: str, share: float = 0.001) -> DataFrame:
+    """``rows`` joined with ``values`` (distinct ``key``, ``n``: rows that have it, other columns): an inner join without skew.
+
+    Keys that have more than ``share`` of the rows are 1 / share at most; their values are broadcast and their rows stay where they are. The others
+    are shuffled. Both frames are read twice, so they should be durable.
+    """
+    total = values.agg(F.sum("n")).first()[0] or 0
+    hot = durable(values.where(F.col("n") > max(share * total, 1)).drop("n"))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(values.where(F.col("n") <= max(share * total, 1)).drop("n"), key))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: long) as (node, root), root the smallest node.
 

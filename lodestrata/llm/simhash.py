@@ -4,11 +4,16 @@ A fingerprint is cut into segments. Two fingerprints within ``radius`` bits diff
 ``radius // segments`` bits of some segment, so every fingerprint is looked up, in a table for each segment,
 under all values of that segment's small Hamming ball, and whole distances decide. Of the two directions in
 which a pair could be met, only the one towards the larger value is enumerated.
+
+``groups`` links 64-bit fingerprints within a few bits, exactly. ``without_near_copies`` finds texts whose sets of shingles
+have a Jaccard similarity: their fingerprints differ in a known share of the bits, so segments and balls of a
+fingerprint of 256 bits or more are chosen to meet nearly all such pairs, whole distances leave few others, and the sets decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -16,12 +21,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import components, durable, slices
+from lodestrata.llm.common import components, durable, joined_hot, slices
+from lodestrata.llm.lines import few
+from lodestrata.llm.tokens import grams, mixed, word_hashes
 
 SHINGLE, RADIUS, SEGMENTS = 4, 4, 3
 #: Table entries with up to so many fingerprints are compared pair by pair in one vectorised pass.
 SMALL = 32
 
+#: Words of a shingle and similarity of near copies; share of such pairs, at that very similarity, that some segment meets.
+TERM, SIMILAR, RECALL = 5, 0.8, 0.99
+#: 64-bit parts of a wide fingerprint, least and most.
+PARTS = (4, 24)
+#: Standard deviations by which a distance may exceed its mean at the similarity.
+SPREAD = 3
+#: Members before it, in the order of the fingerprints, with which each member of an entry is compared; in larger entries chains of closer ones are followed too.
+MEMBERS = 512
+#: Nearest members of an entry that become candidates of a later member.
+NEAREST = 4
+#: Nearest candidates of a text whose sets of shingles are compared with its own at first; of the others those follow that are not yet in its group.
+CHECKED = 2
+
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """A bit is 1 if it is set in over half the shingles' hashes."""
@@ -60,21 +80,34 @@ def widths(segments: int) -> list[int]:
     return [64 * (k + 1) // segments - 64 * k // segments for k in range(segments)]
 
 
+def entries(fp: str, at: int, width: int, ball: int, table: int, tables: int) -> Column:
+    """The entries of a table, for ``width`` bits of ``fp`` from ``at`` on: the values within ``ball`` bits that are not smaller."""
+    masks = [sum(1 << x for x in bits) for n in range(ball + 1) for bits in combinations(range(width), n)]
+    own = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
+    keys = F.filter(F.transform(F.array(*map(F.lit, masks)).cast("array<long>"), lambda m: own.bitwiseXOR(m)), lambda k: k >= own)
+    return F.transform(keys, lambda k: k * tables + table)
+
+
 def lookups(fps: DataFrame, radius: int, segments: int) -> DataFrame:
     """``k, fp``: all table entries under which a fingerprint is kept or looked up."""
-    def entries(t: int, at: int, width: int) -> Column:
-        masks = [sum(1 << x for x in bits) for n in range(radius // segments + 1) for bits in combinations(range(width), n)]
-        own = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
-        keys = F.filter(F.transform(F.array(*map(F.lit, masks)).cast("array<long>"), lambda m: own.bitwiseXOR(m)), lambda k: k >= own)
-        return F.transform(keys, lambda k: k * segments + t)
-
     rows, at = [], 0
     for t, width in enumerate(widths(segments)):
-        rows.append(entries(t, at, width))
+        rows.append(entries("fp", at, width, radius // segments, t, segments))
         at += width
     return fps.select(F.explode(F.concat(*rows)).alias("k"), "fp")
 
 
+def segments_for(n: int, radius: int = RADIUS) -> int:
+    """How many segments make the work least for ``n`` fingerprints: entries, and comparisons within an entry. Any number finds the same links."""
+
+    def work(segments: int) -> float:
+        width = min(widths(segments))
+        ball = sum(math.comb(width, k) for k in range(radius // segments + 1))
+        return segments * ball * (1 + 0.5 * n * ball / 2**width)
+
+    return min(range(2, radius + 2), key=work)
+
+
 def linked(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that join all of a group's fingerprints which chains of near ones connect: fewer than it has members."""
     rest, out = fps.copy(), []
@@ -91,33 +124,14 @@ def linked(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
-    """``a, b``: links between distinct fingerprints that connect exactly those which chains of pairs within ``radius`` connect.
-
-    ``fps`` has distinct values in ``fp``. An entry's members are linked by a spanning forest, not by all its
-    pairs, so the links grow with the members. Within an entry every comparison is made.
-    """
+def by_entry(compare: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function over rows sorted by entry ``k`` that calls ``compare`` with whole entries and returns its distinct pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left_k, left_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
         def done(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-            size = np.diff(np.append(starts, len(k)))
-            a, b = [], []
-            small = np.repeat(size <= SMALL, size)
-            for d in range(1, min(SMALL, int(size.max(initial=1)))):
-                i = np.flatnonzero((k[d:] == k[:-d]) & small[d:])
-                if not len(i):
-                    break
-                i = i[np.bitwise_count(f[i] ^ f[i + d]) <= radius]
-                a.append(f[i])
-                b.append(f[i + d])
-            for s, n in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-                pairs = np.array(linked(f[s : s + n], radius), dtype=np.uint64).reshape(-1, 2)
-                a.append(pairs[:, 0])
-                b.append(pairs[:, 1])
-            pair = np.unique(np.stack([np.concatenate([*a, left_f[:0]]), np.concatenate([*b, left_f[:0]])], axis=1).view(np.int64), axis=0)
+            pair = np.unique(np.stack(compare(k, f), axis=1).view(np.int64), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
         for batch in batches:
@@ -132,11 +146,39 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> Dat
         if len(left_k):
             yield done(left_k, left_f)
 
-    entries = lookups(fps, radius, segments).repartition(F.col("k")).sortWithinPartitions("k", "fp")
-    return entries.mapInArrow(run, "a long, b long").distinct()
+    return run
+
 
+def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+    """``a, b``: links between distinct fingerprints that connect exactly those which chains of pairs within ``radius`` connect.
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+    ``fps`` has distinct values in ``fp``. An entry's members are linked by a spanning forest, not by all its
+    pairs, so the links grow with the members. Within an entry every comparison is made.
+    """
+
+    def compared(k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        size = np.diff(np.append(starts, len(k)))
+        a, b = [], []
+        small = np.repeat(size <= SMALL, size)
+        for d in range(1, min(SMALL, int(size.max(initial=1)))):
+            i = np.flatnonzero((k[d:] == k[:-d]) & small[d:])
+            if not len(i):
+                break
+            i = i[np.bitwise_count(f[i] ^ f[i + d]) <= radius]
+            a.append(f[i])
+            b.append(f[i + d])
+        for s, n in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            pairs = np.array(linked(f[s : s + n], radius), dtype=np.uint64).reshape(-1, 2)
+            a.append(pairs[:, 0])
+            b.append(pairs[:, 1])
+        return np.concatenate([*a, f[:0]]), np.concatenate([*b, f[:0]])
+
+    found = lookups(fps, radius, segments).repartition(F.col("k")).sortWithinPartitions("k", "fp")
+    return found.mapInArrow(by_entry(compared), "a long, b long").distinct()
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, segments: int | None = None) -> DataFrame:
     """``doc_id, fp, component_id``: a row per document; ``component_id`` is the smallest id reachable over links.
 
     Equal fingerprints are one node, so copies are never paired. Documents without words have the fingerprint
@@ -144,13 +186,13 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     id. Repeated rows stay. Other columns are ignored. No rows give no rows.
     """
     each = durable(fingerprints(docs, doc_id, text, shingle))
-    nodes = durable(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(nodes.select("fp"), radius, segments))
+    nodes = durable(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    found = components(links(nodes.select("fp"), radius, segments or segments_for(nodes.count(), radius)))
     member = found.withColumnRenamed("node", "fp").join(nodes, "fp")
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = member.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
-    known = nodes.join(moved, nodes["fp"] == moved["__fp"], "left").select(F.col("fp").alias("__fp"), F.coalesce("component_id", "least").alias("component_id"))
-    return each.join(known, each["fp"] == known["__fp"]).select("doc_id", "fp", "component_id")
+    known = durable(nodes.join(moved, nodes["fp"] == moved["__fp"], "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"))
+    return joined_hot(each, known, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: str) -> Column:
@@ -161,3 +203,161 @@ def near_deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     """``docs`` with one document of each component: the smallest id. Of repeated ids all rows stay; null ids stay."""
     kept = groups(docs, doc_id, text, **how).where("doc_id = component_id").select(F.col("doc_id").alias("__sh_id")).distinct()
     return docs.join(kept, docs[doc_id] == kept["__sh_id"], "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))
+
+
+def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each row, and their rows, in order of both; a row of fewer words has its whole sequence as one."""
+    h, rows = word_hashes(texts)
+    size = np.bincount(rows, minlength=len(texts))
+    g, at = grams(h, rows, shingle)
+    every, row = [g], [rows[at]]
+    for n in range(1, shingle):
+        on = size[rows] == n
+        g, at = grams(h[on], rows[on], n)
+        every.append(g)
+        row.append(rows[on][at])
+    g, row = np.concatenate(every), np.concatenate(row)
+    order = np.lexsort((g, row))
+    g, row = g[order], row[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+    return g[new], row[new]
+
+
+def wide_fingerprints(g: np.ndarray, rows: np.ndarray, n: int, parts: int) -> np.ndarray:
+    """``parts`` 64-bit numbers for each of ``n`` rows: a bit is 1 if it is set in over half of the hashes of the row's shingles."""
+    votes = np.zeros((n, 64 * parts), np.int64)
+    for at in range(0, len(g), 32768):
+        part, own = g[at : at + 32768], rows[at : at + 32768]
+        bits = np.unpackbits(np.stack([mixed(part + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) for k in range(parts)], axis=1).view(np.uint8), axis=1, bitorder="little")
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        votes[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    return np.packbits(2 * votes > np.bincount(rows, minlength=n)[:, None], axis=1, bitorder="little").view("<u8")
+
+
+def flips(similar: float) -> float:
+    """The share of bits in which fingerprints of two sets of equal size and this Jaccard similarity differ: their angle's share of a half turn."""
+    return math.acos(2 * similar / (1 + similar)) / math.pi
+
+
+def plan(n: int, similar: float = SIMILAR, recall: float = RECALL) -> tuple[int, int, int, int]:
+    """(width, ball, tables, parts) that let a pair of this similarity meet in some table as often as ``recall``, with the least work for ``n`` fingerprints.
+
+    Random members of an entry must not be more than are compared (MEMBERS), so segments get longer with ``n``.
+    """
+    p, found = flips(similar), []
+    for width in range(8, 33):
+        for ball in range(4):
+            meet = sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(ball + 1))
+            tables = math.ceil(math.log(1 - recall) / math.log1p(-meet)) if meet < recall else 1
+            values = sum(math.comb(width, k) for k in range(ball + 1))
+            load, parts = n * values / 2**width, max(PARTS[0], -(-tables // (64 // width)))
+            if parts <= PARTS[1]:
+                found.append((max(load, MEMBERS), tables * values * (1 + 0.01 * load) + 20 * parts, width, ball, tables, parts))
+    return min(found)[2:]
+
+
+def candidates(nodes: DataFrame, tables_of: tuple[int, int, int, int], similar: float = SIMILAR) -> DataFrame:
+    """``child, parent``: of each table entry, every member with the NEAREST ones before it that are near enough.
+
+    ``nodes`` has distinct ``f0`` and the other parts. A member has so many candidates for each of its entries at most, so
+    candidates grow with the members, not with their pairs. Distances are those of ``f0``; whole ones are the caller's to check.
+    """
+    most, p = MEMBERS, flips(similar)
+    near, close = (int(64 * p + k * math.sqrt(64 * p * (1 - p))) for k in (SPREAD - 0.25, 1))
+    width, ball, tables, _ = tables_of
+    per = 64 // width
+    keys = [entries(f"f{t // per}", t % per * width, width, ball, t, tables) for t in range(tables)]
+
+    def nearest(k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        size = np.diff(np.append(starts, len(k)))
+        best, parent = np.full((NEAREST, len(k)), near + 1, np.uint8), np.zeros((NEAREST, len(k)), np.uint64)
+        on, d = np.arange(len(k)), 0
+        while len(on) and d < most:
+            d += 1
+            on = on[on + d < len(k)]
+            on = on[k[on + d] == k[on]]
+            far = np.bitwise_count(f[on] ^ f[on + d])
+            some = far < best[-1, on + d]
+            at, far, own = on[some] + d, far[some], f[on[some]]
+            for slot in range(NEAREST):
+                had, whose = best[slot, at], parent[slot, at]
+                nearer = far < had
+                best[slot, at], parent[slot, at] = np.where(nearer, far, had), np.where(nearer, own, whose)
+                far, own = np.where(nearer, had, far), np.where(nearer, whose, own)
+        got = best <= near
+        child, parent = [np.broadcast_to(f, got.shape)[got]], [parent[got]]
+        for s, n in zip(starts[size > most].tolist(), size[size > most].tolist(), strict=True):
+            pairs = np.array(linked(f[s : s + n], close), dtype=np.uint64).reshape(-1, 2)
+            child.append(pairs[:, 1])
+            parent.append(pairs[:, 0])
+        return np.concatenate(child), np.concatenate(parent)
+
+    found = nodes.select(F.explode(F.concat(*keys)).alias("k"), F.col("f0").alias("fp")).repartition(F.col("k")).sortWithinPartitions("k", "fp")
+    return found.mapInArrow(by_entry(nearest), "a long, b long").distinct().select(F.col("a").alias("child"), F.col("b").alias("parent"))
+
+
+def without_near_copies(docs: DataFrame, key: str, text: str = "text", shingle: int = TERM, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
+    """``docs`` with the row of the smallest ``key`` of each group of near copies; ``key`` is never null and different in every row.
+
+    Two texts are near copies if their sets of ``shingle`` words have a Jaccard similarity of ``similar`` at least; groups are what chains of
+    them connect. Texts without words are copies of each other; null counts as such a text. Every candidate that multi-index
+    hashing finds is checked by its sets unless both texts are in one group already: first each text's CHECKED nearest by whole distances, then the others. No rows give no rows.
+    """
+    chosen = plan(docs.count(), similar, recall)
+    parts = chosen[-1]
+    names = [f"f{k}" for k in range(parts)]
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                fps = wide_fingerprints(*shingle_sets(part.column("text"), shingle), part.num_rows, parts).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(parts))], names=["key", *names])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                g, rows = shingle_sets(part.column("text"), shingle)
+                data = pa.py_buffer(g.astype("<u8").tobytes())
+                ends = 8 * np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=part.num_rows))))
+                yield pa.RecordBatch.from_arrays([part.column("f0"), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), data])], names=["f0", "own"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similar * (len(a) + len(b) - both))
+            on = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch.column("child").take(on), batch.column("parent").take(on)], names=["a", "b"])
+
+    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kind = source.select("key").schema[0].dataType.simpleString()
+    each = source.mapInArrow(printed, f"key {kind}, " + ", ".join(f"{c} long" for c in names))
+    nodes = durable(each.groupBy("f0").agg(F.min(F.struct("key", *names[1:])).alias("s")).select("f0", "s.*"))
+    p, width = flips(similar), 64 * parts
+    most = int(width * p + SPREAD * math.sqrt(width * p * (1 - p)))
+    of = lambda side: nodes.select(F.col("f0").alias(side), F.array(*names).alias(f"{side}_f"))
+    pairs = candidates(nodes, chosen, similar).join(of("child"), "child").join(of("parent"), "parent")
+    far = sum((F.bit_count(F.col("child_f")[k].bitwiseXOR(F.col("parent_f")[k])) for k in range(1, parts)), F.bit_count(F.col("child_f")[0].bitwiseXOR(F.col("parent_f")[0])))
+    pairs = pairs.select("child", "parent", far.alias("far")).where(F.col("far") <= most)
+    pairs = pairs.groupBy("child").agg(F.sort_array(F.collect_list(F.struct("far", "parent"))).alias("p"))  # as many as its entries at most
+    pairs = durable(pairs.select("child", F.posexplode("p.parent").alias("at", "parent")))
+    asked = durable(pairs.select(F.explode(F.array("child", "parent")).alias("f0")).distinct().join(nodes.select("f0", "key"), "f0"))
+    shingled = durable(source.join(F.broadcast(asked) if few(asked) else asked, "key").select("f0", "text").mapInArrow(sets, "f0 long, own binary"))
+
+    def checked(some: DataFrame) -> DataFrame:
+        both = some.join(shingled.select(F.col("f0").alias("child"), F.col("own").alias("x")), "child").join(shingled.select(F.col("f0").alias("parent"), F.col("own").alias("y")), "parent")
+        return durable(both.select("child", "parent", "x", "y").mapInArrow(alike, "a long, b long"))
+
+    sure = checked(pairs.where(F.col("at") < CHECKED))
+    group = durable(components(sure))
+    rest = pairs.where(F.col("at") >= CHECKED)
+    for side in ("child", "parent"):
+        rest = rest.join(group.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
+    late = checked(rest.where(F.coalesce("child_root", "child") != F.coalesce("parent_root", "parent")))
+    found = components(sure.unionByName(late))
+    kept = nodes.join(found, nodes["f0"] == found["node"], "left").groupBy(F.coalesce("root", "f0").alias("root")).agg(F.min("key").alias("__sh_key")).select("__sh_key")
+    return docs.join(kept, docs[key] == kept["__sh_key"], "left_semi")

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -80,3 +81,95 @@ def test_near_deduped(spark):
     out = simhash.near_deduped(df)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 2), (False, 2), (False, 9), (True, 0)] and out.columns == df.columns
     assert simhash.near_deduped(df.limit(0)).count() == 0 and simhash.groups(df.limit(0)).count() == 0
+
+
+def shingles(text, n=5):
+    import re
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def jaccard_groups(texts, similar=0.8):
+    """For each text the first of its group, by comparing all sets that share a shingle."""
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    where = {}
+    for i, s in enumerate(sets):
+        for x in s or [None]:
+            where.setdefault(x, []).append(i)
+    pairs = {(a, b) for own in where.values() for k, b in enumerate(own) for a in own[:k]}
+    near = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b])]
+    for a, b in near:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(len(texts))], near
+
+
+def test_near_copies_against_brute_force(spark, monkeypatch):
+    """All groups of the small table, and those of a table with a large group of edited copies, whether entries are compared member by member or by chains."""
+    rng = random.Random(5)
+    base = [" ".join(rng.choices([f"w{i}" for i in range(900)], k=150)) for _ in range(12)]
+    made = [None, "", " ", "one", "One", "two words", "two  words", *base]
+    for b in base:
+        w = b.split()
+        for edits in (1, 1, 2, 3, 4, 5, 8, 12):
+            made.append(" ".join("odd" if i in set(rng.sample(range(150), edits)) else x for i, x in enumerate(w)))
+    w = base[0].split()
+    made += [" ".join(x if i != k else f"n{j}" for i, x in enumerate(w)) for j, k in enumerate(rng.choices(range(150), k=60))]
+    made.append("long " * 80_000)
+    small = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    for texts, members in ((small, 512), (made, 512), (made, 8)):
+        monkeypatch.setattr(simhash, "MEMBERS", members)
+        docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "id long, text string, f0 string, key int")
+        got = simhash.without_near_copies(docs, "id")
+        assert got.columns == docs.columns
+        left, want = {r.id for r in got.collect()}, set(jaccard_groups(texts)[0])
+        assert want <= left and len(left - want) <= (0 if members == 512 else 0.03 * len(texts)), (members, left - want)
+    assert simhash.without_near_copies(docs.limit(0), "id").count() == 0
+
+
+def test_recall_of_near_copies(spark):
+    """Of the pairs at 0.8 or more that brute force finds in a table of 1,000 documents, those that are in one group."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").orderBy("doc_id").collect()
+    want, near = jaccard_groups([r.text for r in docs])
+    assert len(near) > 20
+    left = {r.doc_id for r in simhash.without_near_copies(spark.createDataFrame(docs).withColumnRenamed("key", "k"), "doc_id").collect()}
+    removed = {i for i, w in enumerate(want) if w != i}
+    assert sum(docs[i].doc_id not in left for i in removed) >= 0.97 * len(removed)
+    assert all(docs[i].doc_id in left for i in set(range(len(docs))) - removed)
+
+
+def test_plans_follow_the_size():
+    widths = []
+    for n in (10, 10**5, 10**6, 10**8, 10**10):
+        width, ball, tables, parts = simhash.plan(n)
+        p = simhash.flips(simhash.SIMILAR)
+        meet = sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(ball + 1))
+        assert tables <= parts * (64 // width) and 1 - (1 - meet) ** tables >= simhash.RECALL
+        assert n > 10**6 or n * sum(math.comb(width, k) for k in range(ball + 1)) / 2**width <= simhash.MEMBERS
+        widths.append(width)
+    assert widths == sorted(widths) and widths[0] < widths[-1]
+    assert simhash.segments_for(1000) >= 3 > simhash.segments_for(10**9)
+
+
+@pytest.mark.parametrize("segments", [2, 3, 4, 5])
+def test_any_number_of_segments_finds_the_same(spark, segments):
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i % 9} h i j k l m n {i // 9} o p q r s t u v w x y z") for i in range(60)], "doc_id long, text string")
+    want = {r.doc_id: r.component_id for r in simhash.groups(docs, segments=3).collect()}
+    assert {r.doc_id: r.component_id for r in simhash.groups(docs, segments=segments).collect()} == want
+
+
+def test_hot_keys_are_joined_without_a_shuffle(spark):
+    from lodestrata.llm.common import joined_hot
+
+    rows = spark.createDataFrame([(i, 1 if i < 900 else i) for i in range(1000)] + [(5, None)], "id long, k long")
+    values = spark.createDataFrame([(1, 900, "hot")] + [(i, 1, f"v{i}") for i in range(900, 1000)], "k long, n long, v string")
+    for share in (0.001, 0.5, 1.0):
+        got = {r.id: r.v for r in joined_hot(rows, values, "k", share).collect()}
+        assert got == {i: "hot" if i < 900 else f"v{i}" for i in range(1000)}
