@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import durable
 
 TERM, RADIUS, BLOCKS = 5, 3, 6
-#: Rows of one stretch of the id order. Stretches only divide the work; their number is bounded so that their first ids fit the driver.
-STRETCH, MOST_STRETCHES = 4096, 1000
+#: Rows of one stretch of the id order. Stretches only divide the work: beyond so many, which is 200 MB of text each at 100 TB, they get longer.
+STRETCH, MOST_STRETCHES = 1000, 1 << 19
 #: Two counters of 32 bits in a long: bits i and i + 32 of the hashes.
 LANES = 0x0000000100000001
 
@@ -27,39 +27,59 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+", -1), lambda w: w != "")
 
 
-def fingerprint(text: Column, term: int = TERM) -> Column:
-    """The 64-bit fingerprint of a text; of fewer words than ``term`` the whole sequence is the one term; no words: zero."""
-
-    def terms(hashes: Column) -> Column:
-        chained = F.transform(hashes, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, term)]))
-        return F.when(F.size(hashes) <= term, F.array(F.xxhash64(hashes))).otherwise(F.slice(chained, 1, F.greatest(F.size(hashes) - term + 1, F.lit(1))))
-
-    def voted(hashes: Column) -> Column:
-        start = F.struct(*[F.lit(0).cast("long").alias(f"c{i}") for i in range(32)])
-        return F.aggregate(hashes, start, lambda acc, h: F.struct(*[(acc[f"c{i}"] + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(LANES))).alias(f"c{i}") for i in range(32)]))
-
-    def bits(acc: Column, total: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for i in range(32):
-            for at, votes in ((i, acc[f"c{i}"].bitwiseAND(F.lit(0xFFFFFFFF))), (i + 32, F.shiftrightunsigned(acc[f"c{i}"], 32))):
-                out = out.bitwiseOR(F.when(2 * votes > total, F.lit((1 << at) - (1 << 64 if at == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
-        return out
+def terms(text: Column, term: int = TERM) -> Column:
+    """Hashes of a text's terms, one for each place; of fewer words than ``term`` the whole sequence is the one term."""
 
     def once(value: Column, f) -> Column:  # noqa: ANN001
         """f(value) with ``value`` computed once: as the variable of a lambda."""
         return F.element_at(F.transform(F.array(value), f), 1)
 
     def of(hashes: Column) -> Column:
-        return F.when(F.size(hashes) == 0, F.lit(0).cast("long")).otherwise(once(terms(hashes), lambda t: once(voted(t), lambda acc: bits(acc, F.size(t)))))
+        chained = F.transform(F.slice(hashes, 1, F.size(hashes) - term + 1), lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, term)]))
+        return F.when(F.size(hashes) == 0, F.array().cast("array<long>")).when(F.size(hashes) <= term, F.array(F.xxhash64(hashes))).otherwise(chained)
 
     return once(F.transform(words(text), lambda w: F.xxhash64(w)), of)
 
 
+def fingerprints(docs: DataFrame, texts: list[str], keys: list[str], term: int = TERM) -> DataFrame:
+    """``keys`` and for each column of ``texts`` the 64-bit fingerprint ``fp0, fp1, ...``: a bit is 1 if it is set in over half of the text's
+    terms, a term counted as often as it occurs. Texts without words: zero.
+
+    ``keys`` tell the rows apart. The votes are sums over the terms in generated code, two counters of 32 bits in a
+    long, and no row is shuffled if ``docs`` is already dealt out by some of ``keys``.
+    """
+    each = docs.select(*keys, *[terms(F.col(t), term).alias(f"t{k}") for k, t in enumerate(texts)])
+    size = [F.size(f"t{k}") for k in range(len(texts))]
+    each = each.select(*keys, F.lit(0).alias("c0"), *[sum(size[:k], F.lit(0)).alias(f"c{k}") for k in range(1, len(texts))], F.posexplode_outer(F.concat(*[f"t{k}" for k in range(len(texts))])).alias("at", "h"))
+    which = sum(((F.col("at") >= F.col(f"c{k}")).cast("int") for k in range(1, len(texts))), F.lit(0))
+    votes = each.select(*keys, which.alias("which"), "h").groupBy(*keys, "which").agg(F.count("h").alias("total"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(LANES))).alias(f"v{i}") for i in range(32)])
+    out = F.lit(0).cast("long")
+    for i in range(32):
+        for at, n in ((i, F.col(f"v{i}").bitwiseAND(F.lit(0xFFFFFFFF))), (i + 32, F.shiftrightunsigned(f"v{i}", 32))):
+            out = out.bitwiseOR(F.when(2 * n > F.col("total"), F.lit((1 << at) - (1 << 64 if at == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
+    made = votes.select(*keys, "which", out.alias("fp"))
+    return made.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("which") == k, F.col("fp"))), F.lit(0).cast("long")).alias(f"fp{k}") for k in range(len(texts))])
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal bits."""
     return 1 - F.bit_count(a.bitwiseXOR(b)) / 64
 
 
+def above(bounds: list[float], x: Column) -> Column:
+    """How many of the sorted ``bounds`` are ``x`` or less, by binary search; 0 for null."""
+    array = F.array(*map(F.lit, bounds)).cast("array<double>")
+    span = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+
+    def halved(at: Column, _: Column) -> Column:
+        mid = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        right = (at["low"] < at["high"]) & (F.get(array, mid) <= x)
+        return F.struct(F.when(right, mid + 1).otherwise(at["low"]).alias("low"), F.when(right, at["high"]).otherwise(mid).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), span, halved, lambda at: at["low"])
+    return F.when(x.isNull(), F.lit(0)).otherwise(found)
+
+
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``stretch, place, doc_id, text, next_text, edge`` in ascending (doc_id, text), nulls first, the last followed by the first.
 
@@ -71,9 +91,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     parts = min(MOST_STRETCHES, max(1, -(-n // STRETCH)))
     ids = rows.select(F.col("doc_id").cast("double").alias("x")).where("x is not null")
     bounds = sorted(set(ids.approxQuantile("x", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    x = F.col("doc_id").cast("double")
-    place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= x)), F.lit(0))
-    rows = rows.withColumn("stretch", place.cast("int")).withColumn("edge", F.lit(False))
+    rows = rows.withColumn("stretch", above(bounds, F.col("doc_id").cast("double"))).withColumn("edge", F.lit(False))
     heads = rows.groupBy("stretch").agg(F.min(F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(1)).alias("known"), F.min("doc_id").alias("id")).orderBy("stretch").collect()
     if not heads:
         return rows.select("stretch", F.lit(0).alias("place"), "doc_id", "text", F.lit(None).cast("string").alias("next_text"), "edge")
@@ -121,7 +139,9 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     own. Other columns are ignored. One document follows itself. No rows give no rows.
     """
     pair = with_next(docs, doc_id, text)
-    made = pair.select("stretch", "place", "doc_id", "edge", F.length("text").alias("n_chars"), edited(F.col("text"), F.coalesce("next_text", F.lit(""))).alias("e"), "text")
-    made = made.select("stretch", "place", "doc_id", "edge", "n_chars", F.sha2(F.encode("e", "UTF-8"), 256).alias("edited_sha256"), fingerprint(F.col("text"), term).alias("fp"), F.when(F.col("edge"), F.lit(None)).otherwise(fingerprint(F.col("e"), term)).alias("edited_fp"))
+    made = pair.select("stretch", "place", "doc_id", "edge", F.length("text").cast("long").alias("n_chars"), F.when(F.col("edge"), "").otherwise(edited(F.col("text"), F.coalesce("next_text", F.lit("")))).alias("e"), "text")
+    made = made.withColumn("edited_sha256", F.sha2(F.encode("e", "UTF-8"), 256))
+    made = fingerprints(made, ["text", "e"], ["stretch", "place", "doc_id", "edge", "n_chars", "edited_sha256"], term)
     order = Window.partitionBy("stretch").orderBy("place")
-    return made.select("doc_id", F.col("n_chars").cast("long"), "edited_sha256", "fp", "edited_fp", F.lead("fp").over(order).alias("next_fp"), "edge").where("not edge").drop("edge")
+    made = made.select("doc_id", "n_chars", "edited_sha256", F.col("fp0").alias("fp"), F.col("fp1").alias("edited_fp"), F.lead("fp0").over(order).alias("next_fp"), "edge")
+    return made.where("not edge").drop("edge")

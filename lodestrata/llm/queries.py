@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import chat, decontaminate, fingerprint, html, lines, packing, quality, simhash, substrings, suffix_tree
-from lodestrata.llm.common import durable, table
+from lodestrata.llm.common import durable, joined_hot, table
 
 
 def tokenizer_path() -> str:
@@ -46,12 +46,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``n_near``: for ids divisible by 100, the other documents within the radius of the fingerprint; null for the rest."""
-    made = durable(fingerprint.fingerprint_documents(table(spark, sf_dir, "documents")))
-    asked = made.where("doc_id % 100 = 0")
-    sizes = made.groupBy("fp").agg(F.count("*").alias("n"))
-    near = fingerprint.within(asked, sizes).join(sizes, "fp").groupBy("query").agg((F.sum("n") - 1).alias("n_near"))
-    found = asked.select("fp").distinct().join(near, F.col("fp") == F.col("query")).select("query", "n_near")
-    out = made.join(found, (F.col("fp") == F.col("query")) & F.expr("doc_id % 100 = 0"), "left")
+    made = durable(fingerprint.fingerprint_documents(table(spark, sf_dir, "documents")).withColumn("asked", F.coalesce(F.expr("doc_id % 100 = 0"), F.lit(False))))
+    sizes = durable(made.groupBy("fp").agg(F.count("*").alias("all"), F.count_if("asked").alias("n")))
+    near = fingerprint.within(sizes.where("n > 0"), sizes).join(sizes, "fp").groupBy("query").agg((F.sum("all") - 1).alias("n_near"))
+    found = durable(near.withColumnRenamed("query", "fp").join(sizes.select("fp", "n"), "fp"))
+    out = joined_hot(made.where("asked"), found, "fp").unionByName(made.where("not asked").withColumn("n_near", F.lit(None).cast("long")))
     return out.select(
         "doc_id", "n_chars", "edited_sha256", simhash.hex16("fp").alias("fingerprint"), simhash.hex16("edited_fp").alias("edited_fingerprint"),
         fingerprint.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), fingerprint.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near",

@@ -29,10 +29,20 @@ def slow(spark, texts, term=5):
 def test_votes_by_brute_force(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choices(["a", "B", "cé", "dd", "e.", "f"], k=n)) for n in (0, 1, 4, 5, 6, 7, 30, 200, 3000)]
-    got = {r.i: r.f % (1 << 64) for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", fp.fingerprint(F.col("text")).alias("f")).collect()}
+    pairs = [(i, t, texts[-1 - i], "x") for i, t in enumerate(texts)] + [(99, None, None, "x")]
+    rows = fp.fingerprints(spark.createDataFrame(pairs, "i int, text string, other string, h string"), ["text", "other"], ["i"]).collect()
+    got = {r.i: r.fp0 % (1 << 64) for r in rows}
     want = slow(spark, texts)
-    assert all(got[i] == v for i, v in want.items() if v is not None)
-    assert got[0] == 0
+    assert len(rows) == len(texts) + 1 and all(got[i] == v for i, v in want.items() if v is not None)
+    assert got[0] == got[99] == 0 and all(r.fp1 % (1 << 64) == got.get(len(texts) - 1 - r.i, 0) for r in rows)
+
+
+def test_binary_search_of_stretches(spark):
+    bounds = [-3.5, 0.0, 1.0, 7.0, 9.0]
+    xs = [None, -9.0, -3.5, 0.5, 1.0, 6.9, 7.0, 8.0, 9.0, 99.0]
+    for some in (bounds, bounds[:1], []):
+        got = [r.p for r in spark.createDataFrame([(x,) for x in xs], "x double").select(fp.above(some, F.col("x")).alias("p")).collect()]
+        assert got == [0 if x is None else sum(b <= x for b in some) for x in xs]
 
 
 def expected_order(rows):
