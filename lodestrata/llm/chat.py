@@ -5,8 +5,8 @@ text and image, audio and document parts into numbered placeholders, and records
 references and the tokens that the placeholders expand to.
 
 Control characters never occur inside a text: a backslash becomes ``\\s``, ``<`` becomes ``\\l`` and ``#``
-becomes ``\\h``. Every backslash in an escaped text is one of these pairs, so the three replacements are
-undone in the opposite order, and a turn's end mark is found by a plain split.
+becomes ``\\h``; in a role ``:`` becomes ``\\c``. Every backslash in an escaped text is one of these pairs, so the replacements are
+undone in the opposite order, a turn's end mark is found by a plain split, and its role's by the first colon.
 """
 
 from __future__ import annotations
@@ -18,19 +18,20 @@ from pyspark.sql import functions as F
 OPEN, SEP, CLOSE = "### ", ":\n", "</turn>\n"
 #: Escaped characters and what stands for them.
 ESCAPES = (("\\", "\\s"), ("<", "\\l"), ("#", "\\h"))
+ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
 #: Kinds of attachments and the tokens that one unit of each takes.
 EXPANDS = {"image": 256, "audio": 50, "document": 512}
 PARTS = "array<struct<kind:string,text:string,ref:string,units:int>>"
 
 
-def escaped(text: Column) -> Column:
-    for plain, code in ESCAPES:
+def escaped(text: Column, escapes: tuple[tuple[str, str], ...] = ESCAPES) -> Column:
+    for plain, code in escapes:
         text = F.replace(text, F.lit(plain), F.lit(code))
     return text
 
 
-def unescaped(text: Column) -> Column:
-    for plain, code in reversed(ESCAPES):
+def unescaped(text: Column, escapes: tuple[tuple[str, str], ...] = ESCAPES) -> Column:
+    for plain, code in reversed(escapes):
         text = F.replace(text, F.lit(code), F.lit(plain))
     return text
 
@@ -69,7 +70,7 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         F.filter(F.transform("__p", lambda p, i: F.struct(F.col("t").alias("turn"), i.alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"), expanded(p).alias("tokens"))), lambda a: a["kind"].isin(*EXPANDS)).alias("a"),
     )
     talks = rows.groupBy("__c").agg(F.sort_array(F.collect_list(F.struct("t", "r", "x", "a"))).alias("s"))
-    head = lambda u: F.concat(F.lit(OPEN), escaped(u["r"]), F.lit(SEP))
+    head = lambda u: F.concat(F.lit(OPEN), escaped(u["r"], ROLE_ESCAPES), F.lit(SEP))
     sizes = F.transform("s", lambda u: F.struct(F.length(head(u)).alias("h"), F.length(u["x"]).alias("b"), (u["r"] == "assistant").alias("on")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out"))
 
@@ -91,7 +92,7 @@ def read_back(formatted: Column) -> Column:
     turns = F.split(formatted, F.lit(CLOSE), -1)
     turns = F.slice(turns, 1, F.size(turns) - 1)
     cut = lambda u: F.instr(u, SEP)
-    return F.transform(turns, lambda u: F.struct(unescaped(F.substring(u, F.lit(len(OPEN) + 1), cut(u) - 1 - len(OPEN))).alias("role"), unescaped(F.substring(u, cut(u) + len(SEP), F.length(u))).alias("text")))
+    return F.transform(turns, lambda u: F.struct(unescaped(F.substring(u, F.lit(len(OPEN) + 1), cut(u) - 1 - len(OPEN)), ROLE_ESCAPES).alias("role"), unescaped(F.substring(u, cut(u) + len(SEP), F.length(u))).alias("text")))
 
 
 def masked_text(formatted: Column, loss: Column) -> Column:

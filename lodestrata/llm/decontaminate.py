@@ -30,7 +30,7 @@ def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """Test items with their seeds. An item shorter than a seed is its own seed of fewer words only in ``short``."""
+    """Test items with their seeds. The words of an item shorter than a seed are its one seed."""
 
     def __init__(self, ids: list, texts: list[str | None], n: int = SEED) -> None:
         self.ids, self.n = ids, n
@@ -104,6 +104,8 @@ def matches(h: np.ndarray, rows: np.ndarray, items: Items, least: float) -> list
     for a, b in zip(starts.tolist(), np.append(starts[1:], len(item)).tolist(), strict=True):
         k, r = int(item[a]), int(row[a])
         n = int(size[k])
+        if n < SEED and first[r + 1] - first[r] != n:
+            continue
         begin = max(int(shift[a]) - n // 2, int(first[r]))
         stop = min(int(shift[b - 1]) + n + n // 2 + 1, int(first[r + 1]))
         if np.isin(items.words[k], h[begin:stop]).sum() < least * n:
@@ -134,7 +136,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     ``word`` is the word of the document where the alignment ends. Every seed of every item is looked up, however
     many documents have it, so neither copies nor partial copies hide each other. Null or wordless texts match nothing. Null ids and repeated rows are
-    documents of their own; repeated items count once. Other columns are ignored. Empty tables give no rows.
+    documents of their own; repeated items count once. An item of fewer words than a seed is too common to be a leak: it matches documents without other words. Other columns are ignored. Empty tables give no rows.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     spark, kinds = docs.sparkSession, (dict(source.dtypes)["doc_id"], dict(benchmark.dtypes)[item_id])
@@ -160,6 +162,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: str | float) -> DataFrame:
-    """``docs`` without the documents that hold a copy of a test item. Rows with null ids stay."""
+    """``docs`` without the documents that hold a copy of a test item. Rows with null ids stay. Without items all rows stay; no rows give no rows."""
     bad = durable(contaminated(docs, benchmark, doc_id, text, **how).select(F.col("doc_id").alias("__bad")).dropna().distinct())
     return docs.join(bad, docs[doc_id] == bad["__bad"], "left_anti")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 #: A line on more than this share of its host's pages is boilerplate ...
 RATIO = 0.1
 #: ... if it is on so many of them at least: on a host of a few pages every line has a large share.
-MIN_PAGES = 5
+MIN_PAGES = 3
 #: Bytes of per-host line lists up to which they are broadcast; beyond it the tables are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
+#: Parts into which a host's pages are dealt then, each with a copy of its lines.
+SALTS = 64
 
 
 def lines_of(text: Column) -> Column:
@@ -40,13 +42,22 @@ def drop_site_lines(docs: DataFrame, host: str = "source", text: str = "text", r
 
     Null host: the host ''. Null text stays null and counts as a page with no lines. Repeated rows are
     pages of their own. A text whose lines all go becomes empty. Texts of any length stay in their row; only
-    lines are counted elsewhere. Columns named like the internal ones are kept as they are.
+    lines are counted elsewhere. Other columns are kept as they are, whatever their names.
     """
     from lodestrata.llm.common import durable
 
-    drop = durable(boilerplate(docs, host, text, ratio, min_pages).select(F.col("h").alias("__ld_h"), F.col("lines").alias("__ld_lines")))
-    size = drop.agg(F.coalesce(F.sum(F.aggregate("__ld_lines", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 32)), F.lit(0))).first()[0]
-    kept = F.filter(lines_of(F.col(text)), lambda x: ~F.array_contains(F.col("__ld_lines"), F.trim(x)))
-    new = F.when(F.col(text).isNull() | F.col("__ld_lines").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    joined = docs.join(F.broadcast(drop) if size <= BROADCAST_BYTES else drop, F.coalesce(F.col(host), F.lit("")) == F.col("__ld_h"), "left")
-    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    names = docs.columns
+    of = {c: f"c{i}" for i, c in enumerate(names)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(v) for c, v in of.items()])
+    own, site = F.col(of[text]), F.coalesce(F.col(of[host]), F.lit(""))
+    drop = durable(boilerplate(docs, host, text, ratio, min_pages))
+    size = drop.agg(F.coalesce(F.sum(F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 32)), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        joined = plain.join(F.broadcast(drop), site == F.col("h"), "left")
+    else:
+        salt = F.pmod(F.xxhash64(own, F.spark_partition_id()), F.lit(SALTS)).cast("int")
+        dealt = drop.select("h", "lines", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+        joined = plain.withColumn("salt", salt).join(dealt, (site == F.col("h")) & (F.col("salt") == F.col("part")), "left")
+    kept = F.filter(lines_of(own), lambda x: ~F.array_contains(F.col("lines"), F.trim(x)))
+    new = F.when(own.isNull() | F.col("lines").isNull(), own).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[(new if c == text else F.col(v)).alias(c) for c, v in of.items()])

@@ -123,14 +123,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Model:
     """The document model from at most ``sample`` labelled rows, those with the smallest hashes of the id.
 
-    Labels with nulls are left out. The lexicon comes from one half of the sample's distinct texts, the
+    Labels with nulls are left out; of copies with different labels the worse counts. The lexicon comes from one half of the sample's distinct texts, the
     logistic models from the other. Without both classes a head's model is its intercept.
     """
     names = labels.select(F.col(doc_id).alias("id"), (1 - F.col("quality")).cast("double").alias("low"), F.col("toxic").cast("double").alias("toxic")).dropna()
     some = names.groupBy("id").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample)
     mine = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(some), "id")
-    half = F.pmod(F.xxhash64(F.md5("text")), F.lit(2))
-    mine = durable(mine.withColumn("m", F.md5("text")).withColumn("half", half).dropDuplicates(["m"]).select("text", "half", "low", "toxic"))
+    half = F.pmod(F.xxhash64(F.md5("text")), F.lit(2)).alias("half")
+    mine = durable(mine.groupBy("text").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic")).select("text", half, "low", "toxic"))
     marks = mine.groupBy("half").agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in HEADS]).where("half = 0").first()
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

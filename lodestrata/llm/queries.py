@@ -92,7 +92,7 @@ with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), s as (
-  select *, replace(replace(replace(text, '\', '\s'), '<', '\l'), '#', '\h') as x, replace(replace(replace(role, '\', '\s'), '<', '\l'), '#', '\h') as y from t
+  select *, replace(replace(replace(text, '\', '\s'), '<', '\l'), '#', '\h') as x, replace(replace(replace(replace(role, '\', '\s'), '<', '\l'), '#', '\h'), ':', '\c') as y from t
 )
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, x)) as turns_sha256,
@@ -104,7 +104,7 @@ from s group by conv_id""",
 with p as (select doc_id, coalesce(source, '') as source, text, string_split(coalesce(text, ''), chr(10)) as l from documents),
 n as (select source, count(*) as pages from p group by source),
 c as (select source, s, count(*) as k from (select source, unnest(list_distinct(list_transform(l, lambda x: trim(x, ' ')))) as s from p) where s <> '' group by source, s),
-b as (select c.source, list(s) as drops from c join n using (source) where k >= 5 and k > 0.1 * pages group by c.source),
+b as (select c.source, list(s) as drops from c join n using (source) where k >= 3 and k > 0.1 * pages group by c.source),
 j as (select doc_id, source, l, text, case when drops is null then l else list_filter(l, lambda x: not list_contains(drops, trim(x, ' '))) end as kept from p left join b using (source))
 select doc_id, source, cast(len(l) as bigint) as lines_in,
   cast(case when coalesce(array_to_string(kept, chr(10)), '') = '' then 0 else len(kept) end as bigint) as lines_kept,

@@ -200,7 +200,7 @@ def hex16(fp: str) -> Column:
 
 
 def near_deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
-    """``docs`` with one document of each component: the smallest id. Of repeated ids all rows stay; null ids stay."""
+    """``docs`` with one document of each component: the smallest id. Of repeated ids all rows stay; null ids stay. No rows give no rows."""
     kept = groups(docs, doc_id, text, **how).where("doc_id = component_id").select(F.col("doc_id").alias("__sh_id")).distinct()
     return docs.join(kept, docs[doc_id] == kept["__sh_id"], "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))
 

@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import chat
 
-TURNS = "conv_id long, turn long, role string, text string, formatted string"
+TURNS = "conv_id long, turn long, role string, text string, formatted string, `__c` int, `__p` int, t int, r int, s int, a int, x int"
 
 
 def both(spark, rows):
-    made = chat.format_chats(spark.createDataFrame(rows, TURNS))
+    made = chat.format_chats(spark.createDataFrame([(*r, *range(7)) for r in rows], TURNS))
     return {r.conv_id: r for r in made.withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("masked", chat.masked_text(F.col("formatted"), F.col("loss"))).collect()}
 
 
@@ -19,7 +19,7 @@ def test_round_trip_of_odd_texts(spark):
     rows, want = [], {}
     for c in range(60):
         for t in range(rng.randint(1, 6)):
-            role, text = rng.choice(["user", "assistant", "system", "a#<b:\\"]), "".join(rng.choices(bits, k=rng.randint(0, 9)))
+            role, text = rng.choice(["user", "assistant", "system", "a#<b:\\", "a:\nb", ":\n", "\\c"]), "".join(rng.choices(bits, k=rng.randint(0, 9)))
             rows.append((c, t, role, text, "clash"))
             want.setdefault(c, []).append((role, text))
     got = both(spark, rows)

@@ -41,14 +41,14 @@ def make(seed=2):
 
 def test_planted_copies(spark):
     docs, items, want = make()
-    odd = [(None, items[3][1]), (900, None), (901, ""), (902, "w1 w2 " * 60_000 + items[4][1]), docs[4], docs[4]]
+    odd = [(None, items[3][1]), (903, "only this."), (900, None), (901, ""), (902, "w1 w2 " * 60_000 + items[4][1]), docs[4], docs[4]]
     df = spark.createDataFrame([(*r, "x", 1.0) for r in docs + odd], "doc_id long, text string, item_id string, score double")
-    bench = spark.createDataFrame([*items, items[0], (77, None), (78, ""), (79, "w1")], "item_id long, text string")
+    bench = spark.createDataFrame([*items, items[0], (77, None), (78, ""), (79, "w1"), (80, "w1 w2"), (81, "Only  this")], "item_id long, text string")
     got = [(r.doc_id, r.item_id) for r in dc.contaminated(df, bench).collect()]
-    exact = {(i, k) for i, k in got if k != 79 and i is not None and i < 900}
-    assert exact == want
+    assert {(i, k) for i, k in got if i is not None and i < 900} == want
+    assert [i for i, k in got if k > 78] == [903]
     assert (None, 3) in got and (902, 4) in got and got.count((4, next(k for i, k in want if i == 4))) == 3
-    left = dc.decontaminated(df, bench.where("item_id <> 79"))
+    left = dc.decontaminated(df, bench)
     assert left.columns == df.columns
     ids = [r.doc_id for r in left.collect()]
     assert {i for i in ids if i is not None and i < 900} == {i for i, _ in docs} - {i for i, _ in want} and None in ids and 900 in ids and 901 in ids
@@ -88,3 +88,23 @@ def test_frequent_seeds_find_edited_and_partial_copies_beside_a_whole_one(spark)
     bench = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "item_id long, text string")
     want = {(0, 1), (1, 2)} | {(i, 1) for i in range(2, 62)} | {(i, 2) for i in range(62, 122)}
     assert {(r.doc_id, r.item_id) for r in dc.contaminated(df, bench).collect()} == want
+
+
+def test_recall_of_edited_copies(spark):
+    """Items with up to a third of their words replaced, dropped or doubled: of those whose alignment reaches the threshold, nine in ten at least are found."""
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(2000)]
+    items = [(k, rng.choices(vocab, k=rng.randint(20, 60))) for k in range(40)]
+    docs, reach = [], []
+    for i in range(600):
+        k, w = rng.choice(items)
+        share, own = rng.uniform(0.05, 0.35), []
+        for x in w:
+            u = rng.random()
+            own += [x] if u > share else [rng.choice(vocab)] if u > share / 3 else [x, x] if u > share / 6 else []
+        index = {x: n for n, x in enumerate({*w, *own})}
+        if slow_align([index[x] for x in w], [index[x] for x in own]) >= dc.LEAST * dc.MATCH * len(w):
+            reach.append((i, k))
+        docs.append((i, " ".join([*rng.choices(vocab, k=50), *own, *rng.choices(vocab, k=50)])))
+    found = {(r.doc_id, r.item_id) for r in dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")).collect()}
+    assert len(reach) > 300 and sum(x in found for x in reach) >= 0.9 * len(reach)
