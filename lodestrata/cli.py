@@ -1,4 +1,4 @@
-"""Command line: profile or import a legacy file, import a snapshot, rebuild the CJK index. Prints one JSON report."""
+"""Command line: profile or import a legacy file, import a snapshot, rebuild the CJK index, relink, clean up test entities, show capabilities. Prints one JSON report."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.operators import ingest, merge
+from lodestrata import settings
+from lodestrata.operators import graphstore, ingest, merge
 from lodestrata.plans import imports
 from lodestrata.sources import guard
 
@@ -25,44 +26,69 @@ def parser() -> argparse.ArgumentParser:
             one.add_argument("--apply", action="store_true", help="write; otherwise only report")
         if name == "import-legacy":
             one.add_argument("--staging", help="empty folder for the read-only snapshot; needed to apply")
-    one = todo.add_parser("reindex-cjk")
-    one.add_argument("--dry-run", action="store_true")
+        if name == "import-snapshot":
+            one.add_argument("--sync-graph", action="store_true", help="merge nodes and edges too; needs --apply")
+    for name in ("reindex-cjk", "relink"):
+        one = todo.add_parser(name)
+        one.add_argument("--dry-run", action="store_true")
+    one.add_argument("--document", default="", help="link the chunks of one document only")
+    one.add_argument("--limit", type=int, help="link the first chunks only")
+    one = todo.add_parser("test-entities")
+    one.add_argument("workspaces", nargs="+")
+    one.add_argument("--apply", action="store_true")
+    todo.add_parser("capabilities")
     return out
 
 
-def stored(spark: SparkSession, root: str | None):  # noqa: ANN201
-    try:
-        return merge.newest(spark, f"{root}/units") if root else imports.empty_units(spark)
-    except Exception:  # noqa: BLE001  no table yet
-        return imports.empty_units(spark)
+def stored(spark: SparkSession, root: str | None, table: str = "units") -> DataFrame:
+    """A store's newest table, an empty one if it was never published. Any other failure to read ends the command."""
+    empty = {"units": imports.empty_units, "vectors": imports.empty_vectors, "nodes": lambda s: graphstore.empty(s)[0], "edges": lambda s: graphstore.empty(s)[1]}[table](spark)
+    return merge.newest_or(spark, root and f"{root}/{table}", empty)
+
+
+def graph_of(spark: SparkSession, root: str | None) -> tuple[DataFrame, DataFrame]:
+    return stored(spark, root, "nodes"), stored(spark, root, "edges")
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(args)
+    a.store = a.store or settings.load().root
     spark = spark or SparkSession.builder.appName("lodestrata").getOrCreate()
     try:
         if a.todo == "inspect-legacy":
             report = guard.inspect(spark, a.path)
+        elif a.todo == "capabilities":
+            report = imports.capabilities()
         elif a.todo == "reindex-cjk":
-            done = imports.reindex_cjk(stored(spark, a.store), None, a.dry_run)
-            if a.store and not a.dry_run:
-                done.publish(a.store)
-            report = done.report
+            index = merge.newest(spark, f"{a.store}/cjk") if merge.newest_version(spark, f"{a.store}/cjk") else None
+            done = imports.reindex_cjk(stored(spark, a.store), index, a.dry_run)
+            report = done.report | ({} if a.dry_run else {"published": done.publish(a.store)})
+        elif a.todo == "relink":
+            done = imports.relink_stored(*graph_of(spark, a.store), a.as_of, a.document, a.limit, a.dry_run)
+            report = done.report | ({} if a.dry_run else {"published": done.publish(a.store)})
+        elif a.todo == "test-entities":
+            done = imports.cleanup(stored(spark, a.store), *graph_of(spark, a.store), a.workspaces, a.apply)
+            report = done.report | ({"published": done.publish(a.store)} if a.apply else {})
         elif a.todo == "import-snapshot":
-            done = imports.import_snapshot(stored(spark, a.store), spark.read.schema(ingest.SNAPSHOT).json(a.path, multiLine=True), a.as_of)
-            report = done.report | ({"published": done.publish(a.store)} if a.apply and a.store else {})
+            if a.sync_graph and not a.apply:
+                raise guard.GuardError("--sync-graph needs --apply")
+            before = guard.file_sha256(guard.checked(a.path))
+            snapshot = spark.read.schema(ingest.SNAPSHOT).json(a.path, multiLine=True)
+            done = imports.import_snapshot(stored(spark, a.store), snapshot, a.as_of, stored(spark, a.store, "vectors"), graph_of(spark, a.store) if a.sync_graph else None)
+            report = {"mode": "apply" if a.apply else "dry-run", "source": a.path, "source_sha256": before, **done.report, **({"published": done.publish(a.store)} if a.apply else {})}
+            report["source_unchanged"] = guard.file_sha256(a.path) == before
         else:
             report = {}
 
             def run(path) -> int:  # noqa: ANN001
                 done = imports.import_legacy(spark, stored(spark, a.store), str(path), a.as_of)
-                report.update(done.report | ({"published": done.publish(a.store)} if a.apply and a.store else {}))
+                report.update(done.report | ({"published": done.publish(a.store)} if a.apply else {}))
                 return 0
 
             if a.apply and not a.staging:
                 raise guard.GuardError("--apply needs --staging")
             guard.apply(a.path, a.staging, run) if a.apply else run(guard.checked(a.path))
-    except guard.GuardError as e:
+    except (guard.GuardError, merge.StoreError) as e:
         print(json.dumps({"error": str(e)}), file=sys.stderr)
         return 1
     print(json.dumps(report, default=str, ensure_ascii=False))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder: the session's ``spark.checkpoint.dir``, or a local one where that is unset, as in tests."""
+    """The checkpoint folder: the session's ``spark.checkpoint.dir``; where that is unset, a temporary one if the session runs in one process, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestrata-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestrata-"))
     return context.getCheckpointDir()
 
 

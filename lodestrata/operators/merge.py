@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text
@@ -41,18 +41,52 @@ def report(plan: DataFrame) -> DataFrame:
     return plan.agg(F.coalesce(F.sum(F.col("created").cast("long")), F.lit(0)).alias("created"), F.coalesce(F.sum(F.col("writes") - F.col("created").cast("long")), F.lit(0)).alias("updated"))
 
 
-def publish(table: DataFrame, root: str) -> str:
-    """Writes a version of a table beside the others; a pointer row names the newest. Nothing that is read is overwritten."""
-    path = f"{root}/v-{uuid.uuid4().hex}"
+class StoreError(Exception):
+    """A store that can't be read or written as asked."""
+
+
+def versions(spark: SparkSession, root: str) -> DataFrame | None:
+    """``version, path`` of all that was published under ``root``; None if nothing ever was. Any other failure to read is an error."""
+    listing = f"{root}/_versions"
+    place = spark._jvm.org.apache.hadoop.fs.Path(listing)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.schema("version long, path string").parquet(listing)
+
+
+def newest_version(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """The greatest version; of two writers with one version, which ``publish`` only allows without ``after``, the greater path."""
+    known = versions(spark, root)
+    row = None if known is None else known.orderBy(F.desc("version"), F.desc("path")).first()
+    return None if row is None else (row.version, row.path)
+
+
+def publish(table: DataFrame, root: str, after: int | None = None) -> str:
+    """Writes a version of a table beside the others; a pointer row names it and its number. Nothing that is read is overwritten.
+
+    ``after`` is the version that the table was made from (0: none): if another was published meanwhile, nothing is published.
+    """
+    spark, path = table.sparkSession, f"{root}/v-{uuid.uuid4().hex}"
     table.write.parquet(path)
-    table.sparkSession.createDataFrame([(path,)], "path string").coalesce(1).write.mode("append").parquet(f"{root}/_versions")
+    now = (newest_version(spark, root) or (0, ""))[0]
+    if after is not None and now != after:
+        raise StoreError(f"{root} is at version {now}, not {after}")
+    spark.createDataFrame([(now + 1, path)], "version long, path string").coalesce(1).write.mode("append").parquet(f"{root}/_versions")
     return path
 
 
-def newest(spark, root: str) -> DataFrame:  # noqa: ANN001
+def newest(spark: SparkSession, root: str) -> DataFrame:
     """The newest version that ``publish`` wrote under ``root``."""
-    path = spark.read.parquet(f"{root}/_versions").select("path", F.col("_metadata.file_modification_time").alias("at")).orderBy(F.desc("at")).first().path
-    return spark.read.parquet(path)
+    found = newest_version(spark, root)
+    if found is None:
+        raise StoreError(f"nothing is published under {root}")
+    return spark.read.parquet(found[1])
+
+
+def newest_or(spark: SparkSession, root: str | None, otherwise: DataFrame) -> DataFrame:
+    """The newest version, or ``otherwise`` if none was ever published; a version that can't be read is an error."""
+    found = newest_version(spark, root) if root else None
+    return otherwise if found is None else spark.read.parquet(found[1])
 
 
 def or_default(column: Column, default: str) -> Column:
@@ -85,6 +119,18 @@ def faults() -> Column:
     return F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()]))
 
 
+def records(units: DataFrame) -> DataFrame:
+    """Stored units as they are returned: evidence and context decoded (values as strings), what isn't JSON as empty ones."""
+    evidence, context = F.from_json("evidence_json", "array<map<string,string>>"), F.from_json("context_json", "map<string,string>")
+    return units.withColumns({"evidence": F.coalesce(evidence, F.array().cast("array<map<string,string>>")), "context": F.coalesce(context, F.create_map().cast("map<string,string>"))}).drop("evidence_json", "context_json")
+
+
+def events(plan: DataFrame, as_of: str, key: str = "id") -> DataFrame:
+    """The audit log's rows of a plan: one for each single upsert that it stands for, the first of a new key being its creation."""
+    each = plan.select(F.col(key).alias("memory_id"), "created", F.explode(F.sequence(F.lit(1).cast("long"), F.col("writes"))).alias("n"))
+    return each.select((F.col("created") & (F.col("n") == 1)).alias("created"), "memory_id", F.lit(as_of).alias("timestamp"), F.lit("upsert").alias("type"))
+
+
 def split_valid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Coerced units that may be stored, and the others with their ``faults``."""
     rows = rows.withColumn("faults", faults())

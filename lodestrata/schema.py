@@ -9,8 +9,6 @@ UNITS = """id string, fingerprint string, type string, summary string, resolutio
 tags array<string>, status string, memory_kind string, source_refs array<string>, session_id string, workspace_id string, repo_id string,
 created_at string, updated_at string"""
 VECTORS = "source_id string, source_kind string, dimensions int, embedding array<float>, metadata_json string, updated_at string"
-NODES = "id string, labels array<string>, props map<string,string>, status string"
-EDGES = "id string, src string, dst string, rel string, type string, confidence string, evidence array<string>, updated_at string"
 
 #: The domains of a unit.
 TYPES = ("session", "decision", "lesson", "issue", "workflow", "fact", "concept", "person", "project", "tool")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.lineage import durable
+
 EVENTS = "created boolean, memory_id string, timestamp string, type string"
 
 
@@ -19,18 +21,16 @@ def rates(events: DataFrame, minutes: int = 60, late: str = "10 minutes") -> Dat
     return rows.groupBy(F.window("at", f"{minutes} minutes").alias("w"), "type").agg(F.count("*").alias("events"), F.approx_count_distinct("memory_id").alias("units") if events.isStreaming else F.count_distinct("memory_id").alias("units")).select(F.col("w.start").alias("start"), "type", "events", "units")
 
 
-def log_of(plan: DataFrame, as_of: str) -> DataFrame:
-    """A merge plan's events in the log's columns."""
-    return plan.select("created", F.col("id").alias("memory_id"), F.lit(as_of).alias("timestamp"), F.lit("upsert").alias("type"))
-
-
 def merge_each(stream: DataFrame, root: str, checkpoint: str):  # noqa: ANN201
-    """Continuous merge of a stream of units into the published table under ``root``; each micro-batch is one version."""
+    """Continuous merge of a stream of units into the published table under ``root``; each micro-batch is one version. A stream with ``seq`` says which of
+    two rows of a batch is the later one; a version that another writer published meanwhile fails the batch, which then runs again."""
     from lodestrata.operators import merge
 
     def go(batch: DataFrame, number: int) -> None:
-        current = merge.newest(batch.sparkSession, root)
-        plan = merge.merge_plan(current, batch.withColumn("seq", F.monotonically_increasing_id()))
-        merge.publish(merge.merged(current, plan), root)
+        known, path = merge.newest_version(batch.sparkSession, root)
+        current = batch.sparkSession.read.parquet(path)
+        staged = batch if "seq" in batch.columns else durable(batch.withColumn("seq", F.monotonically_increasing_id()))
+        plan = durable(merge.merge_plan(current, staged))
+        merge.publish(merge.merged(current, plan), root, after=known)
 
     return stream.writeStream.foreachBatch(go).option("checkpointLocation", checkpoint)

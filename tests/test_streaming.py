@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import merge
@@ -27,5 +28,23 @@ def test_continuous_merge(spark, tmp_path):
 
 
 def test_log_of_a_plan(spark):
-    plan = spark.createDataFrame([("a", True)], "id string, created boolean")
-    assert tuple(audit.log_of(plan, "now").first()) == (True, "a", "now", "upsert")
+    """Each upsert that a plan stands for is an event; the first one of a new key is its creation."""
+    plan = spark.createDataFrame([("a", True, 3), ("b", False, 1)], "id string, created boolean, writes long")
+    assert sorted(map(tuple, merge.events(plan, "now").collect())) == [(False, "a", "now", "upsert")] * 2 + [(False, "b", "now", "upsert"), (True, "a", "now", "upsert")]
+
+
+def test_a_version_published_meanwhile_is_not_lost(spark, tmp_path):
+    rows, root = spark.createDataFrame([("a",)], "id string"), str(tmp_path / "t")
+    assert merge.versions(spark, root) is None and merge.newest_or(spark, root, rows.limit(0)).count() == 0
+    with pytest.raises(merge.StoreError):
+        merge.newest(spark, root)
+    for k in range(3):
+        merge.publish(spark.createDataFrame([(str(k),)], "id string"), root, after=k)
+    assert merge.newest(spark, root).first().id == "2" and merge.newest_version(spark, root)[0] == 3
+    with pytest.raises(merge.StoreError):
+        merge.publish(rows, root, after=2)
+    assert merge.newest(spark, root).first().id == "2"
+    for part in (tmp_path / "t" / "_versions").glob("part-*"):
+        part.write_bytes(b"broken")
+    with pytest.raises(Exception, match="(?i)parquet|read"):
+        merge.newest_or(spark, root, rows)
