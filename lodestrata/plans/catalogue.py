@@ -1,9 +1,7 @@
-"""All named queries over the driver's tables, with their SQL."""
+"""Queries over search, vectors, linking, the graph and imports, with their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from lodestrata.functions import scope, text
 from lodestrata.operators import graph, ingest, lexical, linker, merge, profile, skills, vectors
 from lodestrata.operators.lexical import Request
 from lodestrata.plans import sql
+from lodestrata.plans.registry import SQL, Q, query
 from lodestrata.sources import views
 from lodestrata.streaming import audit
 
@@ -27,20 +26,6 @@ REQUESTS = {
 TERMS = "Supplier#00000001 nation asia"
 MANY = ["doc:7:p1", "doc:3:p1", "doc:nowhere", "doc:3:p1", "doc:14:p2", "doc:1:p1"]
 
-Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None) -> Callable:
-    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        Q[f.__name__] = f
-        if oracle:
-            SQL[f.__name__] = oracle
-        return f
-
-    return put
-
-
 @query(f"with {sql.UNITS} select id, summary, md5(resolution) as text_md5, evidence_json, status, memory_kind, session_id, workspace_id, repo_id, updated_at from units")
 def q01_units_view(spark: SparkSession, d: str) -> DataFrame:
     return views.units(spark, d).select("id", "summary", F.md5("resolution").alias("text_md5"), "evidence_json", "status", "memory_kind", "session_id", "workspace_id", "repo_id", "updated_at")
@@ -270,12 +255,12 @@ def q35_legacy_lifecycle(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with tn as (select 'c' || conv_id || ':t' || turn as id, 'c' || conv_id as s, turn, conv_id from conversations),
-nd as (select conv_id % 50 as node, list(id order by conv_id, turn) as ev, list_distinct(list(s)) as ss from tn where turn < 2 group by 1)
+nd as (select conv_id % 50 as node, list(id order by conv_id, turn) as ev, list_distinct(list(s)) as ss from tn group by 1)
 select 'n' || node as id, array_to_string(ev, ',') as evidence, case when len(ss) = 1 then ss[1] else '' end as session_id, case when len(ss) = 1 then 'w' || (cast(substr(ss[1], 2) as bigint) % 4) else '' end as workspace_id from nd""")
 def q36_session_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes over the first turns of conversations; evidence that doesn't exist is left out."""
+    """Nodes over all turns of conversations; evidence that doesn't exist is left out."""
     rows = views.read(spark, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(":t"), F.col("turn").cast("string")).alias("id"), "conv_id", "turn")
-    nodes = rows.where("turn < 2").groupBy((F.col("conv_id") % 50).alias("node")).agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "id"))).alias("t"))
+    nodes = rows.groupBy((F.col("conv_id") % 50).alias("node")).agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "id"))).alias("t"))
     nodes = nodes.select(F.concat(F.lit("n"), F.col("node").cast("string")).alias("id"), F.concat(F.transform("t", lambda x: x["id"]), F.array(F.lit("missing"))).alias("evidence_ids"))
     sessions = rows.select(F.col("session_id").alias("id"), F.concat(F.lit("w"), (F.col("conv_id") % 4).cast("string")).alias("workspace_id")).distinct()
     return ingest.sessions_of(nodes, rows.select("id", "session_id"), sessions).select("id", F.array_join("evidence", ",").alias("evidence"), "session_id", "workspace_id")

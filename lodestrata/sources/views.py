@@ -137,3 +137,57 @@ def skill_units(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_partkey") % 9 == 0, "[]").otherwise(F.concat(F.lit('[{"id":"'), key, F.lit('","kind":"part"}]'))).alias("evidence_json"), context.alias("context_json"), F.lit("active").alias("status"), F.lit("memory").alias("memory_kind"),
         F.when(F.col("p_partkey") % 18 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("part:"), key))).alias("source_refs"), when.alias("updated_at"),
     )
+
+
+def cjk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of which some have Chinese words in their text: every fifth document two of them apart, every third one of them twice."""
+    end = F.when(F.col("doc_id") % 5 == 0, F.lit(" 风扇的阈值 control风扇")).when(F.col("doc_id") % 3 == 0, F.lit(" 阈值,阈值表")).otherwise("")
+    return units(spark, sf_dir).withColumn("resolution", F.concat("resolution", end))
+
+
+def legacy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as rows of a legacy table: unknown types, raw and rejected ones, malformed JSON, blank summaries."""
+    p = read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    key = k.cast("string")
+    return p.select(
+        F.concat(F.lit(" "), key).alias("id"), F.when(k % 4 == 0, "fact").when(k % 4 == 1, "odd type").otherwise("lesson").alias("type"), F.when(k % 17 == 0, "  ").otherwise(F.col("p_name")).alias("summary"), F.col("p_type").alias("resolution"),
+        F.when(k % 13 == 0, "{}").otherwise(F.concat(F.lit('[{"id": "'), key, F.lit('"}]'))).alias("evidence_json"), F.when(k % 11 == 0, "not json").otherwise('{"a": "b"}').alias("context_json"), F.lit('["x", "y"]').alias("tags_json"),
+        F.when(k % 6 == 0, "Rejected").otherwise("active").alias("status"), F.when(k % 10 == 0, " RAW").otherwise("memory").alias("memory_kind"), F.concat(F.lit('["part:'), key, F.lit('"]')).alias("source_refs_json"),
+        F.lit("s").alias("session_id"), F.lit("w").alias("workspace_id"), F.lit("").alias("repo_id"), F.lit("t0").alias("created_at"), F.lit("t1").alias("updated_at"), F.lit("").alias("fingerprint"), F.lit("{}").alias("storage_targets_json"), F.lit("lazy").alias("loading_policy"), F.lit(None).cast("string").alias("last_accessed_at"),
+    )
+
+
+def legacy_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as legacy session contexts: evidence as objects and as plain ids, some without a session."""
+    c = read(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    evidence = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('["e'), key, F.lit('", {"id": "o"}]'))).when(F.col("c_custkey") % 7 == 0, "{").otherwise("[]")
+    return c.select(F.when(F.col("c_custkey") % 9 == 0, " ").otherwise(F.concat(F.lit("s"), key)).alias("session_id"), F.col("c_mktsegment").alias("workspace_id"), F.lit("").alias("repo_id"), F.lit("{}").alias("context_json"), evidence.alias("evidence_refs_json"), F.lit("[]").alias("source_refs_json"), F.lit("t0").alias("created_at"), F.lit("t1").alias("updated_at"))
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One extension snapshot, of all conversations: sessions, turns, a node for every turn of an assistant, edges between neighbours, some to nowhere; vectors twice for some nodes."""
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    name = lambda prefix, at: F.concat(F.lit(prefix), F.col("c").cast("string"), F.lit("."), at.cast("string"))
+    text_ = lambda x: F.lit(x).cast("string")
+    session = F.concat(F.lit("c"), F.col("c").cast("string"))
+    t, said = F.col("t"), F.col("role") == "assistant"
+    turn = F.struct(name("t", t).alias("id"), session.alias("sessionId"))
+    vector = F.struct(name("v", t).alias("id"), name("n", t - F.col("c") % 2).alias("sourceId"), F.when(t % 3 == 0, "candidate").alias("sourceKind"), F.array(t.cast("double"), F.lit(1.0)).alias("values"), text_("t0").alias("createdAt"))
+    node = F.struct(name("n", t).alias("id"), F.when(t % 2 == 0, "fact").alias("kind"), F.when(F.col("text") != "", F.left("text", F.lit(40))).alias("label"), text_("s").alias("summary"), F.when(F.col("c") % 10 == 0, "draft").alias("status"), text_(None).alias("confidence"), F.array(name("t", t), name("t", t + 100)).alias("evidenceTurnIds"), F.lit(None).cast("array<string>").alias("tags"), text_("t0").alias("createdAt"), text_(None).alias("updatedAt"))
+    edge = F.struct(name("e", t).alias("id"), name("n", t).alias("from"), name("n", t + 2).alias("to"), text_("NEXT").alias("type"), text_(None).alias("confidence"), F.array(name("t", t)).alias("evidenceTurnIds"), text_("t0").alias("createdAt"), text_(None).alias("updatedAt"))
+    lists = rows.agg(*[F.array_sort(F.collect_list(x)).alias(c) for c, x in (("turns", turn), ("vectors", F.when(said, vector)), ("nodes", F.when(said, node)), ("edges", F.when(said, edge)))])
+    return lists.join(F.broadcast(rows.select(session.alias("id"), (F.col("c") % 4).cast("string").alias("workspaceId")).distinct().agg(F.array_sort(F.collect_list(F.struct("id", "workspaceId"))).alias("sessions"))))
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A graph as the write side keeps it: the entities of the catalogue, and the documents with their active pages as chunks."""
+    from lodestrata.operators import graphstore as gs
+
+    pages = units(spark, sf_dir).where("status = 'active'").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("document_id"), F.regexp_extract("summary", "^(.+) - page", 1).alias("filename"), "id", "page", F.col("resolution").alias("text"), F.col("page").alias("seq"), F.md5("resolution").alias("content_hash"), "status")
+    heads = pages.groupBy("document_id").agg(F.min("filename").alias("filename"), F.lit("").alias("content_hash"), F.count("*").alias("page_count"), F.lit("active").alias("status"), F.lit(0).alias("seq"))
+    entity = gs.entity_nodes(entities(spark).where("id <> ''").withColumn("seq", F.lit(0)))
+    staged = entity.unionByName(gs.document_nodes(heads)).unionByName(gs.chunk_nodes(pages))
+    nodes, edges = gs.empty(spark)
+    return gs.merge_nodes(nodes, staged), gs.merge_edges(edges, gs.chunk_edges(pages))
