@@ -1,8 +1,8 @@
 """Lexical search: BM25 over all units, three channels, reciprocal-rank fusion, scope merge, document quota.
 
-Corpus statistics are over all units whatever their state; scope and state filter what may be returned. A request's
-phrases are few, so statistics are one aggregate of a handful of numbers, and no term table is shuffled: every unit is
-tokenised where it is read, and only the best CHANNEL_CAP units of a channel leave the tasks.
+Corpus statistics are over all units whatever their state; scope and state filter what may be returned. A store keeps an inverted index:
+postings with positions, dealt out by term, of which a request reads those of its few terms, and a narrow row for each unit. Without an index every unit is
+tokenised where it is read, once. Either way only the best CHANNEL_CAP units of a channel leave the tasks.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ import math
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scope, text
+from lodestrata.lineage import durable
 from lodestrata.schema import searchable
 
 #: BM25, rank fusion, channel weights, boosts in units of a first rank, most units of a channel.
@@ -64,24 +65,104 @@ def indexed_cjk(units: DataFrame) -> DataFrame:
     return units.withColumn("in_all", text.spaced(text.cjk_spaced(whole)))
 
 
+#: Folders of an index's postings, by the hash of the term.
+BUCKETS = 64
+#: What a search needs to know of a unit besides its text.
+ABOUT = ("id", "summary", "status", "memory_kind", "session_id", "workspace_id", "repo_id", "updated_at")
+
+
+@dataclass(frozen=True)
+class Index:
+    """``postings``: channel (text or cjk), term, id, field, positions. ``docs``: the columns of ABOUT, evidence_json as empty or not, and the tokens of each channel."""
+
+    postings: DataFrame
+    docs: DataFrame
+    units: int
+    mean: dict[str, float]
+
+
+def about(units: DataFrame) -> list[Column]:
+    return [*map(F.col, ABOUT), F.when(F.col("evidence_json") == "[]", "[]").otherwise("[...]").alias("evidence_json")]
+
+
+def build_index(units: DataFrame, root: str) -> Index:
+    """Writes the inverted index of ``units`` under ``root``: one pass over the texts, one shuffle of the postings by bucket of the term."""
+    whole = indexed_cjk(indexed(units)).withColumnsRenamed(dict(zip(FIELDS, [f"f{k}" for k in range(len(FIELDS))], strict=True)))
+    fields = {f"f{k}": "text" for k in range(len(FIELDS))} | {"in_all": "cjk"}
+    split = lambda c: F.when(F.trim(c) == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(c), " +"))
+    placed = lambda c: F.transform(split(F.col(c)), lambda t, i: F.struct(F.lit(fields[c]).alias("channel"), F.lit(c).alias("field"), t.alias("term"), i.alias("at")))
+    each = F.flatten(F.array(*map(placed, fields)))
+    rows = whole.select("id", F.explode(each).alias("x")).select("id", "x.*").groupBy("channel", "term", "id", "field").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    rows = rows.withColumn("bucket", bucket_of(F.col("term"))).repartition(F.col("bucket"), F.col("term")).sortWithinPartitions("bucket", "channel", "term")
+    rows.write.partitionBy("bucket").parquet(f"{root}/postings")
+    size = {k: sum((text.token_count(F.col(c)) for c in fields if fields[c] == k), F.lit(0)).alias(k) for k in ("text", "cjk")}
+    whole.select(*about(units), *size.values()).write.parquet(f"{root}/docs")
+    return open_index(units.sparkSession, root)
+
+
+def open_index(spark: SparkSession, root: str) -> Index:
+    docs = spark.read.parquet(f"{root}/docs")
+    sums = docs.agg(F.count("*").alias("n"), *[F.coalesce(F.avg(k), F.lit(0.0)).alias(k) for k in ("text", "cjk")]).first()
+    return Index(spark.read.parquet(f"{root}/postings"), docs, sums.n, {k: sums[k] for k in ("text", "cjk")})
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(BUCKETS)).cast("int")
+
+
+def _idf(n: int, found: int) -> float:
+    return max(math.log((n - found + 0.5) / (found + 0.5)), IDF_FLOOR)
+
+
+def _score(phrases: int, idf: list[float], mean: float) -> Column:
+    score = F.lit(0.0)
+    for k in range(phrases):
+        tf = F.col("found")[k].cast("double")
+        score = score - F.lit(idf[k]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
+    return score
+
+
 def bm25(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """The units in which a phrase occurs, with ``found`` (occurrences of each phrase) and ``bm25`` (lower is better).
 
-    ``index`` has token fields, named in_...; a phrase lies within one field. Repeated phrases count again. A term found
-    in over half the units weighs IDF_FLOOR.
+    ``index`` has token fields, named in_..., and the columns of a unit, of which those of ABOUT and evidence_json stay; a phrase
+    lies within one field. Repeated phrases count again. A term found in over half the units weighs IDF_FLOOR.
     """
     fields = [c for c in index.columns if c.startswith("in_")]
     total = lambda f: sum((f(F.col(c)) for c in fields[1:]), f(F.col(fields[0])))
-    counted = index.withColumns({"found": F.array(*[total(lambda c, p=p: text.phrase_count(c, p)) for p in phrases]), "length": total(text.token_count), "row": F.monotonically_increasing_id()})
+    counted = index.select(*about(index), F.array(*[total(lambda c, p=p: text.phrase_count(c, p)) for p in phrases]).alias("found"), total(text.token_count).alias("length"))
+    counted = durable(counted)  # narrow rows, so that no text is tokenised again
     sums = counted.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"), *[F.count_if(F.col("found")[k] > 0).alias(f"n{k}") for k in range(len(phrases))]).first()
-    score = F.lit(0.0)
-    for k in range(len(phrases)):
-        idf = max(math.log((sums.n - sums[f"n{k}"] + 0.5) / (sums[f"n{k}"] + 0.5)), IDF_FLOOR)
-        tf = F.col("found")[k].cast("double")
-        score = score - F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(sums.mean or 1.0)))
-    # a filter on counts alone would move below them and have every text tokenised again for each phrase
-    hit = F.exists("found", lambda n: n > 0) & (F.col("row") >= 0)
-    return counted.where(hit).withColumn("bm25", score).drop(*fields, "length", "row")
+    score = _score(len(phrases), [_idf(sums.n, sums[f"n{k}"]) for k in range(len(phrases))], sums.mean)
+    return counted.where(F.exists("found", lambda n: n > 0)).withColumn("bm25", score).drop("length")
+
+
+def bm25_of(index: Index, channel: str, phrases: list[list[str]]) -> DataFrame:
+    """What ``bm25`` returns, from an index: reads the postings of the request's terms only."""
+    terms = sorted({t for p in phrases for t in p})
+    asked = index.postings.sparkSession.range(1).select(*[bucket_of(F.lit(t)).alias(f"b{k}") for k, t in enumerate(terms)]).first()
+    rows = index.postings.where(F.col("bucket").isin(*sorted(set(asked))) & (F.col("channel") == channel) & F.col("term").isin(*terms))
+    met = rows.groupBy("id", "field").agg(*[F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"t{k}") for k, t in enumerate(terms)])
+
+    def times(phrase: list[str]) -> Column:
+        lists = [F.col(f"t{terms.index(t)}") for t in phrase]
+        if len(lists) == 1:
+            return F.coalesce(F.when(lists[0].isNotNull(), F.size(lists[0])), F.lit(0))
+        back = lambda x, i: F.transform(x, lambda at: at - i)
+        starts = reduce(F.array_intersect, [back(x, i) for i, x in enumerate(lists)])
+        return F.coalesce(F.when(starts.isNotNull(), F.size(starts)), F.lit(0))
+
+    found = met.select("id", *[times(p).alias(f"p{k}") for k, p in enumerate(phrases)]).groupBy("id").agg(F.array(*[F.sum(f"p{k}").cast("int") for k in range(len(phrases))]).alias("found"))
+    found = durable(found.where(F.exists("found", lambda n: n > 0)))
+    sums = found.agg(*[F.count_if(F.col("found")[k] > 0).alias(f"n{k}") for k in range(len(phrases))]).first()
+    score = _score(len(phrases), [_idf(index.units, sums[f"n{k}"]) for k in range(len(phrases))], index.mean[channel])
+    return index.docs.withColumnRenamed(channel, "length").join(found, "id").withColumn("bm25", score).select(*ABOUT, "evidence_json", "found", "bm25")
+
+
+def scored(source: DataFrame | Index, channel: str, phrases: list[list[str]]) -> DataFrame:
+    if isinstance(source, Index):
+        return bm25_of(source, channel, phrases)
+    return bm25(indexed(source) if channel == "text" else indexed_cjk(source), phrases)
 
 
 def in_scope(request: Request) -> Column:
@@ -94,7 +175,7 @@ def in_scope(request: Request) -> Column:
     return rule
 
 
-def ranked(units: DataFrame, request: Request) -> DataFrame:
+def ranked(units: DataFrame | Index, request: Request) -> DataFrame:
     """``scope, channel, rank, id, summary, session_id``: the best units of each channel, own for the workspaces and wide for all.
 
     A unit is scored once for all channels and scopes that it is in; each task sends on at most ``depth`` units of each.
@@ -107,11 +188,12 @@ def ranked(units: DataFrame, request: Request) -> DataFrame:
     rows = []
     if real:
         every = whole if len(real) == len(phrases) else F.lit(False)
-        rows.append(bm25(indexed(units), real).withColumn("channels", F.array_compact(F.array(F.when(every, F.lit("all")), F.lit("any")))))
+        rows.append(scored(units, "text", real).withColumn("channels", F.array_compact(F.array(F.when(every, F.lit("all")), F.lit("any")))))
     if runs:
-        rows.append(bm25(indexed_cjk(units), runs).withColumn("channels", F.array_compact(F.array(F.when(whole, F.lit("cjk"))))))
+        rows.append(scored(units, "cjk", runs).withColumn("channels", F.array_compact(F.array(F.when(whole, F.lit("cjk"))))))
     if not rows:
-        return units.select(F.lit("").alias("scope"), F.lit("").alias("channel"), F.lit(0).alias("rank"), "id", "summary", "session_id").limit(0)
+        empty = units.docs if isinstance(units, Index) else units
+        return empty.select(F.lit("").alias("scope"), F.lit("").alias("channel"), F.lit(0).alias("rank"), "id", "summary", "session_id").limit(0)
     own = scope.in_workspace(F.col("workspace_id"), request.aliases) if request.aliases else F.lit(True)
     wide = F.lit(bool(request.aliases and request.scope_fallback == "global"))
     scopes = F.array_compact(F.array(F.when(own, F.lit("own")), F.when(wide, F.lit("wide"))))
@@ -149,8 +231,8 @@ def with_quota(ranked: DataFrame, limit: int, per_document: int | None) -> DataF
     return best.withColumn("pos", F.row_number().over(Window.orderBy("late", *order))).drop("late")
 
 
-def search(units: DataFrame, request: Request) -> DataFrame:
-    """``pos, id, summary, score, scope``: the units that answer a request, ``scope`` being scoped or wider.
+def search(units: DataFrame | Index, request: Request) -> DataFrame:
+    """``pos, id, summary, score, scope``: the units (a table or its index) that answer a request, ``scope`` being scoped or wider.
 
     Global evidence follows a workspace's own by score: own units get a boost, others join unless the fallback is off.
     """
@@ -160,7 +242,7 @@ def search(units: DataFrame, request: Request) -> DataFrame:
     return with_quota(rows, request.limit, request.per_document_limit).select("pos", "id", "summary", "score", "scope")
 
 
-def scope_report(units: DataFrame, request: Request) -> DataFrame:
+def scope_report(units: DataFrame | Index, request: Request) -> DataFrame:
     """One row: ``match_mode, scope_match, scope_suppressed`` of a request; the mode is that of the workspaces' own channels."""
     by_id = ranked(units, request).groupBy("id").agg(F.max((F.col("scope") == "own").cast("int")).alias("own"), F.collect_set(F.when(F.col("scope") == "own", F.col("channel"))).alias("c"))
     sums = by_id.agg(F.coalesce(F.sum("own"), F.lit(0)).alias("own"), F.coalesce(F.sum(1 - F.col("own")), F.lit(0)).alias("extra"), F.array_distinct(F.flatten(F.collect_set("c"))).alias("c"))

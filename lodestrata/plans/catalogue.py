@@ -62,7 +62,7 @@ def q06_workspace_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_top(spark: SparkSession, d: str, words: str, every: bool = False) -> DataFrame:
-    found = lexical.bm25(lexical.indexed(views.units(spark, d)), [text.query_tokens(t) for t in text.terms(words)])
+    found = lexical.scored(views.unit_index(spark, d), "text", [text.query_tokens(t) for t in text.terms(words)])
     found = found.where(F.forall("found", lambda n: n > 0)) if every else found
     return found.orderBy(F.round("bm25", lexical.PLACES), F.desc("updated_at"), "id").limit(lexical.CHANNEL_CAP).select("id", F.round("bm25", 6).alias("bm25"))
 
@@ -84,7 +84,7 @@ def q09_bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
 
 def _searching(name: str, request: Request) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return lexical.search(views.units(spark, d), request).select("pos", "id", "score", "scope")
+        return lexical.search(views.unit_index(spark, d), request).select("pos", "id", "score", "scope")
 
     Q[name], SQL[name] = run, sql.search(request)
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text
+from lodestrata.lineage import shared_dir
+from lodestrata.operators.lexical import Index, build_index
 
 #: A small catalogue (id, label, aliases, tags) with overlapping, ambiguous, unusable and path-like surfaces.
 ENTITIES = [
@@ -61,6 +65,17 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_indexes: dict[tuple[str, str], Index] = {}
+
+
+def unit_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of ``units``, as a store keeps one: written to the shared folder when a session first asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = build_index(units(spark, sf_dir), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    return _indexes[key]
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
     return rows.select("vec_id", F.concat(F.lit("doc:"), F.col("vec_id").cast("string"), F.lit(":p1")).alias("source_id"), F.when(F.col("label") == 9, "candidate").otherwise("knowledge").alias("source_kind"), F.size("embedding").alias("dimensions"), "embedding", F.concat(F.lit('{"label":'), F.col("label").cast("string"), F.lit("}")).alias("metadata_json"))

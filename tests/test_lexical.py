@@ -118,3 +118,22 @@ def test_normalisation(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     for r in df.select("t", text.normalized(F.col("t")).alias("n")).collect():
         assert r.n == " ".join(unicodedata.normalize("NFKC", r.t or "").casefold().split()) == text.normalize(r.t)
+
+
+def test_an_index_answers_like_the_table(spark, tmp_path):
+    """Phrases that overlap themselves, repeated terms, CJK runs, hidden units and scopes."""
+    rng = random.Random(9)
+    words = ["pad", "aa", "aa", "foo_bar", "café", "r:1", "风扇阈值", "阈值", "beta"]
+    rows = [unit(f"u{i}", " ".join(rng.choices(words, k=rng.randint(0, 5))), " ".join(rng.choices(words, k=rng.randint(0, 15))), rng.sample(words, 2), status=rng.choice(["active", "active", "draft"]), session=f"s{i % 3}", workspace=rng.choice(["", "w", "v"])) for i in range(80)]
+    table = spark.createDataFrame(rows, UNIT)
+    index = lexical.build_index(table, str(tmp_path / "index"))
+    key = lambda r: r.id
+    for query in ("pad", "aa.aa pad", "aa aa", "foo_bar cafe", "风扇", "pad 阈值 beta", "nothing", "", "!!"):
+        phrases = [p for p in (text.query_tokens(t) for t in text.terms(query)) if p]
+        if phrases:
+            want = sorted(lexical.scored(table, "text", phrases).collect(), key=key)
+            assert sorted(lexical.scored(index, "text", phrases).select(*want[0].__fields__ if want else ["id"]).collect(), key=key) == want
+        for how in ({}, {"workspaces": ("w",)}, {"session_id": "s1", "session_scope": "strict"}):
+            request = Request(query, limit=20, **how)
+            assert lexical.search(index, request).collect() == lexical.search(table, request).collect()
+            assert lexical.scope_report(index, request).collect() == lexical.scope_report(table, request).collect()
