@@ -224,14 +224,21 @@ def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]
     return g[new], row[new]
 
 
+#: For each byte its eight bits as the eight bytes of a number, so that one addition counts eight bits.
+SPREAD_BITS = np.array([sum((byte >> k & 1) << 8 * k for k in range(8)) for byte in range(256)], dtype="<u8")
+
+
 def wide_fingerprints(g: np.ndarray, rows: np.ndarray, n: int, parts: int) -> np.ndarray:
     """``parts`` 64-bit numbers for each of ``n`` rows: a bit is 1 if it is set in over half of the hashes of the row's shingles."""
     votes = np.zeros((n, 64 * parts), np.int64)
-    for at in range(0, len(g), 32768):
-        part, own = g[at : at + 32768], rows[at : at + 32768]
-        bits = np.unpackbits(np.stack([mixed(part + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) for k in range(parts)], axis=1).view(np.uint8), axis=1, bitorder="little")
-        first = np.flatnonzero(np.diff(own, prepend=-1))
-        votes[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    for at in range(0, len(g), 65536):
+        part, own = g[at : at + 65536], rows[at : at + 65536]
+        raw = np.stack([mixed(part + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) for k in range(parts)], axis=1).view(np.uint8)
+        begin = np.flatnonzero(np.diff(own, prepend=-1))
+        place = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
+        run = np.flatnonzero(place % 255 == 0)  # no counter of eight bits overflows
+        counts = np.add.reduceat(SPREAD_BITS[raw], run, axis=0).view(np.uint8)
+        votes[own[begin]] += np.add.reduceat(counts.astype(np.int64), np.searchsorted(run, begin), axis=0)
     return np.packbits(2 * votes > np.bincount(rows, minlength=n)[:, None], axis=1, bitorder="little").view("<u8")
 
 
