@@ -24,8 +24,8 @@ from lodestrata.llm.tokens import PUNCTUATION, SPACE, word_hashes
 
 #: Labelled rows that the document model is fitted on, at most.
 SAMPLE = 20_000
-#: A lexicon entry is in so many sampled texts and this many standard deviations off the label's rate.
-LEAST_TEXTS, DEVIATIONS = 6, 6.5
+#: A lexicon entry is in so many sampled texts, once or twice at least, and this many standard deviations off the label's rate.
+LEAST_TEXTS, DEVIATIONS = 5, 6.0
 #: Most that a site's record can shift a document's log-odds.
 MOST_SHIFT = 2.0
 #: Sites up to which their posteriors are broadcast.
@@ -39,11 +39,17 @@ KINDS[MARKS] = np.arange(len(MARKS))
 KINDS[65:91], KINDS[97:123], KINDS[48:58], KINDS[SPACE] = (len(MARKS) + k for k in range(4))
 N_KINDS = len(MARKS) + 5
 N_STYLE = N_KINDS + 4
+#: After the style: for each head a sum over the lexicon entries that a text has, and its rate over all words.
+N_FEATURES = N_STYLE + 4
+#: Bytes of the beginnings of longer words that are entries besides the words themselves.
+STEMS = (4, 6)
+#: Most that the rate of lexicon words counts.
+MOST_RATE = 0.5
 
 
 @dataclass
 class Model:
-    """``lexicon``: sorted hashes; ``weight``: a column of log-ratios for each head; ``mean, scale, beta`` of the logistic models."""
+    """``lexicon``: sorted hashes; ``weight``: log-ratios (2 x entries x heads) of texts that have an entry, and more of those that have it twice; ``mean, scale, beta`` of the logistic models."""
 
     lexicon: np.ndarray
     weight: np.ndarray
@@ -52,27 +58,31 @@ class Model:
     beta: np.ndarray
 
 
-def entries(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words and of the six-byte beginnings of longer ones, and their rows; punctuation ends a word."""
+def entries(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of the words, then of the beginnings of longer ones, and their rows; how many are words. Punctuation ends a word."""
     h, rows = word_hashes(texts, PUNCTUATION)
     raw, offsets = buffers(texts)
     gap = PUNCTUATION[raw]
-    inside = np.ones(len(raw), dtype=bool)
-    for k in range(7):
-        inside[: len(raw) - k] &= ~gap[k:]
-        inside[max(len(raw) - k, 0) :] = False
+    lower = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint64)
     begin = np.ones(len(raw), dtype=bool)
     begin[1:] = gap[:-1]
     begin[offsets[:-1][offsets[:-1] < len(raw)]] = True
-    at = np.flatnonzero(inside & begin)
-    row = np.searchsorted(offsets, at, side="right") - 1
-    good = at + 7 <= offsets[row + 1]
-    at, row = at[good], row[good]
-    code = np.zeros(len(at), np.uint64)
-    lower = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint64)
-    for k in range(6):
-        code = code << np.uint64(8) | lower[at + k]
-    return np.concatenate((h, code)), np.concatenate((rows, row))
+    hashes, places, inside, code = [h], [rows], begin, np.zeros(len(raw), np.uint64)
+    for k in range(max(STEMS) + 1):
+        inside = inside.copy()
+        inside[: len(raw) - k] &= ~gap[k:]
+        inside[max(len(raw) - k, 0) :] = False
+        if k in STEMS:
+            at = np.flatnonzero(inside)
+            row = np.searchsorted(offsets, at, side="right") - 1
+            good = at + k + 1 <= offsets[row + 1]
+            at, row = at[good], row[good]
+            code = np.full(len(at), k, np.uint64)
+            for j in range(k):
+                code = code << np.uint64(8) | lower[at + j]
+            hashes.append(code)
+            places.append(row)
+    return np.concatenate(hashes), np.concatenate(places), len(h)
 
 
 def style(texts: pa.Array) -> np.ndarray:
@@ -94,15 +104,19 @@ def style(texts: pa.Array) -> np.ndarray:
 
 
 def features(texts: pa.Array, lexicon: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    h, rows = entries(texts)
-    out = np.zeros((len(texts), N_STYLE + 2))
+    h, rows, words = entries(texts)
+    n = len(texts)
+    out = np.zeros((n, N_FEATURES))
     out[:, :N_STYLE] = style(texts)
     if len(lexicon):
         found = pd.Index(lexicon).get_indexer(h)
         on = found >= 0
-        pair = np.unique(rows[on] * len(lexicon) + found[on])
+        pair, times = np.unique(rows[on] * len(lexicon) + found[on], return_counts=True)
+        own, entry = pair // len(lexicon), pair % len(lexicon)
+        size = np.maximum(np.bincount(rows[:words], minlength=n), 1)
         for k in range(2):
-            out[:, N_STYLE + k] = np.clip(np.bincount(pair // len(lexicon), weight[pair % len(lexicon), k], len(texts)), -6, 12)
+            out[:, N_STYLE + k] = np.clip(np.bincount(own, weight[0, entry, k] + (times > 1) * weight[1, entry, k], n), -6, 12)
+            out[:, N_STYLE + 2 + k] = np.minimum(np.bincount(own, times * np.maximum(weight[:, entry, k].max(axis=0), 0), n) / size, MOST_RATE)
     return out
 
 
@@ -136,28 +150,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                h, rows = entries(part.column("text"))
-                pair = np.unique(np.stack((h, rows.astype(np.uint64))), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-                key, at = np.unique(pair[0], return_inverse=True)
+                h, rows, _ = entries(part.column("text"))
+                key, at = np.unique(h, return_inverse=True)
+                pair, times = np.unique(at * part.num_rows + rows, return_counts=True)
                 y = [np.asarray(part.column(c), dtype=np.float64) for c in HEADS]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.bincount(at, minlength=len(key)).astype(float)), *[pa.array(np.bincount(at, v[pair[1].astype(np.int64)], len(key))) for v in y]], names=["key", "n", *HEADS])
+                for kind in range(2):
+                    some = pair[times > kind]
+                    entry, own = some // part.num_rows, some % part.num_rows
+                    seen, at = np.unique(entry, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[seen].view(np.int64)), pa.array(np.full(len(seen), kind, np.int32)), pa.array(np.bincount(at, minlength=len(seen)).astype(float)), *[pa.array(np.bincount(at, v[own], len(seen))) for v in y]], names=["key", "kind", "n", *HEADS])
 
-    lexicon, weight = np.zeros(0, np.uint64), np.zeros((0, 2))
+    lexicon, weight = np.zeros(0, np.uint64), np.zeros((2, 0, 2))
     if marks is not None and marks.n:
         rate = [min(max(marks[h] / marks.n, 1e-3), 1 - 1e-3) for h in HEADS]
-        words = mine.where("half = 0").mapInArrow(tally, "key long, n double, low double, toxic double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", *HEADS)])
+        words = mine.where("half = 0").mapInArrow(tally, "key long, kind int, n double, low double, toxic double").groupBy("key", "kind").agg(*[F.sum(c).alias(c) for c in ("n", *HEADS)])
         off = [F.abs(F.col(h) - F.col("n") * r) / F.sqrt(F.col("n") * r * (1 - r)) >= DEVIATIONS for h, r in zip(HEADS, rate, strict=True)]
         found = words.where((F.col("n") >= LEAST_TEXTS) & (off[0] | off[1])).toPandas()
-        key = found["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        lexicon = key[order]
-        n = found["n"].to_numpy()[order]
-        columns = []
-        for h, r in zip(HEADS, rate, strict=True):
-            x = found[h].to_numpy(float)[order]
+        lexicon, at = np.unique(found["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+        kind, n = found["kind"].to_numpy(), found["n"].to_numpy()
+        weight = np.zeros((2, len(lexicon), 2))
+        for k, (h, r) in enumerate(zip(HEADS, rate, strict=True)):
+            x = found[h].to_numpy(float)
             sure = np.abs(x - n * r) / np.sqrt(n * r * (1 - r)) >= DEVIATIONS
-            columns.append(np.where(sure, np.log((x + r) / (n - x + 1 - r)) - np.log(r / (1 - r)), 0.0))
-        weight = np.stack(columns, axis=1)
+            weight[kind, at, k] = np.where(sure, np.log((x + r) / (n - x + 1 - r)) - np.log(r / (1 - r)), 0.0)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,14 +181,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
                 yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())), part.column("low"), part.column("toxic")], names=["x", *HEADS])
 
     rows = mine.where("half = 1").mapInArrow(spread, "x array<double>, low double, toxic double").orderBy("x").toPandas()
-    x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, N_STYLE + 2))
-    mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-3) if len(x) else (np.zeros(N_STYLE + 2), np.ones(N_STYLE + 2))
+    x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, N_FEATURES))
+    mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-3) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
     z = np.hstack((np.ones((len(x), 1)), (x - mean) / scale))
     beta = []
     for h in HEADS:
         y = rows[h].to_numpy(float) if len(rows) else np.zeros(0)
         both = 0 < y.sum() < len(y)
-        beta.append(logistic(z, y) if both else np.concatenate(([-3.0], np.zeros(N_STYLE + 2))))
+        beta.append(logistic(z, y) if both else np.concatenate(([-3.0], np.zeros(N_FEATURES))))
     return Model(lexicon, weight, mean, scale, np.stack(beta, axis=1))
 
 

@@ -71,3 +71,22 @@ def test_no_labels_and_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.classify(df, none).where("keep").count() == 30
     assert quality.classify(df.limit(0), none).count() == 0 and quality.kept(df.limit(0), none).count() == 0
+
+
+def test_held_out_labels_of_the_tables(spark):
+    """Fitted on one half of the labels, read on the other."""
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    out = quality.classify(docs, labels.where(half)).join(labels.where(~half), "doc_id").toPandas()
+    share = lambda rows: (~rows.keep).mean()
+    assert share(out[out.quality == 0]) > 0.97 and share(out[(out.quality == 1) & (out.toxic == 1)]) > 0.93
+    assert share(out[(out.quality == 1) & (out.toxic == 0)]) < 0.01
+
+
+def test_copies_with_different_labels_count_as_the_worse(spark):
+    docs = spark.createDataFrame([(i, f"same words {i // 2}", "h", "p", 0, "", "") for i in range(40)], DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    first, second = (quality.fit(docs.orderBy(o), labels).beta.tolist() for o in ("doc_id", "text"))
+    assert first == second
