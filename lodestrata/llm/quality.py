@@ -156,6 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
                 y = [np.asarray(part.column(c), dtype=np.float64) for c in HEADS]
                 for kind in range(2):
                     some = pair[times > kind]
+                    if not len(some):
+                        continue
                     entry, own = some // part.num_rows, some % part.num_rows
                     seen, at = np.unique(entry, return_inverse=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key[seen].view(np.int64)), pa.array(np.full(len(seen), kind, np.int32)), pa.array(np.bincount(at, minlength=len(seen)).astype(float)), *[pa.array(np.bincount(at, v[own], len(seen))) for v in y]], names=["key", "kind", "n", *HEADS])
