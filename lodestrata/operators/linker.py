@@ -24,8 +24,8 @@ STOPWORDS = (
 LEAST_WORD, LEAST_CJK, LONGEST, MOST_MENTIONS, MOST_EVIDENCE = 3, 2, 80, 24, 20
 WEIGHTS = {"label": 3, "alias": 2, "tag": 1}
 PATHLIKE = r"(?iU)[/\\]|^\.[\w.-]+$|\.(?:md|markdown|json|jsonl|ts|tsx|js|mjs|py|sh|bash|cfg|conf|ini|ya?ml|toml|txt|log|csv|xml)\b"
-#: Aliases without a first word up to which containment is tried against a broadcast list.
-MOST_WORDLESS = 100_000
+#: Aliases that every task gets at most: those met on their first word, and those without one.
+MOST_BROADCAST, MOST_WORDLESS = 200_000, 100_000
 
 
 def usable(alias: Column, surface: Column) -> Column:
@@ -63,9 +63,8 @@ def gazetteer(entities: DataFrame, include_tags: bool = False, include_aliases:
 
 
 def normalized_texts(texts: DataFrame) -> DataFrame:
-    """``id, h``: normalised texts that are not empty; rows without an id go."""
-    rows = texts.where(F.coalesce("id", F.lit("")) != "").select("id", fn.normalized(F.col("text")).alias("h"), F.monotonically_increasing_id().alias("row"))
-    return rows.where("h <> '' and row >= 0").select("id", "h")  # the row keeps later filters from normalising again
+    """``id, h``: normalised texts that are not empty, kept so that they are normalised once; rows without an id go."""
+    return durable(texts.where(F.coalesce("id", F.lit("")) != "").select("id", fn.normalized(F.col("text")).alias("h"))).where("h <> ''")
 
 
 def candidates(texts: DataFrame, names: DataFrame, whole_words: bool = True) -> DataFrame:
@@ -77,8 +76,13 @@ def candidates(texts: DataFrame, names: DataFrame, whole_words: bool = True) ->
     names = names.withColumn("head", word)
     if not whole_words:
         return _contained(texts, names.drop("head"))
-    heads = texts.select("id", "h", F.explode(F.array_distinct(F.regexp_extract_all("h", F.lit("([a-z0-9_]+)"), 1))).alias("head"))
-    met = heads.join(names.where("head <> ''"), "head").where(F.contains("h", "alias")).drop("head")
+    wordy = names.where("head <> ''")
+    heads = F.explode(F.array_distinct(F.regexp_extract_all("h", F.lit("([a-z0-9_]+)"), 1))).alias("head")
+    if wordy.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        met = texts.select("id", "h", heads).join(F.broadcast(wordy), "head").where(F.contains("h", "alias")).drop("head")
+    else:  # words and aliases meet without the texts, and each text is fetched once
+        own = texts.select("id", heads).join(wordy, "head").groupBy("id").agg(F.collect_set(F.struct(*names.drop("head").columns)).alias("own"))
+        met = texts.join(own, "id").select("id", "h", F.explode("own").alias("own")).select("id", "h", "own.*").where(F.contains("h", "alias"))
     return met.unionByName(_contained(texts, names.where("head = ''").drop("head")))
 
 

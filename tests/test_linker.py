@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from lodestrata.operators import linker
 
 ENTITY = "id string, label string, aliases array<string>, tags array<string>"
@@ -29,7 +31,10 @@ def slow_accepted(text, names):
     return sorted(out)
 
 
-def test_spans_by_brute_force(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_spans_by_brute_force(spark, monkeypatch, most):
+    """Whether aliases go to every task or meet the texts' words in a shuffle."""
+    monkeypatch.setattr(linker, "MOST_BROADCAST", most)
     rng = random.Random(5)
     names = [("aaa", "e1"), ("aa b", "e2"), ("b.a", "e3"), ("aba", "e4"), ("é a", "e5"), ("a é", "e6"), ("中文", "e7"), ("文", "e8")]
     texts = [(f"t{i}", "".join(rng.choices("aab .é中文", k=rng.randint(1, 25)))) for i in range(300)]
@@ -42,6 +47,16 @@ def test_spans_by_brute_force(spark):
         assert sorted(got.get(i, [])) == slow_accepted(t, names), t
 
 
+def test_a_catalogue_of_many_aliases(spark, monkeypatch):
+    """Every word of the lines as an alias, most of them met in a shuffle: the same mentions as with all aliases in every task."""
+    lines = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("cast(doc_id as string) as id", "text").where("text is not null")
+    words = sorted({w.strip(".,").lower() for r in lines.collect() for w in r.text.split() if len(w) > 4})[:8000]
+    names = spark.createDataFrame([(w, f"e{i}", w, "label", 3) for i, w in enumerate(words)], "alias string, entity_id string, display string, source string, weight int")
+    want = sorted(map(tuple, linker.mentions(lines, names, most=50).collect()))
+    monkeypatch.setattr(linker, "MOST_BROADCAST", 0)
+    assert len(want) > 2000 and sorted(map(tuple, linker.mentions(lines, names, most=50).collect())) == want
+
+
 def test_usable_surfaces(spark):
     rows = [("a", "ab", [], []), ("b", "the", [], []), ("c", "BMC", ["阈值", "阈", "x.json", "/usr/lib", ".env", "read me.md"], ["tagged"]), ("", "nobody", [], []), ("d", "y" * 81, [], []), ("e", "---", [], [])]
     assert {r.alias for r in gazetteer(spark, rows).collect()} == {"bmc", "阈值"}
