@@ -19,7 +19,6 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,16 +27,16 @@ from lodestrata.llm.common import buffers, durable, slices
 from lodestrata.llm.tokens import LOWER, SPACE, mixed, weighed_words
 
 #: Occurrences of a context, and of a next symbol after it, from which on they are counted.
-LEAST_CONTEXT, LEAST_NEXT = 100, 10
+LEAST_CONTEXT, LEAST_NEXT = 100, 16
 DEPTH = 3
 #: What each next symbol that a context stores must pay in nats, over all its occurrences.
 PRICE = 2.0
 #: Rows of the tree that every worker gets, the most frequent ones.
-HOT_ROWS = 1_500_000
+HOT_ROWS = 2_000_000
 #: Binary logarithm of the bits of a table that says which hashes may be frequent.
-BITS = 25
-#: Bytes of text counted in one step.
-STEP = 8 << 20
+BITS = 24
+#: Sequences that a task sums before it sends them on.
+HELD = 2_500_000
 #: The hashes that stand for the end of a text and for what precedes it.
 END, BEGIN = np.uint64(0x5EED0E0D0E0D5EED), np.uint64(0x0BE61D0E6150BE61)
 
@@ -83,12 +82,26 @@ class Hot:
     distinct: int
     discount: float
     depth: int
-    index: pd.Index | None = None
+    starts: np.ndarray | None = None
 
     def look(self, h: np.ndarray) -> np.ndarray:
-        if self.index is None:
-            self.index = pd.Index(self.keys)
-        return self.index.get_indexer(h)
+        """The rows of hashes, -1 for those that are not among them. Keys are spread evenly, so their first bits lead to within a few rows."""
+        bits = max(1, len(self.keys).bit_length())
+        if self.starts is None:
+            self.starts = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+            self.starts = np.append(self.starts, np.int32(len(self.keys)))
+        out = np.full(len(h), -1, np.int32)
+        slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+        at, end = self.starts[slot], self.starts[slot + 1]
+        on = np.flatnonzero(at < end)
+        at, end, own = at[on], end[on], h[on]
+        while len(on):
+            same = self.keys[at] == own
+            out[on[same]] = at[same]
+            at += 1
+            left = ~same & (at < end)
+            on, at, end, own = on[left], at[left], end[left], own[left]
+        return out
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -130,9 +143,9 @@ def bits_of(rows: DataFrame, key: str = "key") -> np.ndarray:
     """A table of 2**BITS bits, set for the hashes in ``rows``; it may be set for others too. Combined before it reaches the driver."""
     slot = F.shiftrightunsigned(key, 64 - (BITS - 6)).alias("slot")
     own = F.expr(f"shiftleft(1L, cast({key} & 63 as int))")
-    found = rows.groupBy(slot).agg(F.bit_or(own).alias("bits")).toPandas()
+    found = rows.groupBy(slot).agg(F.bit_or(own).alias("bits")).toArrow()
     out = np.zeros(1 << (BITS - 6), np.uint64)
-    out[found["slot"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    out[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
 
@@ -149,7 +162,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", STEP):
+            for part in slices(batch, "text"):
                 h, _, place, _ = framed(part.column("text"))
                 key, n = np.unique(h[place > 0], return_counts=True)
                 letters = np.bincount(LOWER[buffers(part.column("text"))[0]], minlength=256)
@@ -167,16 +180,32 @@ def sequence_counts(texts: DataFrame, length: int, contexts: np.ndarray, suffixe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_context, of_suffix = sent.value
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def summed() -> pa.RecordBatch:
+            a, b, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            key = joint(a, b)
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+            sums = np.add.reduceat(n[order], first) if len(first) else n
+            order = order[first]
+            return pa.RecordBatch.from_arrays([signed(a[order]), signed(b[order]), pa.array(sums)], names=["context", "suffix", "n"])
+
         for batch in batches:
-            for part in slices(batch, "text", STEP):
+            for part in slices(batch, "text"):
                 h, _, place, _ = framed(part.column("text"))
                 whole = sequences(h, length - 1)[-1]
                 at = np.flatnonzero(place >= length - 1)
                 a, b = whole[at - 1], whole[at]
-                on = maybe(of_context, a) & maybe(of_suffix, b)
-                a, b = a[on], b[on]
-                _, first, n = np.unique(joint(a, b), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([signed(a[first]), signed(b[first]), pa.array(n.astype(np.int64))], names=["context", "suffix", "n"])
+                on = maybe(of_context, a)
+                on &= maybe(of_suffix, b)
+                held.append((a[on], b[on], np.ones(int(on.sum()), np.int64)))
+                if sum(len(x[0]) for x in held) >= HELD:
+                    yield summed()
+        if held:
+            yield summed()
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,24 +263,30 @@ def train(docs: DataFrame, text: str = "text", depth: int = DEPTH, price: float
         parts.append(kept.select("key", F.lit(None).cast("long").alias("n"), F.col("n").alias("weight"), none.alias("own"), "bow"))
         contexts = below.where(F.col("n") >= LEAST_CONTEXT).select("key", "n")
     facts = durable(reduce(DataFrame.unionByName, parts).groupBy("key").agg(*[F.max(c).alias(c) for c in ("n", "weight", "own", "bow")]))
-    least = frequent_from(facts, most)
-    hot = facts.where(F.col("weight") >= least).drop("weight").toPandas().sort_values("key")
+    least = known = frequent_from(facts, most, LEAST_NEXT)
+    hot = facts.where(F.col("weight") >= least)
+    if least == LEAST_NEXT:  # there may be room for rarer words
+        rarer = words.where(F.col("n") < LEAST_NEXT).select("key", "n", F.col("n").alias("weight"), none.alias("own"), none.alias("bow"))
+        known = min(frequent_from(rarer, most - hot.count(), 1), LEAST_NEXT)
+        hot = hot.unionByName(rarer.where(F.col("n") >= known))
+    hot = hot.select("key", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("own").cast("float"), F.lit(float("nan"))).alias("own"), F.coalesce(F.col("bow").cast("float"), F.lit(float("nan"))).alias("bow")).toArrow()
     cold = facts.where(F.col("weight") < least).drop("weight") if least > LEAST_NEXT else None
-    key = hot["key"].to_numpy(np.int64).view(np.uint64)
-    values = [hot["n"].fillna(0).to_numpy(np.int64), *(hot[c].to_numpy(np.float32) for c in ("own", "bow"))]
-    sent = spark.sparkContext.broadcast(Hot(key, *values, spread, None if cold is None else bits_of(cold.where("own is not null or bow is not null")), total, distinct, discount, depth))
-    return Tree(words, facts, cold, total, distinct, discount, depth, least, sent)
+    key = hot["key"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    values = [np.asarray(hot[c].to_numpy(), dtype=t)[order] for c, t in (("n", np.int64), ("own", np.float32), ("bow", np.float32))]
+    sent = spark.sparkContext.broadcast(Hot(key[order], *values, spread, None if cold is None else bits_of(cold.where("own is not null or bow is not null")), total, distinct, discount, depth))
+    return Tree(words, facts, cold, total, distinct, discount, depth, known, sent)
 
 
-def frequent_from(facts: DataFrame, most: int) -> int:
-    """The least weight from which on ``facts`` has ``most`` rows at most; weights are told apart to a sixteenth of their binary logarithm."""
+def frequent_from(facts: DataFrame, most: int, least: int) -> int:
+    """The least weight, ``least`` or more, from which on ``facts`` has ``most`` rows at most; weights are told apart to a sixteenth of their binary logarithm."""
     step = F.floor(F.log2(F.col("weight").cast("double")) * 16).alias("step")
     at, left = 1 << 62, most
     for r in facts.groupBy(step).agg(F.count("*").alias("rows"), F.min("weight").alias("least")).orderBy(F.desc("step")).collect():
         if r.rows > left:
             return at
         left, at = left - r.rows, r.least
-    return LEAST_NEXT
+    return least
 
 
 def slot(name: str, d: int) -> str:

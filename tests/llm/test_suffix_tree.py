@@ -20,7 +20,8 @@ def words(text):
 class Plain:
     """The tree, by dictionaries."""
 
-    def __init__(self, texts, depth=st.DEPTH, price=st.PRICE, least_context=st.LEAST_CONTEXT, least_next=st.LEAST_NEXT):
+    def __init__(self, texts, depth=st.DEPTH, price=st.PRICE):
+        least_context, least_next = st.LEAST_CONTEXT, st.LEAST_NEXT
         framed = [[BEGIN, *words(t), END] for t in texts]
         self.words = Counter(w for t in framed for w in t[1:])
         self.n = sum(self.words.values())
@@ -33,7 +34,7 @@ class Plain:
         self.depth, self.own, self.bow = depth, {}, {}
         for d in range(1, depth + 1):
             grams = Counter(tuple(t[i : i + d + 1]) for t in framed for i in range(len(t) - d))
-            contexts = Counter(tuple(t[i : i + d]) for t in framed for i in range(len(t) - d + (0 if d > 1 else 0)))
+            contexts = Counter(tuple(t[i : i + d]) for t in framed for i in range(len(t) - d))
             after = defaultdict(dict)
             for g, n in grams.items():
                 if n >= least_next and contexts[g[:-1]] >= least_context:
@@ -66,11 +67,18 @@ class Plain:
         return sum(self.log10(t[max(0, i - self.depth) : i], t[i]) for i in range(1, len(t)))
 
 
+@pytest.fixture
+def low(monkeypatch):
+    """Counts that small tables reach."""
+    monkeypatch.setattr(st, "LEAST_CONTEXT", 60)
+    monkeypatch.setattr(st, "LEAST_NEXT", 8)
+
+
 def frame(spark, texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
 
 
-def test_contract_by_brute_force(spark):
+def test_contract_by_brute_force(spark, low):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in docs}
     plain = Plain([r.text for r in docs if not held[r.doc_id]])
@@ -92,7 +100,7 @@ def toy():
 
 
 @pytest.mark.parametrize("hot_rows", [None, 12, 0])
-def test_rows_of_the_tree_that_workers_lack_are_joined(spark, hot_rows):
+def test_rows_of_the_tree_that_workers_lack_are_joined(spark, low, hot_rows):
     """The same scores, however many rows every worker has."""
     texts, asked = toy(), [*toy()[:5], "", "a b c zzz a b é", "unseen a b c a", "h g rare1 f once3 " * 9]
     plain = Plain(texts)
@@ -103,7 +111,7 @@ def test_rows_of_the_tree_that_workers_lack_are_joined(spark, hot_rows):
         assert got[i].score == pytest.approx(plain.score(t), rel=1e-5) and got[i].n_known == sum(plain.words[w] > 0 for w in [*words(t), END])
 
 
-def test_probabilities_sum_to_one_at_most(spark):
+def test_probabilities_sum_to_one_at_most(low):
     texts = toy()
     plain = Plain(texts)
     assert len(plain.bow) > 3
@@ -123,13 +131,13 @@ def test_gibberish_scores_below_real_text(spark):
     assert gibberish < 2 * real and known < 0
 
 
-def test_the_tree_grows_with_the_corpus(spark):
+def test_the_tree_grows_with_the_corpus(spark, low):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     few, all_ = (st.train(d).facts.agg({"own": "count", "bow": "count"}).first() for d in (docs.where("doc_id % 4 = 0"), docs))
     assert all_["count(own)"] > 2 * few["count(own)"] and all_["count(bow)"] > 2 * few["count(bow)"]
 
 
-def test_contexts_are_kept_where_they_tell_something(spark):
+def test_contexts_are_kept_where_they_tell_something(spark, low):
     plain = Plain(["x a y b " * 40, "y a x b " * 40] * 5)
     assert ("a",) in plain.bow and 10 ** plain.log10(["x", "a"], "y") > 0.9 > 0.1 > 10 ** plain.log10(["x", "a"], "x")
     tree = st.train(frame(spark, [" ".join(np.random.default_rng(i).choice(list("abcd"), 300)) for i in range(20)]))
