@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import buffers, durable, slices
+from lodestrata.llm.common import buffers, durable, slices, written
 from lodestrata.llm.tokens import LOWER, SPACE, mixed, weighed_words
 
 #: Occurrences of a context, and of a next symbol after it, from which on they are counted.
-LEAST_CONTEXT, LEAST_NEXT = 100, 16
+LEAST_CONTEXT, LEAST_NEXT = 100, 10
 DEPTH = 3
 #: What each next symbol that a context stores must pay in nats, over all its occurrences.
 PRICE = 2.0
@@ -37,6 +37,8 @@ HOT_ROWS = 2_000_000
 BITS = 24
 #: Sequences that a task sums before it sends them on.
 HELD = 2_500_000
+#: Contexts with more than this share of the tokens, of which there are 1 / SHARE at most, are dealt out by the first bits of the next symbol too.
+SHARE, SALT_BITS = 1e-3, 6
 #: The hashes that stand for the end of a text and for what precedes it.
 END, BEGIN = np.uint64(0x5EED0E0D0E0D5EED), np.uint64(0x0BE61D0E6150BE61)
 
@@ -174,24 +176,29 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def sequence_counts(texts: DataFrame, length: int, contexts: np.ndarray, suffixes: np.ndarray) -> DataFrame:
-    """``key, context, suffix, n`` of sequences of ``length`` symbols with LEAST_NEXT occurrences; both bit tables must have their parts."""
-    sent = texts.sparkSession.sparkContext.broadcast((contexts, suffixes))
+def sequence_counts(texts: DataFrame, length: int, contexts: np.ndarray, suffixes: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """``key, context, suffix, n`` of sequences of ``length`` symbols with LEAST_NEXT occurrences; both bit tables must have their parts.
+
+    Tasks send a context once with all that follows it there. ``hot`` has the hashes of contexts whose followers are dealt out among tasks.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast((contexts, suffixes, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_context, of_suffix = sent.value
-        held: list[tuple[np.ndarray, ...]] = []
+        of_context, of_suffix, dealt = sent.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def summed() -> pa.RecordBatch:
-            a, b, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            key = joint(a, b)
-            order = np.argsort(key)
-            key = key[order]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
-            sums = np.add.reduceat(n[order], first) if len(first) else n
-            order = order[first]
-            return pa.RecordBatch.from_arrays([signed(a[order]), signed(b[order]), pa.array(sums)], names=["context", "suffix", "n"])
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
+            n = np.diff(np.append(first, len(a))).astype(np.int32)
+            a, b = a[first], b[first]
+            salt = np.where(np.isin(a, dealt), b >> np.uint64(64 - SALT_BITS), np.uint64(0)).astype(np.int32)
+            first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (salt[1:] != salt[:-1])))[: len(a)])
+            ends = pa.array(np.append(first, len(a)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([signed(a[first]), pa.array(salt[first]), pa.ListArray.from_arrays(ends, signed(b)), pa.ListArray.from_arrays(ends, pa.array(n))], names=["context", "salt", "suffix", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -201,7 +208,7 @@ def sequence_counts(texts: DataFrame, length: int, contexts: np.ndarray, suffixe
                 a, b = whole[at - 1], whole[at]
                 on = maybe(of_context, a)
                 on &= maybe(of_suffix, b)
-                held.append((a[on], b[on], np.ones(int(on.sum()), np.int64)))
+                held.append((a[on], b[on]))
                 if sum(len(x[0]) for x in held) >= HELD:
                     yield summed()
         if held:
@@ -212,7 +219,9 @@ def sequence_counts(texts: DataFrame, length: int, contexts: np.ndarray, suffixe
             a, b = (np.asarray(batch.column(c), dtype=np.int64).view(np.uint64) for c in ("context", "suffix"))
             yield pa.RecordBatch.from_arrays([signed(joint(a, b)), *batch.columns], names=["key", *batch.schema.names])
 
-    found = texts.mapInArrow(run, "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_NEXT)
+    sent_on = texts.mapInArrow(run, "context long, salt int, suffix array<long>, n array<int>").repartition("context", "salt")
+    each = sent_on.select("context", "salt", F.inline(F.arrays_zip("suffix", "n")))
+    found = each.groupBy("context", "salt", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_NEXT).drop("salt")
     return found.mapInArrow(named, "key long, context long, suffix long, n long")
 
 
@@ -257,36 +266,33 @@ def train(docs: DataFrame, text: str = "text", depth: int = DEPTH, price: float
     none = F.lit(None).cast("double")
     parts = [often.select("key", "n", F.col("n").alias("weight"), none.alias("own"), none.alias("bow"))]
     for d in range(1, depth + 1):
-        rows = sequence_counts(texts, d + 1, bits_of(contexts), bits_of(below))
+        hot = [r.key for r in contexts.where(F.col("n") > SHARE * total).select("key").collect()]
+        rows = sequence_counts(texts, d + 1, bits_of(contexts), bits_of(below), np.array(hot, np.int64).view(np.uint64))
         below, kept = fitted(rows, below, contexts, price)
         parts.append(below.where("own is not null").select("key", F.lit(None).cast("long").alias("n"), F.col("n").alias("weight"), "own", none.alias("bow")))
         parts.append(kept.select("key", F.lit(None).cast("long").alias("n"), F.col("n").alias("weight"), none.alias("own"), "bow"))
         contexts = below.where(F.col("n") >= LEAST_CONTEXT).select("key", "n")
     facts = durable(reduce(DataFrame.unionByName, parts).groupBy("key").agg(*[F.max(c).alias(c) for c in ("n", "weight", "own", "bow")]))
-    least = known = frequent_from(facts, most, LEAST_NEXT)
+    least = frequent_from(facts, most)
     hot = facts.where(F.col("weight") >= least)
-    if least == LEAST_NEXT:  # there may be room for rarer words
-        rarer = words.where(F.col("n") < LEAST_NEXT).select("key", "n", F.col("n").alias("weight"), none.alias("own"), none.alias("bow"))
-        known = min(frequent_from(rarer, most - hot.count(), 1), LEAST_NEXT)
-        hot = hot.unionByName(rarer.where(F.col("n") >= known))
     hot = hot.select("key", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("own").cast("float"), F.lit(float("nan"))).alias("own"), F.coalesce(F.col("bow").cast("float"), F.lit(float("nan"))).alias("bow")).toArrow()
     cold = facts.where(F.col("weight") < least).drop("weight") if least > LEAST_NEXT else None
     key = hot["key"].to_numpy().view(np.uint64)
     order = np.argsort(key)
     values = [np.asarray(hot[c].to_numpy(), dtype=t)[order] for c, t in (("n", np.int64), ("own", np.float32), ("bow", np.float32))]
     sent = spark.sparkContext.broadcast(Hot(key[order], *values, spread, None if cold is None else bits_of(cold.where("own is not null or bow is not null")), total, distinct, discount, depth))
-    return Tree(words, facts, cold, total, distinct, discount, depth, known, sent)
+    return Tree(words, facts, cold, total, distinct, discount, depth, least, sent)
 
 
-def frequent_from(facts: DataFrame, most: int, least: int) -> int:
-    """The least weight, ``least`` or more, from which on ``facts`` has ``most`` rows at most; weights are told apart to a sixteenth of their binary logarithm."""
+def frequent_from(facts: DataFrame, most: int) -> int:
+    """The least weight, LEAST_NEXT or more, from which on ``facts`` has ``most`` rows at most; weights are told apart to a sixteenth of their binary logarithm."""
     step = F.floor(F.log2(F.col("weight").cast("double")) * 16).alias("step")
     at, left = 1 << 62, most
     for r in facts.groupBy(step).agg(F.count("*").alias("rows"), F.min("weight").alias("least")).orderBy(F.desc("step")).collect():
         if r.rows > left:
             return at
         left, at = left - r.rows, r.least
-    return least
+    return LEAST_NEXT
 
 
 def slot(name: str, d: int) -> str:
@@ -360,7 +366,7 @@ def score(docs: DataFrame, tree: Tree, doc_id: str = "doc_id", text: str = "text
     cold = tree.cold is not None
     field = "word: bigint, letters: double, n: bigint, " + ", ".join(f"{v}: double, {v}_key: bigint" for v in values)
     schema = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<struct<key: bigint, letters: double, alone: boolean>>" + (f", open array<struct<{field}>>" if cold else "")
-    parts = durable(source.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()))
+    parts = written(source.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()))
     asked = parts.select("__row", F.explode("rare").alias("r")).select("__row", "r.*")
     few = tree.words.where(F.col("n") < tree.known_from)
     n = F.coalesce("n", F.lit(0))
