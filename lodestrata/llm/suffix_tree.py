@@ -179,7 +179,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 def sequence_counts(texts: DataFrame, length: int, contexts: np.ndarray, suffixes: np.ndarray, hot: np.ndarray) -> DataFrame:
     """``key, context, suffix, n`` of sequences of ``length`` symbols with LEAST_NEXT occurrences; both bit tables must have their parts.
 
-    Tasks send a context once with all that follows it there. ``hot`` has the hashes of contexts whose followers are dealt out among tasks.
+    Tasks send what follows a context in one run, whose rows compress well, and to one task. ``hot`` has the hashes of contexts whose followers are dealt out among tasks.
     """
     sent = texts.sparkSession.sparkContext.broadcast((contexts, suffixes, hot))
 
@@ -196,9 +196,7 @@ def sequence_counts(texts: DataFrame, length: int, contexts: np.ndarray, suffixe
             n = np.diff(np.append(first, len(a))).astype(np.int32)
             a, b = a[first], b[first]
             salt = np.where(np.isin(a, dealt), b >> np.uint64(64 - SALT_BITS), np.uint64(0)).astype(np.int32)
-            first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (salt[1:] != salt[:-1])))[: len(a)])
-            ends = pa.array(np.append(first, len(a)).astype(np.int32))
-            return pa.RecordBatch.from_arrays([signed(a[first]), pa.array(salt[first]), pa.ListArray.from_arrays(ends, signed(b)), pa.ListArray.from_arrays(ends, pa.array(n))], names=["context", "salt", "suffix", "n"])
+            return pa.RecordBatch.from_arrays([signed(a), pa.array(salt), signed(b), pa.array(n)], names=["context", "salt", "suffix", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -219,8 +217,7 @@ def sequence_counts(texts: DataFrame, length: int, contexts: np.ndarray, suffixe
             a, b = (np.asarray(batch.column(c), dtype=np.int64).view(np.uint64) for c in ("context", "suffix"))
             yield pa.RecordBatch.from_arrays([signed(joint(a, b)), *batch.columns], names=["key", *batch.schema.names])
 
-    sent_on = texts.mapInArrow(run, "context long, salt int, suffix array<long>, n array<int>").repartition("context", "salt")
-    each = sent_on.select("context", "salt", F.inline(F.arrays_zip("suffix", "n")))
+    each = texts.mapInArrow(run, "context long, salt int, suffix long, n int").repartition("context", "salt")
     found = each.groupBy("context", "salt", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_NEXT).drop("salt")
     return found.mapInArrow(named, "key long, context long, suffix long, n long")
 
