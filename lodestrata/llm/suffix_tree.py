@@ -35,8 +35,8 @@ PRICE = 2.0
 HOT_ROWS = 2_000_000
 #: Binary logarithm of the bits of a table that says which hashes may be frequent.
 BITS = 24
-#: Sequences that a task sums before it sends them on.
-HELD = 2_500_000
+#: Sequences that a task sums before it sends them on, and the most of them in one batch.
+HELD, SENT = 1_000_000, 100_000
 #: Contexts with more than this share of the tokens, of which there are 1 / SHARE at most, are dealt out by the first bits of the next symbol too.
 SHARE, SALT_BITS = 1e-3, 6
 #: The hashes that stand for the end of a text and for what precedes it.
@@ -187,7 +187,7 @@ def sequence_counts(texts: DataFrame, length: int, contexts: np.ndarray, suffixe
         of_context, of_suffix, dealt = sent.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def summed() -> pa.RecordBatch:
+        def summed() -> Iterator[pa.RecordBatch]:
             a, b = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.lexsort((b, a))
@@ -196,7 +196,9 @@ def sequence_counts(texts: DataFrame, length: int, contexts: np.ndarray, suffixe
             n = np.diff(np.append(first, len(a))).astype(np.int32)
             a, b = a[first], b[first]
             salt = np.where(np.isin(a, dealt), b >> np.uint64(64 - SALT_BITS), np.uint64(0)).astype(np.int32)
-            return pa.RecordBatch.from_arrays([signed(a), pa.array(salt), signed(b), pa.array(n)], names=["context", "salt", "suffix", "n"])
+            for at in range(0, len(a), SENT):
+                some = slice(at, at + SENT)
+                yield pa.RecordBatch.from_arrays([signed(a[some]), pa.array(salt[some]), signed(b[some]), pa.array(n[some])], names=["context", "salt", "suffix", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -208,9 +210,9 @@ def sequence_counts(texts: DataFrame, length: int, contexts: np.ndarray, suffixe
                 on &= maybe(of_suffix, b)
                 held.append((a[on], b[on]))
                 if sum(len(x[0]) for x in held) >= HELD:
-                    yield summed()
+                    yield from summed()
         if held:
-            yield summed()
+            yield from summed()
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
