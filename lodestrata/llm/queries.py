@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, decontaminate, fingerprint, html, lines, packing, quality, simhash, substrings, suffix_tree
+from lodestrata.llm import chat, decontaminate, fingerprint, html, lines, packing, quality, simhash, substrings, suffix_tree, vector_codes
 from lodestrata.llm.common import durable, joined_hot, table
 
 
@@ -84,7 +84,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("lines_in").cast("long").alias("lines_in"), F.coalesce(left, F.lit(0)).cast("long").alias("lines_kept"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_benchmark_decontamination, op4_html_extraction, op5_packing, op6_simhash_near_dedup, op7_document_fingerprints, op8_suffix_array_dedup, op9_chat_formatting, op10_line_dedup)}
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.lit(books.joined()), 256).alias("codebooks_sha256")
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", digest)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_benchmark_decontamination, op4_html_extraction, op5_packing, op6_simhash_near_dedup, op7_document_fingerprints, op8_suffix_array_dedup, op9_chat_formatting, op10_line_dedup, op11_vector_code_compression)}
 
 ORACLE_SQL = {
     "op9_chat_formatting": r"""
@@ -110,4 +116,27 @@ select doc_id, source, cast(len(l) as bigint) as lines_in,
   cast(case when coalesce(array_to_string(kept, chr(10)), '') = '' then 0 else len(kept) end as bigint) as lines_kept,
   md5(coalesce(array_to_string(kept, chr(10)), '')) as text_md5
 from j""",
+    "op11_vector_code_compression": """
+with v as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), p as materialized (
+  select vec_id, k as part, e[k * len(e) // 4 + 1 : (k + 1) * len(e) // 4] as x from v, range(4) t(k)
+), c0 as materialized (
+  select part, row_number() over (partition by part order by vec_id) - 1 as entry, x as c from p where vec_id in (select vec_id from v order by vec_id limit 256)
+)""" + "".join(f"""
+, a{r} as materialized (
+  select vec_id, part, x, m.entry, m.error from (
+    select vec_id, part, any_value(x) as x, min({{'error': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'entry': entry}}) as m
+    from p join c{r} using (part) group by vec_id, part)
+)""" + ("" if r == 4 else f""", s{r} as materialized (
+  select part, entry, list((t - ((t % n) + n) % n) // n order by i) as c from (
+    select part, entry, i, sum(x[i]) as t, count(*) as n from a{r}, range(1, 17) g(i) group by all) group by part, entry
+), c{r + 1} as materialized (
+  select part, entry, coalesce(s{r}.c, c{r}.c) as c from c{r} left join s{r} using (part, entry)
+)""") for r in range(5)) + """
+, w as (select vec_id, label, string_agg(printf('%02x', a4.entry), '' order by part) as code, cast(sum(error) as bigint) as error from a4 join v using (vec_id) group by vec_id, label)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) from c4) as codebooks_sha256
+from w""",
 }
