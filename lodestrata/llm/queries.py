@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, decontaminate, fingerprint, html, lines, packing, quality, simhash, substrings, suffix_tree, vector_codes
+from lodestrata.llm import byte_bpe, chat, decontaminate, fingerprint, html, lines, packing, quality, simhash, substrings, suffix_tree, vector_codes
 from lodestrata.llm.common import durable, joined_hot, table
 
 
@@ -90,7 +90,19 @@ def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", digest)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_benchmark_decontamination, op4_html_extraction, op5_packing, op6_simhash_near_dedup, op7_document_fingerprints, op8_suffix_array_dedup, op9_chat_formatting, op10_line_dedup, op11_vector_code_compression)}
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks_path()), ranks_path())
+    text = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(text, "UTF-8"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_benchmark_decontamination, op4_html_extraction, op5_packing, op6_simhash_near_dedup, op7_document_fingerprints, op8_suffix_array_dedup, op9_chat_formatting, op10_line_dedup, op11_vector_code_compression, op12_byte_bpe)}
 
 ORACLE_SQL = {
     "op9_chat_formatting": r"""
