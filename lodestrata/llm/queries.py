@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import byte_bpe, chat, decontaminate, fingerprint, html, lines, packing, quality, simhash, substrings, suffix_tree, vector_codes
+from lodestrata.llm import byte_bpe, chat, decontaminate, fingerprint, html, lines, packing, phrases, quality, simhash, substrings, suffix_tree, vector_codes
 from lodestrata.llm.common import durable, joined_hot, table
 
 
@@ -102,7 +102,11 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(text, "UTF-8"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_benchmark_decontamination, op4_html_extraction, op5_packing, op6_simhash_near_dedup, op7_document_fingerprints, op8_suffix_array_dedup, op9_chat_formatting, op10_line_dedup, op11_vector_code_compression, op12_byte_bpe)}
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_benchmark_decontamination, op4_html_extraction, op5_packing, op6_simhash_near_dedup, op7_document_fingerprints, op8_suffix_array_dedup, op9_chat_formatting, op10_line_dedup, op11_vector_code_compression, op12_byte_bpe, op13_phrase_collocations)}
 
 ORACLE_SQL = {
     "op9_chat_formatting": r"""
@@ -151,4 +155,25 @@ with v as materialized (
 select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
   (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) from c4) as codebooks_sha256
 from w""",
+    "op13_phrase_collocations": r"""
+with p as materialized (
+  select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)
+), g as (
+  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from p, range(1, 6) t(k))
+), f as materialized (
+  select lang, k, phrase, string_split(phrase, ' ') as w, count(*) as a from g group by all having count(*) >= 100
+), n as (select lang, sum(len(w)) as n from p group by lang
+), c as materialized (
+  select f.lang, f.phrase, f.k, f.a, cut, l.a as l, r.a as r, n.n, (1000 * f.a::hugeint * n.n::hugeint) // (l.a::hugeint * r.a::hugeint) as score
+  from (select *, unnest(range(1, k)) as cut from f where k > 1) f join n on n.lang = f.lang
+  join f l on l.lang = f.lang and l.phrase = array_to_string(f.w[: cut], ' ') join f r on r.lang = f.lang and r.phrase = array_to_string(f.w[cut + 1 :], ' ')
+), b as (select * from c qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+), inside as materialized (
+  select lang, array_to_string(w[i : i + m - 1], ' ') as phrase, max(a) as a from (select *, unnest(range(1, k - m + 2)) as i from f, range(2, 5) t(m) where m < k) group by all
+), d as (
+  select b.* from b left join inside using (lang, phrase) where inside.a is null or 100 * inside.a < 100 * b.a
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+from d qualify rank <= 2000""",
 }
