@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import SLICE_BYTES, slices
 
 #: Distinct words whose ids a worker remembers; when there are more it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Bytes of new words in one recursive query, rows that its steps may pile up together, ids decoded by one query.
 WORD_BYTES, ROWS, DECODED = 1 << 19, 4_000_000, 1 << 20
 #: Settings of the DuckDB inside a task.
-SETTINGS = {"threads": 1, "memory_limit": "400MB", "temp_directory": "", "autoinstall_known_extensions": False, "autoload_known_extensions": False}
+SETTINGS = {"threads": 1, "memory_limit": "250MB", "temp_directory": "", "autoinstall_known_extensions": False, "autoload_known_extensions": False}
 
 #: Character classes: letters, digits, white space, anything else.
 LETTER, DIGIT, GAP, OTHER = range(4)
@@ -248,9 +248,11 @@ def _chunks(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
-def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """``doc_id, ids``: every text's token ids by the ranks file at ``path``; special tokens are ordinary text. A pass without a shuffle.
 
+    With ``decoded`` also ``bytes``, what ``decode`` makes of the ids, by the same worker: two Python stages in a row would hold two vocabularies.
+
     Null text: empty, which has no ids. Null document ids and repeated rows are documents like any other. Texts of any length go
     whole, in steps. Other columns are ignored. No rows give no rows.
     """
@@ -266,10 +268,11 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 else:
                     ids, ends = own.encoded(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
+                back = [pa.array(own.decoded(ids, np.asarray(ends)), pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, *back], names=["doc_id", "ids", *["bytes"] * len(back)])
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, ids array<int>")
+    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, ids array<int>" + ", bytes binary" * decoded)
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:

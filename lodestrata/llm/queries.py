@@ -97,7 +97,7 @@ def ranks_path() -> str:
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks_path()), ranks_path())
+    out = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks_path(), decoded=True)
     text = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(text, "UTF-8"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
