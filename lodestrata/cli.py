@@ -5,13 +5,16 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata import settings
-from lodestrata.operators import graphstore, ingest, merge
+from lodestrata.operators import graphstore, ingest
+from lodestrata.operators.merge import StoreError
 from lodestrata.plans import imports
 from lodestrata.sources import guard
+from lodestrata.sources.store import Commit, Store, Stored, rows_of
 
 
 def parser() -> argparse.ArgumentParser:
@@ -40,55 +43,63 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def stored(spark: SparkSession, root: str | None, table: str = "units") -> DataFrame:
-    """A store's newest table, an empty one if it was never published. Any other failure to read ends the command."""
-    empty = {"units": imports.empty_units, "vectors": imports.empty_vectors, "nodes": lambda s: graphstore.empty(s)[0], "edges": lambda s: graphstore.empty(s)[1]}[table](spark)
-    return merge.newest_or(spark, root and f"{root}/{table}", empty)
-
-
-def graph_of(spark: SparkSession, root: str | None) -> tuple[DataFrame, DataFrame]:
-    return stored(spark, root, "nodes"), stored(spark, root, "edges")
+EMPTY = {"units": imports.empty_units, "vectors": imports.empty_vectors, "nodes": lambda s: graphstore.empty(s)[0], "edges": lambda s: graphstore.empty(s)[1]}
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(args)
     a.store = a.store or settings.load().root
     spark = spark or SparkSession.builder.appName("lodestrata").getOrCreate()
+    store = Store(spark, a.store) if a.store else None
+
+    def table(base: Commit, name: str) -> Stored | DataFrame:
+        """A store's table, an empty one if it was never written. Any other failure to read ends the command."""
+        return EMPTY[name](spark) if store is None else store.table(name, base, EMPTY[name](spark))
+
+    def done(make: Callable[[Commit], imports.Import], apply: bool = True) -> dict:
+        """The report of an import, committed if it is to be applied."""
+        if not apply:
+            return make(Commit() if store is None else store.head()).report
+        if store is None:
+            raise StoreError("no store is named")
+        out, commit = store.update(make)
+        return out.report | {"published": commit.version}
+
+    graph_of = lambda base: (table(base, "nodes"), table(base, "edges"))
     try:
         if a.todo == "inspect-legacy":
             report = guard.inspect(spark, a.path)
         elif a.todo == "capabilities":
             report = imports.capabilities()
         elif a.todo == "reindex-cjk":
-            index = merge.newest(spark, f"{a.store}/cjk") if merge.newest_version(spark, f"{a.store}/cjk") else None
-            done = imports.reindex_cjk(stored(spark, a.store), index, a.dry_run)
-            report = done.report | ({} if a.dry_run else {"published": done.publish(a.store)})
+            base = Commit() if store is None else store.head()
+            index = store.index(base) if base.segments else None
+            report = imports.reindex_cjk(rows_of(table(base, "units")), index, a.dry_run).report
+            if not a.dry_run and store is not None:
+                report["published"] = store.reindexed(base).version
         elif a.todo == "relink":
-            done = imports.relink_stored(*graph_of(spark, a.store), a.as_of, a.document, a.limit, a.dry_run)
-            report = done.report | ({} if a.dry_run else {"published": done.publish(a.store)})
+            report = done(lambda base: imports.relink_stored(*graph_of(base), a.as_of, a.document, a.limit, a.dry_run), not a.dry_run)
         elif a.todo == "test-entities":
-            done = imports.cleanup(stored(spark, a.store), *graph_of(spark, a.store), a.workspaces, a.apply)
-            report = done.report | ({"published": done.publish(a.store)} if a.apply else {})
+            report = done(lambda base: imports.cleanup(table(base, "units"), *graph_of(base), a.workspaces, a.apply), a.apply)
         elif a.todo == "import-snapshot":
             if a.sync_graph and not a.apply:
                 raise guard.GuardError("--sync-graph needs --apply")
             before = guard.file_sha256(guard.checked(a.path))
             snapshot = spark.read.schema(ingest.SNAPSHOT).json(a.path, multiLine=True)
-            done = imports.import_snapshot(stored(spark, a.store), snapshot, a.as_of, stored(spark, a.store, "vectors"), graph_of(spark, a.store) if a.sync_graph else None)
-            report = {"mode": "apply" if a.apply else "dry-run", "source": a.path, "source_sha256": before, **done.report, **({"published": done.publish(a.store)} if a.apply else {})}
+            make = lambda base: imports.import_snapshot(table(base, "units"), snapshot, a.as_of, table(base, "vectors"), graph_of(base) if a.sync_graph else None)
+            report = {"mode": "apply" if a.apply else "dry-run", "source": a.path, "source_sha256": before, **done(make, a.apply)}
             report["source_unchanged"] = guard.file_sha256(a.path) == before
         else:
             report = {}
 
             def run(path) -> int:  # noqa: ANN001
-                done = imports.import_legacy(spark, stored(spark, a.store), str(path), a.as_of)
-                report.update(done.report | ({"published": done.publish(a.store)} if a.apply else {}))
+                report.update(done(lambda base: imports.import_legacy(spark, table(base, "units"), str(path), a.as_of), a.apply))
                 return 0
 
             if a.apply and not a.staging:
                 raise guard.GuardError("--apply needs --staging")
             guard.apply(a.path, a.staging, run) if a.apply else run(guard.checked(a.path))
-    except (guard.GuardError, merge.StoreError) as e:
+    except (guard.GuardError, StoreError) as e:
         print(json.dumps({"error": str(e)}), file=sys.stderr)
         return 1
     print(json.dumps(report, default=str, ensure_ascii=False))

@@ -8,6 +8,7 @@ tokenised where it is read, once. Either way only the best CHANNEL_CAP units of
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -86,24 +87,90 @@ def about(units: DataFrame) -> list[Column]:
 
 
 def build_index(units: DataFrame, root: str) -> Index:
-    """Writes the inverted index of ``units`` under ``root``: one pass over the texts, one shuffle of the postings by bucket of the term."""
+    """Writes the inverted index of ``units`` under ``root`` as one segment."""
+    return open_segments(units.sparkSession, root, with_segment(units.sparkSession, root, [], units, None))
+
+
+CHANNELS = ("text", "cjk")
+POSTINGS = "channel string, term string, id string, field string, positions array<int>, bucket int"
+#: Segments from one on are merged when it has at most so many times the units of all that follow; so their number grows with the logarithm of the units.
+FACTOR = 4
+
+
+def _fields(units: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``units`` with a column for each token field, and the channel of each."""
     whole = indexed_cjk(indexed(units)).withColumnsRenamed(dict(zip(FIELDS, [f"f{k}" for k in range(len(FIELDS))], strict=True)))
-    fields = {f"f{k}": "text" for k in range(len(FIELDS))} | {"in_all": "cjk"}
+    return whole, {f"f{k}": "text" for k in range(len(FIELDS))} | {"in_all": "cjk"}
+
+
+def _sizes(fields: dict[str, str]) -> list[Column]:
+    """The tokens of each channel."""
+    return [sum((text.token_count(F.col(c)) for c in fields if fields[c] == k), F.lit(0)).alias(k) for k in CHANNELS]
+
+
+def _net(docs: DataFrame) -> dict[str, int]:
+    row = docs.agg(F.count("*").alias("units"), *[F.coalesce(F.sum(k), F.lit(0)).cast("long").alias(k) for k in CHANNELS]).first()
+    return row.asDict()
+
+
+def _write(postings: DataFrame, docs: DataFrame, dead: DataFrame, path: str) -> None:
+    """A segment. Postings are ranged by term and id, so that a frequent term's are dealt over many tasks and files."""
+    rows = postings.withColumn("bucket", bucket_of(F.col("term"))).repartitionByRange(F.col("bucket"), F.col("channel"), F.col("term"), F.col("id")).sortWithinPartitions("bucket", "channel", "term", "id")
+    rows.write.partitionBy("bucket").parquet(f"{path}/postings")
+    docs.write.parquet(f"{path}/docs")
+    dead.write.parquet(f"{path}/dead")
+
+
+def with_segment(spark: SparkSession, root: str, segments: list[dict], units: DataFrame, replaced: DataFrame | None) -> list[dict]:
+    """``segments`` (oldest first) of the index under ``root`` with a new one of ``units``; small ones at the end are merged into one.
+
+    ``replaced``: the units as they were whose rows in older segments no longer count, changed or gone. A segment has ``path``, ``units`` (its rows),
+    ``dead`` (ids that it takes away from older ones) and ``net``, what units and tokens it adds to the whole. Nothing that is there is changed.
+    """
+    whole, fields = _fields(units)
     split = lambda c: F.when(F.trim(c) == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(c), " +"))
     placed = lambda c: F.transform(split(F.col(c)), lambda t, i: F.struct(F.lit(fields[c]).alias("channel"), F.lit(c).alias("field"), t.alias("term"), i.alias("at")))
     each = F.flatten(F.array(*map(placed, fields)))
     rows = whole.select("id", F.explode(each).alias("x")).select("id", "x.*").groupBy("channel", "term", "id", "field").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    rows = rows.withColumn("bucket", bucket_of(F.col("term"))).repartition(F.col("bucket"), F.col("term")).sortWithinPartitions("bucket", "channel", "term")
-    rows.write.partitionBy("bucket").parquet(f"{root}/postings")
-    size = {k: sum((text.token_count(F.col(c)) for c in fields if fields[c] == k), F.lit(0)).alias(k) for k in ("text", "cjk")}
-    whole.select(*about(units), *size.values()).write.parquet(f"{root}/docs")
-    return open_index(units.sparkSession, root)
-
-
-def open_index(spark: SparkSession, root: str) -> Index:
-    docs = spark.read.parquet(f"{root}/docs")
-    sums = docs.agg(F.count("*").alias("n"), *[F.coalesce(F.avg(k), F.lit(0.0)).alias(k) for k in ("text", "cjk")]).first()
-    return Index(spark.read.parquet(f"{root}/postings"), docs, sums.n, {k: sums[k] for k in ("text", "cjk")})
+    name = f"index/{uuid.uuid4().hex}"
+    old, kinds = _fields(units.limit(0) if replaced is None else replaced)
+    _write(durable(rows), whole.select(*about(units), *_sizes(fields)), old.select("id", *_sizes(kinds)), f"{root}/{name}")
+    new, gone = (spark.read.parquet(f"{root}/{name}/{x}") for x in ("docs", "dead"))
+    plus, minus = _net(new), _net(gone)
+    segments = [*segments, {"path": name, "units": plus["units"], "dead": minus["units"], "net": {k: plus[k] - minus[k] for k in plus}}]
+    first, size = len(segments) - 1, segments[-1]["units"] + segments[-1]["dead"]
+    while first and segments[first - 1]["units"] <= FACTOR * size:
+        first -= 1
+        size += segments[first]["units"]
+    return segments if first == len(segments) - 1 else [*segments[:first], _merged(spark, root, segments[first:], bool(first))]
+
+
+def _live(spark: SparkSession, root: str, segments: list[dict], what: str) -> DataFrame:
+    """Postings or docs of all segments but those that a later one takes away."""
+    out = []
+    for k, one in enumerate(segments):
+        place = f"{root}/{one['path']}/{what}"
+        rows = spark.read.schema(POSTINGS).parquet(place) if what == "postings" else spark.read.parquet(place)  # a segment that only takes away has no postings
+        later = [f"{root}/{x['path']}/dead" for x in segments[k + 1 :] if x["dead"]]
+        out.append(rows.join(spark.read.parquet(*later).select("id").distinct(), "id", "left_anti") if later else rows)
+    return reduce(DataFrame.unionByName, out)
+
+
+def _merged(spark: SparkSession, root: str, segments: list[dict], older: bool) -> dict:
+    """One segment for consecutive ones; it takes away from ``older`` ones what they did."""
+    name = f"index/{uuid.uuid4().hex}"
+    dead = spark.read.parquet(*[f"{root}/{x['path']}/dead" for x in segments]).dropDuplicates(["id"])
+    dead = durable(dead if older else dead.limit(0))
+    docs = _live(spark, root, segments, "docs")
+    _write(_live(spark, root, segments, "postings").drop("bucket"), docs, dead, f"{root}/{name}")
+    net = {k: sum(x["net"][k] for x in segments) for k in ("units", *CHANNELS)}
+    return {"path": name, "units": spark.read.parquet(f"{root}/{name}/docs").count(), "dead": dead.count(), "net": net}
+
+
+def open_segments(spark: SparkSession, root: str, segments: list[dict]) -> Index:
+    """The index of ``with_segment``; the numbers of units and tokens are in the segments, so nothing is read for them."""
+    total = {k: sum(x["net"][k] for x in segments) for k in ("units", *CHANNELS)}
+    return Index(_live(spark, root, segments, "postings"), _live(spark, root, segments, "docs"), total["units"], {k: total[k] / total["units"] if total["units"] else 0.0 for k in CHANNELS})
 
 
 def bucket_of(term: Column) -> Column:

@@ -38,14 +38,14 @@ def tf(array: str, phrase: list[str]) -> str:
     return f"len(list_filter(range(1, len({array}) + 1), lambda i: {here}))"
 
 
-def scored(phrases: list[list[str]]) -> str:
+def scored(phrases: list[list[str]], units: str = UNITS) -> str:
     """CTEs up to ``hits``: the units with occurrences f0.. and bm25."""
     fields = ["a", "b", "c", "d"]
     found = ", ".join(f"{' + '.join(tf(x, p) for x in fields)} as f{k}" for k, p in enumerate(phrases))
     n = ", ".join(f"count(*) filter (where f{k} > 0) as n{k}" for k in range(len(phrases)))
     idf = lambda k: f"greatest(ln((n - n{k} + 0.5::double) / (n{k} + 0.5::double)), 1e-6::double)"
     parts = " + ".join(f"{idf(k)} * f{k} * 2.2::double / (f{k} + 1.2::double * (0.25::double + 0.75::double * dl / mean))" for k in range(len(phrases)))
-    return f"""{UNITS},
+    return f"""{units},
 tk as (select *, {tok('summary')} as a, {tok('resolution')} as b, {tok("array_to_string(tags, ' ')")} as c, {tok("array_to_string(source_refs, ' ')")} as d from units),
 cn as (select *, len(a) + len(b) + len(c) + len(d) as dl, {found} from tk),
 st as (select count(*) as n, avg(dl) as mean, {n} from cn),
@@ -58,7 +58,7 @@ def bm25(query: str, every: bool = False) -> str:
     return f"with {scored(phrases)} select id, round(bm25, 6) as bm25 from hits {cond} order by round(bm25, 9), updated_at desc, id limit 50"
 
 
-def search(r: Request) -> str:
+def search(r: Request, units: str = UNITS) -> str:
     phrases = [text.query_tokens(t) for t in text.terms(r.query)]
 
     def scope(names: list[str]) -> str:
@@ -84,7 +84,7 @@ def search(r: Request) -> str:
   union all select * from (select *, 0.45::double as w, row_number() over (order by {order}) as rk from hits where {scope(names)}) where rk <= {r.depth}),
 {name} as (select id, first(summary) as summary, round(sum(w / (60 + rk)) + first({bonus}), 6) as score from {name}_r group by id)"""
 
-    ctes = [scored(phrases), fused("own", r.aliases)]
+    ctes = [scored(phrases, units), fused("own", r.aliases)]
     if r.aliases and r.scope_fallback == "global":
         ctes += [fused("wide", []), "al as (select id, summary, round(score + 0.5::double / 61, 6) as score, 'scoped' as scope from own union all select id, summary, score, 'wider' from wide where id not in (select id from own))"]
     else:

@@ -104,7 +104,7 @@ def q47_vector_upsert(spark: SparkSession, d: str) -> DataFrame:
     current = rows.where("vec_id % 2 = 0").select("source_id", F.lit("knowledge").alias("source_kind"), "dimensions", "embedding", F.lit("-2").alias("metadata_json"), F.lit("").alias("updated_at"))
     staged = rows.where("vec_id % 3 <> 0").select("source_id", F.when(F.col("vec_id") % 2 == 0, "candidate").otherwise("knowledge").alias("source_kind"), "dimensions", "embedding", (F.col("vec_id") % 10).cast("string").alias("metadata_json"), F.lit("").alias("updated_at"), F.lit(1).alias("seq"))
     again = rows.where("vec_id % 9 = 4").select("source_id", F.lit("knowledge").alias("source_kind"), "dimensions", "embedding", F.lit("-1").alias("metadata_json"), F.lit("").alias("updated_at"), F.lit(2).alias("seq"))
-    after, _ = imports._upsert_vectors(current, staged.unionByName(again))
+    after = imports._upsert_vectors(imports.Import({}, {}), current, staged.unionByName(again)).tables["vectors"]
     return after.select("source_id", "source_kind", F.col("metadata_json").alias("metadata"))
 
 

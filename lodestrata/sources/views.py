@@ -90,6 +90,13 @@ def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units(spark, sf_dir).where("status = 'active'").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("document_id"), "id", F.col("page").alias("seq"), F.col("resolution").alias("text"))
 
 
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The active pages of ``units`` as documents to import, each with its pages as chunks."""
+    pages = units(spark, sf_dir).where("status = 'active'").select("doc_id", "page", F.regexp_extract("summary", "^(.+) - page", 1).alias("filename"), F.struct("id", F.col("page").cast("int").alias("index"), F.col("page").cast("string").alias("page"), F.col("resolution").alias("text"), F.md5("resolution").alias("contentHash")).alias("chunk"))
+    made = pages.groupBy("doc_id").agg(F.first("filename").alias("filename"), F.transform(F.array_sort(F.collect_list(F.struct("page", "chunk"))), lambda x: x["chunk"]).alias("chunks"))
+    return made.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), "filename", F.lit("").alias("sourcePath"), F.lit("").alias("contentHash"), F.size("chunks").alias("pageCount"), F.lit("ready").alias("status"), "chunks")
+
+
 def _node(rows: DataFrame, kind: str, key: str, props: dict[str, str]) -> DataFrame:
     named = F.create_map(*[x for k, c in props.items() for x in (F.lit(k), F.col(c).cast("string"))])
     return rows.select(F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")).alias("id"), F.array(F.lit("KnowledgeEntity"), F.lit(kind)).alias("labels"), F.map_concat(F.create_map(F.lit("kind"), F.lit(kind)), named).alias("props"), F.lit("active").alias("status"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import ingest, merge, profile, skills, vectors
+from lodestrata.sources.store import Store
 from lodestrata.schema import UNITS
 from lodestrata.sources import guard, sqlite
 
@@ -35,9 +36,9 @@ def test_merge_is_last_wins_and_idempotent(spark, tmp_path):
     assert tuple(merge.report(plan).first()) == (1, 2)
     out = merge.merged(current, plan)
     assert {tuple(r) for r in out.collect()} == {("a", "n1", "t0"), ("b", "old", "t0"), ("c", "n2", "t2")}
-    merge.publish(current, str(tmp_path))
-    merge.publish(out, str(tmp_path))
-    assert merge.newest(spark, str(tmp_path)).count() == 3
+    store = Store(spark, str(tmp_path))
+    store.commit(store.commit(store.head(), {"rows": current}), {"rows": plan.select(*current.columns)})
+    assert {tuple(r) for r in store.table("rows").rows().collect()} == {tuple(r) for r in out.collect()}
     again = merge.merge_plan(out, new)
     assert merge.report(again).first().created == 0 and {tuple(r) for r in merge.merged(out, again).collect()} == {tuple(r) for r in out.collect()}
     assert tuple(merge.report(merge.merge_plan(current, new.limit(0))).first()) == (0, 0)
