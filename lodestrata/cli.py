@@ -10,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata import settings
-from lodestrata.operators import graphstore, ingest
+from lodestrata.operators import graphstore
 from lodestrata.operators.merge import StoreError
 from lodestrata.plans import imports
 from lodestrata.sources import guard
+from lodestrata.sources.snapshot import read_sections
 from lodestrata.sources.store import Commit, Store, Stored, rows_of
 
 
@@ -85,7 +86,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             if a.sync_graph and not a.apply:
                 raise guard.GuardError("--sync-graph needs --apply")
             before = guard.file_sha256(guard.checked(a.path))
-            snapshot = spark.read.schema(ingest.SNAPSHOT).json(a.path, multiLine=True)
+            snapshot = read_sections(spark, a.path)
             make = lambda base: imports.import_snapshot(table(base, "units"), snapshot, a.as_of, table(base, "vectors"), graph_of(base) if a.sync_graph else None)
             report = {"mode": "apply" if a.apply else "dry-run", "source": a.path, "source_sha256": before, **done(make, a.apply)}
             report["source_unchanged"] = guard.file_sha256(a.path) == before

@@ -12,7 +12,7 @@ from lodestrata.operators import graph, graphstore, ingest, lexical, linker, mer
 from lodestrata.operators.lexical import Request
 from lodestrata.plans import catalogue, imports, search, sql
 from lodestrata.plans.registry import SQL, Q, query
-from lodestrata.sources import views
+from lodestrata.sources import snapshot, views
 
 AS_OF = catalogue.AS_OF
 RUNS = ["风扇", "阈值"]
@@ -125,20 +125,15 @@ tn as (select 't' || c || '.' || t as id from cv)"""
 't' || c || '.' || t || case when 't' || c || '.' || (t + 100) in (select id from tn) then ',t' || c || '.' || (t + 100) else '' end as evidence, 'c' || c as session_id, cast(c % 4 as varchar) as workspace_id from sn""")
 def q49_extension_units(spark: SparkSession, d: str) -> DataFrame:
     """Units of a snapshot's nodes, with the turns that are there as evidence."""
-    snap = views.snapshot(spark, d)
-    part = lambda c: snapshot_part(snap, c)
-    nodes = part("nodes").withColumnRenamed("evidenceTurnIds", "evidence_ids")
-    made = ingest.extension_units(nodes, part("turns").select("id", F.col("sessionId").alias("session_id")), part("sessions").select("id", F.col("workspaceId").alias("workspace_id")))
+    lists = snapshot.read_sections(spark, views.snapshot(spark, d))
+    nodes = lists["nodes"].withColumnRenamed("evidenceTurnIds", "evidence_ids")
+    made = ingest.extension_units(nodes, lists["turns"].select("id", F.col("sessionId").alias("session_id")), lists["sessions"].select("id", F.col("workspaceId").alias("workspace_id")))
     return made.select("id", "type", "summary", "status", F.array_join(F.transform("source_refs", lambda x: F.substring(x, 6, 99)), ",").alias("evidence"), "session_id", "workspace_id")
 
 
-def snapshot_part(snap: DataFrame, name: str) -> DataFrame:
-    return snap.select(F.explode(name).alias("x")).select("x.*")
-
-
 @query(f"""with {SNAP}, r as (select conv_id, turn, role from conversations) select (select count(distinct conv_id) from r) as sessions, (select count(*) from r) as turns, (select count(*) from sn) as vectors, (select count(*) from sn) as nodes, (select count(*) from sn) as edges""")
 def q50_snapshot_profile(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.snapshot_profile(views.snapshot(spark, d))
+    return ingest.snapshot_profile(snapshot.read_sections(spark, views.snapshot(spark, d)))
 
 
 @query(f"""with {SNAP}, ed as (select 'e' || c || '.' || t as id, id as src, 'n' || c || '.' || (t + 2) as dst, 't' || c || '.' || t as evidence from sn)
@@ -147,7 +142,7 @@ union all select 'edge', id, src || '>' || dst, 'NEXT', 'medium', 't0' from ed w
 union all select 'vector', sid, arg_max(tt, k), arg_max(kind, k), '', 't0' from (select 'n' || c || '.' || (t - c % 2) as sid, t::double::varchar as tt, case when t % 3 = 0 then 'candidate' else 'knowledge' end as kind, 'v' || c || '.' || t as k from sn) group by sid""")
 def q51_snapshot_import(spark: SparkSession, d: str) -> DataFrame:
     """What an import of a snapshot writes to the graph and the vectors: defaults filled in, edges with both ends, the last of a repeated vector."""
-    out = imports.import_snapshot(imports.empty_units(spark), durable(views.snapshot(spark, d)), AS_OF, imports.empty_vectors(spark), graphstore.empty(spark)).tables
+    out = imports.import_snapshot(imports.empty_units(spark), snapshot.read_sections(spark, views.snapshot(spark, d)), AS_OF, imports.empty_vectors(spark), graphstore.empty(spark)).tables
     nodes = out["nodes"].select(F.lit("node").alias("what"), "id", *[F.element_at("props", F.lit(k)).alias(k) for k in ("label", "kind", "confidence", "updated_at")])
     edges = out["edges"].select(F.lit("edge").alias("what"), "id", F.concat("src", F.lit(">"), "dst").alias("label"), F.col("type").alias("kind"), "confidence", "updated_at")
     rows = out["vectors"].select(F.lit("vector").alias("what"), F.col("source_id").alias("id"), F.col("embedding")[0].cast("double").cast("string").alias("label"), F.col("source_kind").alias("kind"), F.lit("").alias("confidence"), "updated_at")

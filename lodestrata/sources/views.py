@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,8 +189,9 @@ def legacy_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.when(F.col("c_custkey") % 9 == 0, " ").otherwise(F.concat(F.lit("s"), key)).alias("session_id"), F.col("c_mktsegment").alias("workspace_id"), F.lit("").alias("repo_id"), F.lit("{}").alias("context_json"), evidence.alias("evidence_refs_json"), F.lit("[]").alias("source_refs_json"), F.lit("t0").alias("created_at"), F.lit("t1").alias("updated_at"))
 
 
-def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One extension snapshot, of all conversations: sessions, turns, a node for every turn of an assistant, edges between neighbours, some to nowhere; vectors twice for some nodes."""
+def snapshot(spark: SparkSession, sf_dir: str) -> str:
+    """One extension snapshot, of all conversations, as a JSON document in a folder of part files: sessions, turns, a node for every turn of an assistant, edges between
+    neighbours, some to nowhere; vectors twice for some nodes. Items are in the order of their ids."""
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "role", F.coalesce("text", F.lit("")).alias("text"))
     name = lambda prefix, at: F.concat(F.lit(prefix), F.col("c").cast("string"), F.lit("."), at.cast("string"))
     text_ = lambda x: F.lit(x).cast("string")
@@ -199,8 +201,16 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector = F.struct(name("v", t).alias("id"), name("n", t - F.col("c") % 2).alias("sourceId"), F.when(t % 3 == 0, "candidate").alias("sourceKind"), F.array(t.cast("double"), F.lit(1.0)).alias("values"), text_("t0").alias("createdAt"))
     node = F.struct(name("n", t).alias("id"), F.when(t % 2 == 0, "fact").alias("kind"), F.when(F.col("text") != "", F.left("text", F.lit(40))).alias("label"), text_("s").alias("summary"), F.when(F.col("c") % 10 == 0, "draft").alias("status"), text_(None).alias("confidence"), F.array(name("t", t), name("t", t + 100)).alias("evidenceTurnIds"), F.lit(None).cast("array<string>").alias("tags"), text_("t0").alias("createdAt"), text_(None).alias("updatedAt"))
     edge = F.struct(name("e", t).alias("id"), name("n", t).alias("from"), name("n", t + 2).alias("to"), text_("NEXT").alias("type"), text_(None).alias("confidence"), F.array(name("t", t)).alias("evidenceTurnIds"), text_("t0").alias("createdAt"), text_(None).alias("updatedAt"))
-    lists = rows.agg(*[F.array_sort(F.collect_list(x)).alias(c) for c, x in (("turns", turn), ("vectors", F.when(said, vector)), ("nodes", F.when(said, node)), ("edges", F.when(said, edge)))])
-    return lists.join(F.broadcast(rows.select(session.alias("id"), (F.col("c") % 4).cast("string").alias("workspaceId")).distinct().agg(F.array_sort(F.collect_list(F.struct("id", "workspaceId"))).alias("sessions"))))
+    own = rows.select(F.struct(session.alias("id"), (F.col("c") % 4).cast("string").alias("workspaceId")).alias("x")).distinct()
+    lists = {"sessions": own, "turns": rows.select(turn.alias("x")), **{k: rows.where(said).select(x.alias("x")) for k, x in (("vectors", vector), ("nodes", node), ("edges", edge))}}
+    lines = [r.select(F.lit(k).alias("s"), F.lit(1).alias("kind"), F.col("x.id").alias("id"), F.to_json("x").alias("value")) for k, r in enumerate(lists.values())]
+    marks = [(k, 0, "", ("{" if k == 0 else "],") + f'"{name}":[') for k, name in enumerate(lists)] + [(len(lists), 0, "", "]}")]
+    all_ = reduce(DataFrame.unionByName, [*lines, spark.createDataFrame(marks, "s int, kind int, id string, value string")])
+    first = F.broadcast(reduce(DataFrame.unionByName, lines).groupBy("s").agg(F.min("id").alias("first")))
+    value = F.when((F.col("kind") == 1) & (F.col("id") > F.col("first")), F.concat(F.lit(","), F.col("value"))).otherwise(F.col("value")).alias("value")
+    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    all_.join(first, "s", "left").select("s", "kind", "id", value).repartitionByRange("s", "kind", "id").sortWithinPartitions("s", "kind", "id").select("value").write.text(path)
+    return path
 
 
 def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
