@@ -6,9 +6,11 @@ first word; the others, which begin with CJK or other characters, are compared b
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,12 +151,35 @@ def spans(texts: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def accepted(found: DataFrame) -> DataFrame:
-    """The spans that remain when longer ones win over those they overlap, then earlier ones, then smaller entity ids."""
+    """The spans that remain when longer ones win over those they overlap, then earlier ones, then smaller entity ids.
+
+    A text's spans are gone through in this order; what was taken is kept sorted, so a span is compared with one neighbour only.
+    """
     item = F.struct((F.col("start") - F.col("end")).alias("rank"), "start", "entity_id", "end", "alias", "display", "source", "weight")
     lists = found.groupBy("id").agg(F.sort_array(F.collect_list(item)).alias("all"))
-    kind = "array<struct<rank:int,start:int,entity_id:string,end:int,alias:string,display:string,source:string,weight:int>>"
-    keep = F.aggregate("all", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda o: (x["start"] < o["end"]) & (o["start"] < x["end"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return lists.select("id", F.explode(keep).alias("s")).select("id", "s.start", "s.end", "s.alias", "s.entity_id", "s.display", "s.source", "s.weight")
+    names = ("start", "end", "alias", "entity_id", "display", "source", "weight")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("all")
+            each = dict(zip([f.name for f in lists.type.value_type], lists.flatten().flatten(), strict=True))
+            starts, ends = each["start"].to_pylist(), each["end"].to_pylist()
+            rows, at, kept = [], 0, []
+            for k, size in enumerate(pa.compute.list_value_length(lists).to_pylist()):
+                first, last = [], []
+                for i in range(at, at + size):
+                    place = bisect_left(first, ends[i])
+                    if not place or last[place - 1] <= starts[i]:
+                        first.insert(place, starts[i])
+                        last.insert(place, ends[i])
+                        kept.append(i)
+                        rows.append(k)
+                at += size
+            take = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), *[each[c].take(take) for c in names]], names=["id", *names])
+
+    kinds = dict(found.dtypes)
+    return lists.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("id", *names)))
 
 
 def confidence(source: Column, alias: Column, occurrences: Column) -> Column:

@@ -111,3 +111,11 @@ def test_many_wordless_aliases_take_another_way(spark, monkeypatch):
     names = gazetteer(spark, [("e1", "阈值", [], []), ("e2", "é x", [], [])])
     got = linker.mentions(spark.createDataFrame([("t", "电阈值 é x"), ("u", "值")], "id string, text string"), names).collect()
     assert {(r.id, r.entity_id) for r in got} == {("t", "e1"), ("t", "e2")}
+
+
+def test_many_spans_of_one_text(spark):
+    """A hundred thousand overlapping spans take seconds, since each is compared with one neighbour."""
+    n = 100_000
+    rows = spark.range(n).selectExpr("'t' as id", "int(id * 2) as start", "int(id * 2 + 1 + id % 4) as end", "'a' as alias", "'e' as entity_id", "'A' as display", "'label' as source", "3 as weight")
+    got = sorted((r.start, r.end) for r in linker.accepted(rows).select("start", "end").collect())
+    assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False)) and {(6, 10), (14, 18)} <= set(got) and len(got) > n // 3
