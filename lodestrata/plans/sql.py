@@ -102,13 +102,20 @@ NORM = "trim(regexp_replace(replace(lower({}), 'ß', 'ss'), '[ \\t\\n\\r\\f\\v]+
 PATHLIKE = r"(?i)[/\\]|^\.[\w.-]+$|\.(md|markdown|json|jsonl|ts|tsx|js|mjs|py|sh|bash|cfg|conf|ini|ya?ml|toml|txt|log|csv|xml)\b"
 
 
-def gazetteer(tags: bool = False) -> str:
+ENTITIES_SQL = f"values {ENTITY_ROWS}"
+#: A catalogue that grows with the tables: parts with ambiguous and path-like aliases, suppliers, and each document's first words.
+CATALOGUE = """select 'part:' || p_partkey, p_name, [p_brand || ' ' || p_type, p_name || '.json']::varchar[], [p_type]::varchar[] from part
+union all select 'supplier:' || s_suppkey, s_name, []::varchar[], []::varchar[] from supplier
+union all select 'topic:' || doc_id, array_to_string(string_split(string_split(coalesce(text, ''), chr(10))[1], ' ')[1:3], ' '), []::varchar[], []::varchar[] from documents"""
+
+
+def gazetteer(tags: bool = False, rows: str = ENTITIES_SQL) -> str:
     """CTEs up to ``gaz``."""
     lists = "[[{'s': label, 'o': 'label', 'w': 3}], list_transform(aliases, lambda x: {'s': x, 'o': 'alias', 'w': 2})"
     lists += ", list_transform(tags, lambda x: {'s': x, 'o': 'tag', 'w': 1})]" if tags else "]"
     cjk = f"regexp_matches(alias, '[{text.CJK}]')"
     usable = f"entity_id <> '' and alias <> '' and length(alias) <= 80 and alias not in ({', '.join(map(lit, linker.STOPWORDS))}) and case when {cjk} then length(alias) >= 2 else regexp_matches(alias, '[a-z0-9_]') and length(alias) >= 3 end and not regexp_matches(surface, {lit(PATHLIKE)})"
-    return f"""en(id, label, aliases, tags) as (values {ENTITY_ROWS}),
+    return f"""en(id, label, aliases, tags) as ({rows}),
 sf0 as (select trim(id) as entity_id, unnest(flatten({lists})) as x from en),
 sf as (select entity_id, x.s as surface, x.o as source, x.w as weight, {NORM.format('x.s')} as alias from sf0),
 us as (select *, {usable} as usable from sf),
@@ -119,9 +126,9 @@ gaz as (select alias, arg_min(entity_id, k) as entity_id, trim(arg_min(surface,
 CHUNKS = f"""ch as (select 'doc:' || doc_id as document_id, id, page as seq, {NORM.format('resolution')} as h from units where status = 'active')"""
 
 
-def mentions(cap: int = linker.MOST_MENTIONS) -> str:
+def mentions(cap: int = linker.MOST_MENTIONS, rows: str = ENTITIES_SQL) -> str:
     """CTEs up to ``ac`` (accepted spans) and ``mn`` (mentions)."""
-    return f"""{UNITS}, {gazetteer()}, {CHUNKS},
+    return f"""{UNITS}, {gazetteer(rows=rows)}, {CHUNKS},
 oc as (select ch.id, h, alias, entity_id, display, source, weight, string_split(h, alias) as p from ch join gaz on contains(h, alias)),
 sp as (select *, unnest(list_transform(range(1, len(p)), lambda i: list_sum(list_transform(p[1:i], lambda y: length(y))) + (i - 1) * length(alias)))::int as st from oc),
 ok as (select id, st, st + length(alias) as en, alias, entity_id, display, source, weight from sp

@@ -86,6 +86,17 @@ def entities(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ENTITIES, "id string, label string, aliases array<string>, tags array<string>")
 
 
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities drawn from the tables: parts with ambiguous and path-like aliases, suppliers, and a topic for each document, its first words."""
+    none = F.array().cast("array<string>")
+    named = lambda kind, key: F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")).alias("id")
+    part = read(spark, sf_dir, "part").select(named("part", "p_partkey"), F.col("p_name").alias("label"), F.array(F.concat("p_brand", F.lit(" "), "p_type"), F.concat("p_name", F.lit(".json"))).alias("aliases"), F.array("p_type").alias("tags"))
+    supplier = read(spark, sf_dir, "supplier").select(named("supplier", "s_suppkey"), F.col("s_name").alias("label"), none.alias("aliases"), none.alias("tags"))
+    first = F.array_join(F.slice(F.split(F.split(F.coalesce("text", F.lit("")), "\n", 2)[0], " ", -1), 1, 3), " ")
+    topic = read(spark, sf_dir, "documents").select(named("topic", "doc_id"), first.alias("label"), none.alias("aliases"), none.alias("tags"))
+    return part.unionByName(supplier).unionByName(topic)
+
+
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``document_id, id, seq, text`` of active pages."""
     return units(spark, sf_dir).where("status = 'active'").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("document_id"), "id", F.col("page").alias("seq"), F.col("resolution").alias("text"))
