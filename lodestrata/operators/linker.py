@@ -212,29 +212,61 @@ def rollup(found: DataFrame, documents: DataFrame) -> DataFrame:
     return out.select("document_id", "entity_id", F.when(F.col("level") == 1, F.col("first")).otherwise(F.col("best")).alias("alias"), "occurrences", "chunks", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("level")).alias("confidence"), "evidence")
 
 
+def _overlaps(classes: DataFrame, least: int, most_of: int | None = None) -> DataFrame:
+    """``ca, cb, shared, na, nb``: pairs of classes (class, n, ranked: entities with their frequency, rarest first) that share ``least`` entities or more.
+
+    Sets that share so many have one in common among all but the ``least`` - 1 most frequent entities of either, so only these are joined, and
+    counted afterwards. ``most_of``: only pairs with a common entity that so many classes have at most.
+    """
+    first = F.slice("ranked", F.lit(1), F.size("ranked") - least + 1)
+    first = first if most_of is None else F.filter(first, lambda x: x["df"] <= most_of)
+    sets = classes.where(F.size("ranked") >= least)
+    entries = sets.select("class", F.explode(F.transform(first, lambda x: x["e"])).alias("e"))
+    met = entries.alias("a").join(entries.alias("b"), "e").where("a.class <= b.class").select(F.col("a.class").alias("ca"), F.col("b.class").alias("cb")).distinct()
+    side = lambda c: sets.select(F.col("class").alias(f"c{c}"), F.col("n").alias(f"n{c}"), F.transform("ranked", lambda x: x["e"]).alias(f"s{c}"))
+    both = met.join(side("a"), "ca").join(side("b"), "cb")
+    return both.select("ca", "cb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), "na", "nb").where(F.col("shared") >= least)
+
+
+#: Documents' classes that an entity may have to count as rare, when a first bound on the number of shared entities is sought.
+RARE = 64
+
+
 def document_pairs(rolled: DataFrame, limit: int | None, document_id: str = "") -> DataFrame:
     """``source_id, other_id, shared``: pairs of documents with the number of entities that both mention, the ``limit`` first by number and ids.
 
-    Documents that mention the same entities are one class, so pairs are counted between classes. From a class at most
-    limit + 1 documents can be among the first pairs, those with the smallest ids; only classes whose number of shared entities can
-    still matter are expanded. No limit: all pairs.
+    Documents that mention the same entities are one class, so pairs are counted between classes. Pairs that meet on rare entities
+    say how many entities the last of the first pairs shares at least; with two or more, the most frequent entities bring no pair together and
+    are only counted. From a class at most limit + 1 documents can be among the first pairs, those with the smallest ids; only classes
+    whose number of shared entities can still matter are expanded. No limit: all pairs.
     """
     sets = rolled.groupBy("document_id").agg(F.array_sort(F.collect_set("entity_id")).alias("set"))
     order = Window.partitionBy("set").orderBy("document_id")
     sized = sets.groupBy("set").agg(F.count("*").alias("n")).withColumn("class", F.xxhash64("set"))
     entries = sized.select("class", "n", F.explode("set").alias("e"))
-    met = entries.alias("a").join(entries.alias("b"), "e").where("a.class <= b.class")
-    pairs = met.groupBy(F.col("a.class").alias("ca"), F.col("b.class").alias("cb")).agg(F.count("*").alias("shared"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"))
+    ranked = entries.join(entries.groupBy("e").agg(F.count("*").alias("df")), "e").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("ranked"))
+    ranked = durable(ranked)
     members = sets.withColumn("class", F.xxhash64("set"))
-    if limit is not None and not document_id:
-        many = F.when(F.col("ca") == F.col("cb"), F.col("na") * (F.col("na") - 1) / 2).otherwise(F.col("na") * F.col("nb"))
-        least, left = 0, limit
+    many = F.when(F.col("ca") == F.col("cb"), F.col("na") * (F.col("na") - 1) / 2).otherwise(F.col("na") * F.col("nb"))
+
+    def least_of(pairs: DataFrame, limit: int) -> int:
+        """How many entities the ``limit``-th pair shares; 1 if there are not so many pairs."""
+        least, left = 1, limit
         for level in pairs.groupBy("shared").agg(F.sum(many).alias("m")).orderBy(F.desc("shared")).toLocalIterator():
             least, left = level.shared, left - level.m
             if left <= 0:
-                break
-        pairs = pairs.where(F.col("shared") >= least)
+                return least
+        return 1
+
+    if limit is not None and not document_id:
+        # a pair within a class shares all its entities, so it needs no join
+        own = ranked.where("n > 1").select(F.col("class").alias("ca"), F.col("class").alias("cb"), F.size("ranked").cast("long").alias("shared"), F.col("n").alias("na"), F.col("n").alias("nb"))
+        rare = _overlaps(ranked, 1, RARE).where("ca <> cb").unionByName(own)
+        pairs = durable(_overlaps(ranked, least_of(rare, limit)))
+        pairs = pairs.where(F.col("shared") >= least_of(pairs, limit))
         members = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit + 1)
+    else:
+        pairs = _overlaps(ranked, 1)
     a, b = members.select(F.col("class").alias("ca"), F.col("document_id").alias("x")), members.select(F.col("class").alias("cb"), F.col("document_id").alias("y"))
     both = pairs.select("ca", "cb", "shared").join(a, "ca").join(b, "cb").where((F.col("ca") != F.col("cb")) | (F.col("x") < F.col("y"))).where("x <> y")
     both = both.select(F.least("x", "y").alias("source_id"), F.greatest("x", "y").alias("other_id"), "shared")

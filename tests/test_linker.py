@@ -119,3 +119,21 @@ def test_many_spans_of_one_text(spark):
     rows = spark.range(n).selectExpr("'t' as id", "int(id * 2) as start", "int(id * 2 + 1 + id % 4) as end", "'a' as alias", "'e' as entity_id", "'A' as display", "'label' as source", "3 as weight")
     got = sorted((r.start, r.end) for r in linker.accepted(rows).select("start", "end").collect())
     assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False)) and {(6, 10), (14, 18)} <= set(got) and len(got) > n // 3
+
+
+def test_first_pairs_without_joining_on_what_all_share(spark):
+    """One entity in a third of the documents: the first pairs are those of the full join, and few pairs are formed for them."""
+    rng = random.Random(9)
+    sets = {f"d{i:04d}": {f"e{rng.randrange(400)}" for _ in range(5)} | ({"hot"} if i % 3 == 0 else set()) for i in range(600)}
+    for i in range(0, 60, 2):  # pairs that share much
+        sets[f"d{i + 1:04d}"] |= set(list(sets[f"d{i:04d}"])[: 2 + i % 3])
+    rolled = spark.createDataFrame([(d, e) for d, s in sets.items() for e in s], "document_id string, entity_id string")
+    names = sorted(sets)
+    full = sorted((-len(sets[a] & sets[b]), a, b) for k, a in enumerate(names) for b in names[k + 1 :] if sets[a] & sets[b])
+    for limit in (1, 8, 40):
+        got = [(-r.shared, r.source_id, r.other_id) for r in linker.document_pairs(rolled, limit).collect()]
+        assert got == full[:limit]
+    classes = spark.createDataFrame([(k, 1, sorted((sum(e in s for s in sets.values()), e) for e in sets[d])) for k, d in enumerate(names)], "class long, n long, ranked array<struct<df:long,e:string>>")
+    formed = linker._overlaps(classes, 2).count()
+    assert formed < 200 * 199 / 2 / 4 and linker._overlaps(classes, 1).where("ca <> cb").count() == len(full)
+    assert linker.document_pairs(rolled, None).count() == len(full)
