@@ -56,3 +56,20 @@ def test_query_has_the_odd_conversation(spark):
     assert rows[-7].n_turns == 2 and rows[-7].loss_chars == len(odd)
     assert rows[-7].loss_sha256 == hashlib.sha256(odd.encode()).hexdigest()
     assert rows[-7].turns_sha256 == hashlib.sha256(f"user\n{odd}\nassistant\n{odd}\n".encode()).hexdigest()
+
+
+def test_any_kind_with_a_reference_is_kept_and_read_back(spark):
+    kind = "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,units:int>>"
+    rows = [
+        (1, 0, "user", [("text", "see <this> # a:b>", None, None), ("video", None, "v.mp4", 3), ("Image", "alt", "i.png", 2), ("text", "and", None, None), ("text", " more", None, None)]),
+        (1, 1, "assistant", [("odd>:<kind\\", "x", "ref://1", None), ("poll", "no reference", None, None), (None, "plain", "r", None)]),
+        (1, 2, "user", [("image", None, None, None)]), (1, 3, "", []),
+    ]
+    made = chat.format_chats(spark.createDataFrame(rows, kind), parts="parts")
+    r = made.select("attachments", "attachment_tokens", chat.read_parts(made.formatted, made.attachments).alias("turns"), chat.read_back(made.formatted).alias("plain")).first()
+    assert [(a.turn, a.part, a.kind, a.ref, a.tokens) for a in r.attachments] == [(0, 1, "video", "v.mp4", 3), (0, 2, "image", "i.png", 512), (1, 0, "odd>:<kind\\", "ref://1", 1), (2, 0, "image", None, 256)]
+    assert r.attachment_tokens == 772 and [t.role for t in r.plain] == ["user", "assistant", "user", ""]
+    assert [(t.role, [tuple(p) for p in t.parts]) for t in r.turns] == [
+        ("user", [("text", "see <this> # a:b>", None), ("video", None, "v.mp4"), ("image", None, "i.png"), ("text", "and more", None)]),
+        ("assistant", [("odd>:<kind\\", None, "ref://1"), ("text", "no referenceplain", None)]), ("user", [("image", None, None)]), ("", []),
+    ]
