@@ -74,9 +74,13 @@ def faults() -> Column:
 
 
 def records(units: DataFrame) -> DataFrame:
-    """Stored units as they are returned: evidence and context decoded (values as strings), what isn't JSON as empty ones."""
-    evidence, context = F.from_json("evidence_json", "array<map<string,string>>"), F.from_json("context_json", "map<string,string>")
-    return units.withColumns({"evidence": F.coalesce(evidence, F.array().cast("array<map<string,string>>")), "context": F.coalesce(context, F.create_map().cast("map<string,string>"))}).drop("evidence_json", "context_json")
+    """Stored units as they are returned: ``evidence`` and ``context`` decoded with all that is in them (VARIANT); what isn't a JSON list or object is an empty one."""
+
+    def decoded(column: str, first: str, empty: str) -> Column:
+        fits = F.left(F.ltrim(column), F.lit(1)) == first
+        return F.coalesce(F.when(fits, F.try_parse_json(column)), F.parse_json(F.lit(empty)))
+
+    return units.withColumns({"evidence": decoded("evidence_json", "[", "[]"), "context": decoded("context_json", "{", "{}")}).drop("evidence_json", "context_json")
 
 
 def events(plan: DataFrame, as_of: str, key: str = "id") -> DataFrame:

@@ -279,7 +279,8 @@ def q64_endpoints(spark: SparkSession, d: str) -> DataFrame:
 def q65_records(spark: SparkSession, d: str) -> DataFrame:
     """Units as they are returned, with evidence and context decoded."""
     rows = merge.records(views.units(spark, d))
-    return rows.select("id", F.size("evidence").alias("evidence"), F.coalesce(F.element_at(F.get("evidence", F.lit(0)), F.lit("id")), F.lit("")).alias("first"), F.element_at("context", F.lit("imported_from")).alias("origin"))
+    evidence = F.size(F.variant_get("evidence", "$", "array<variant>"))
+    return rows.select("id", evidence.alias("evidence"), F.coalesce(F.try_variant_get("evidence", "$[0].id", "string"), F.lit("")).alias("first"), F.try_variant_get("context", "$.imported_from", "string").alias("origin"))
 
 
 @query(f"""with {sql.mentions()}, lk as (select a.document_id as source_id, b.document_id as other_id, count(distinct a.entity_id) as shared, list_sort(list_distinct(list(a.entity_id))) as e from ru a join ru b on a.entity_id = b.entity_id and {catalogue.PAIRS} group by 1, 2),

@@ -184,3 +184,11 @@ def test_profiles(spark, tmp_path):
     (tmp_path / "f").write_bytes(b"abc")
     assert profile.file_digests(spark, str(tmp_path / "f")).first().sha256 == hashlib.sha256(b"abc").hexdigest()
     assert tuple(profile.store_stats(spark.createDataFrame([], UNITS)).first()) == (0, 0, 0, 0, 0, 0)
+
+
+def test_records_keep_all_that_was_stored(spark):
+    rows = [("1", '["a", {"id": "b", "n": 2.5}, 7]', '{"deep": {"x": [1, null]}, "n": 1, "t": true}'), ("2", "oops", "[1]"), ("3", None, None), ("4", "{}", " {}")]
+    got = {r.id: (r.evidence.toPython(), r.context.toPython()) for r in merge.records(spark.createDataFrame(rows, "id string, evidence_json string, context_json string")).collect()}
+    assert got["2"] == got["3"] == got["4"] == ([], {})
+    evidence, context = got["1"]
+    assert evidence[0] == "a" and float(evidence[1]["n"]) == 2.5 and evidence[2] == 7 and context["deep"] == {"x": [1, None]} and context["n"] == 1 and context["t"] is True
