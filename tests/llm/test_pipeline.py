@@ -45,7 +45,7 @@ def test_stages_in_order(spark, tmp_path):
 
 def test_run_and_names(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
-    assert [n for n, _ in corpus_pipeline.STAGES] and sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert [n for n, _ in corpus_pipeline.STAGES] and sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert lines.RATIO == 0.1
 
 
@@ -59,3 +59,10 @@ def test_null_and_repeated_ids_are_decided_by_row(spark):
     assert sorted(map(tuple, single.collect()), key=key) == sorted([(2, same), (None, other), (None, None), (3, item), (3, "clean words only")], key=key)
     clean = corpus_pipeline.without_test_items(spark, docs, SF)
     assert sorted(map(tuple, clean.collect()), key=key) == sorted([r for r in rows if r[1] != item], key=key) and clean.columns == docs.columns
+
+
+def test_columns_with_the_names_of_keys_stay(spark):
+    docs = spark.createDataFrame([(1, "one text of its own", "mine", "own"), (2, "two words, and more of them", "mine", "own")], "doc_id long, text string, `__key` string, `__KEY_` string")
+    for stage in (corpus_pipeline.one_of_each, corpus_pipeline.without_test_items):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
