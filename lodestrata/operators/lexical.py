@@ -1,14 +1,17 @@
 """Lexical search: BM25 over all units, three channels, reciprocal-rank fusion, scope merge, document quota.
 
 Corpus statistics are over all units whatever their state; scope and state filter what may be returned. A store keeps an inverted index:
-postings with positions, dealt out by term, of which a request reads those of its few terms, and a narrow row for each unit. Without an index every unit is
-tokenised where it is read, once. Either way only the best CHANNEL_CAP units of a channel leave the tasks.
+postings with positions, dealt out by term, and a narrow row for each unit. A request reads, of its few terms, the blocks of postings that can
+hold one of the best units. Without an index every unit is tokenised where it is read, once. Either way only the best CHANNEL_CAP units of a
+channel leave the tasks.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -74,10 +77,14 @@ ABOUT = ("id", "summary", "status", "memory_kind", "session_id", "workspace_id",
 
 @dataclass(frozen=True)
 class Index:
-    """``postings``: channel (text or cjk), term, id, field, positions. ``docs``: the columns of ABOUT, evidence_json as empty or not, and the tokens of each channel."""
+    """``postings``: channel (text or cjk), term, id, count, length (the unit's tokens in the channel), positions, segment, block. ``docs``: the columns of ABOUT,
+    evidence_json as empty or not, and the tokens of each channel. ``blocks``: of each block of a term's postings its units, the greatest count and the least length;
+    rows without a block take back the units of older segments that no longer count, so a term's units sum to those that have it.
+    """
 
     postings: DataFrame
     docs: DataFrame
+    blocks: DataFrame
     units: int
     mean: dict[str, float]
 
@@ -92,7 +99,13 @@ def build_index(units: DataFrame, root: str) -> Index:
 
 
 CHANNELS = ("text", "cjk")
-POSTINGS = "channel string, term string, id string, field string, positions array<int>, bucket int"
+POSTINGS = "channel string, term string, id string, count int, length int, positions array<bigint>, block bigint, bucket int"
+BLOCKS = "channel string, term string, block bigint, units bigint, most int, least int, bucket int"
+SCHEMAS = {"postings": POSTINGS, "blocks": BLOCKS}
+#: A block is a run of 2 ** BLOCK_BITS postings in the order of term and id.
+BLOCK_BITS = 8
+#: Distance of the positions of two fields, so that no phrase crosses them.
+FIELD_GAP = 1 << 32
 #: Segments from one on are merged when it has at most so many times the units of all that follow; so their number grows with the logarithm of the units.
 FACTOR = 4
 
@@ -113,10 +126,28 @@ def _net(docs: DataFrame) -> dict[str, int]:
     return row.asDict()
 
 
-def _write(postings: DataFrame, docs: DataFrame, dead: DataFrame, path: str) -> None:
-    """A segment. Postings are ranged by term and id, so that a frequent term's are dealt over many tasks and files."""
-    rows = postings.withColumn("bucket", bucket_of(F.col("term"))).repartitionByRange(F.col("bucket"), F.col("channel"), F.col("term"), F.col("id")).sortWithinPartitions("bucket", "channel", "term", "id")
-    rows.write.partitionBy("bucket").parquet(f"{path}/postings")
+def _placed(whole: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """A row for each token of the fields: ``id, channel, length, term, at``."""
+    split = lambda c: F.when(F.trim(c) == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(c), " +"))
+    placed = lambda n, c: F.transform(split(F.col(c)), lambda t, i: F.struct(F.lit(fields[c]).alias("channel"), F.col(fields[c]).alias("length"), t.alias("term"), (i.cast("long") + n * FIELD_GAP).alias("at")))
+    each = F.flatten(F.array(*[placed(n, c) for n, c in enumerate(fields)]))
+    return whole.select("id", *fields, *_sizes(fields)).select("id", F.explode(each).alias("x")).select("id", "x.*")
+
+
+def _units_of(rows: DataFrame) -> DataFrame:
+    """How many units have each term of each channel; ``rows``: channel, term, id, once or more."""
+    return rows.select("channel", "term", "id").distinct().groupBy("channel", "term").agg(F.count("*").alias("units"))
+
+
+def _write(postings: DataFrame, docs: DataFrame, dead: DataFrame, taken: DataFrame, path: str) -> None:
+    """A segment. Postings are ranged by term and id, so that a frequent term's are dealt over many tasks and files. ``taken``: units by term that older segments no longer count."""
+    order = ["bucket", "channel", "term", "id"]
+    rows = postings.withColumn("bucket", bucket_of(F.col("term"))).repartitionByRange(*map(F.col, order)).sortWithinPartitions(*order)
+    rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)).write.partitionBy("bucket").parquet(f"{path}/postings")
+    read = docs.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
+    blocks = read.groupBy("bucket", "channel", "term", "block").agg(F.count("*").alias("units"), F.max("count").alias("most"), F.min("length").alias("least"))
+    minus = taken.where("units <> 0").select(bucket_of(F.col("term")).alias("bucket"), "channel", "term", F.lit(None).cast("long").alias("block"), (-F.col("units")).alias("units"), F.lit(None).cast("int").alias("most"), F.lit(None).cast("int").alias("least"))
+    blocks.unionByName(minus).repartitionByRange("bucket", "channel", "term").sortWithinPartitions("bucket", "channel", "term").write.parquet(f"{path}/blocks")
     docs.write.parquet(f"{path}/docs")
     dead.write.parquet(f"{path}/dead")
 
@@ -128,13 +159,10 @@ def with_segment(spark: SparkSession, root: str, segments: list[dict], units: Da
     ``dead`` (ids that it takes away from older ones) and ``net``, what units and tokens it adds to the whole. Nothing that is there is changed.
     """
     whole, fields = _fields(units)
-    split = lambda c: F.when(F.trim(c) == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(c), " +"))
-    placed = lambda c: F.transform(split(F.col(c)), lambda t, i: F.struct(F.lit(fields[c]).alias("channel"), F.lit(c).alias("field"), t.alias("term"), i.alias("at")))
-    each = F.flatten(F.array(*map(placed, fields)))
-    rows = whole.select("id", F.explode(each).alias("x")).select("id", "x.*").groupBy("channel", "term", "id", "field").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    rows = _placed(whole, fields).groupBy("channel", "term", "id").agg(F.count("*").cast("int").alias("count"), F.max("length").alias("length"), F.sort_array(F.collect_list("at")).alias("positions"))
     name = f"index/{uuid.uuid4().hex}"
     old, kinds = _fields(units.limit(0) if replaced is None else replaced)
-    _write(durable(rows), whole.select(*about(units), *_sizes(fields)), old.select("id", *_sizes(kinds)), f"{root}/{name}")
+    _write(durable(rows), whole.select(*about(units), *_sizes(fields)), old.select("id", *_sizes(kinds)), _units_of(_placed(old, kinds)), f"{root}/{name}")
     new, gone = (spark.read.parquet(f"{root}/{name}/{x}") for x in ("docs", "dead"))
     plus, minus = _net(new), _net(gone)
     segments = [*segments, {"path": name, "units": plus["units"], "dead": minus["units"], "net": {k: plus[k] - minus[k] for k in plus}}]
@@ -145,24 +173,36 @@ def with_segment(spark: SparkSession, root: str, segments: list[dict], units: Da
     return segments if first == len(segments) - 1 else [*segments[:first], _merged(spark, root, segments[first:], bool(first))]
 
 
+def _read(spark: SparkSession, root: str, segment: dict, what: str) -> DataFrame:
+    place = f"{root}/{segment['path']}/{what}"  # a segment that only takes away has no postings, so the schema is given
+    return spark.read.schema(SCHEMAS[what]).parquet(place) if what in SCHEMAS else spark.read.parquet(place)
+
+
 def _live(spark: SparkSession, root: str, segments: list[dict], what: str) -> DataFrame:
-    """Postings or docs of all segments but those that a later one takes away."""
+    """Postings or docs of all segments but those that a later one takes away; postings with the ``segment`` that they are in."""
     out = []
     for k, one in enumerate(segments):
-        place = f"{root}/{one['path']}/{what}"
-        rows = spark.read.schema(POSTINGS).parquet(place) if what == "postings" else spark.read.parquet(place)  # a segment that only takes away has no postings
+        rows = _read(spark, root, one, what)
+        if what == "postings":
+            rows = rows.withColumn("segment", F.lit(k))
         later = [f"{root}/{x['path']}/dead" for x in segments[k + 1 :] if x["dead"]]
         out.append(rows.join(spark.read.parquet(*later).select("id").distinct(), "id", "left_anti") if later else rows)
     return reduce(DataFrame.unionByName, out)
 
 
+def _blocks(spark: SparkSession, root: str, segments: list[dict]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [_read(spark, root, one, "blocks").withColumn("segment", F.lit(k)) for k, one in enumerate(segments)])
+
+
 def _merged(spark: SparkSession, root: str, segments: list[dict], older: bool) -> dict:
     """One segment for consecutive ones; it takes away from ``older`` ones what they did."""
     name = f"index/{uuid.uuid4().hex}"
     dead = spark.read.parquet(*[f"{root}/{x['path']}/dead" for x in segments]).dropDuplicates(["id"])
     dead = durable(dead if older else dead.limit(0))
-    docs = _live(spark, root, segments, "docs")
-    _write(_live(spark, root, segments, "postings").drop("bucket"), docs, dead, f"{root}/{name}")
+    docs, postings = _live(spark, root, segments, "docs"), _live(spark, root, segments, "postings")
+    counted = postings.groupBy("channel", "term").agg(F.count("*").alias("units")).unionByName(_blocks(spark, root, segments).select("channel", "term", (-F.col("units")).alias("units")))
+    taken = counted.groupBy("channel", "term").agg(F.sum("units").alias("units"))
+    _write(postings.drop("bucket", "block", "segment"), docs, dead, taken if older else taken.limit(0), f"{root}/{name}")
     net = {k: sum(x["net"][k] for x in segments) for k in ("units", *CHANNELS)}
     return {"path": name, "units": spark.read.parquet(f"{root}/{name}/docs").count(), "dead": dead.count(), "net": net}
 
@@ -170,7 +210,8 @@ def _merged(spark: SparkSession, root: str, segments: list[dict], older: bool) -
 def open_segments(spark: SparkSession, root: str, segments: list[dict]) -> Index:
     """The index of ``with_segment``; the numbers of units and tokens are in the segments, so nothing is read for them."""
     total = {k: sum(x["net"][k] for x in segments) for k in ("units", *CHANNELS)}
-    return Index(_live(spark, root, segments, "postings"), _live(spark, root, segments, "docs"), total["units"], {k: total[k] / total["units"] if total["units"] else 0.0 for k in CHANNELS})
+    mean = {k: total[k] / total["units"] if total["units"] else 0.0 for k in CHANNELS}
+    return Index(_live(spark, root, segments, "postings"), _live(spark, root, segments, "docs"), _blocks(spark, root, segments), total["units"], mean)
 
 
 def bucket_of(term: Column) -> Column:
@@ -181,11 +222,16 @@ def _idf(n: int, found: int) -> float:
     return max(math.log((n - found + 0.5) / (found + 0.5)), IDF_FLOOR)
 
 
+def _gain(idf: float, times: Column, length: Column, mean: float) -> Column:
+    """What a phrase found so often adds; it grows with ``times`` and falls with ``length``."""
+    tf = times.cast("double")
+    return F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
+
+
 def _score(phrases: int, idf: list[float], mean: float) -> Column:
     score = F.lit(0.0)
     for k in range(phrases):
-        tf = F.col("found")[k].cast("double")
-        score = score - F.lit(idf[k]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
+        score = score - _gain(idf[k], F.col("found")[k], F.col("length"), mean)
     return score
 
 
@@ -204,12 +250,17 @@ def bm25(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
     return counted.where(F.exists("found", lambda n: n > 0)).withColumn("bm25", score).drop("length")
 
 
-def bm25_of(index: Index, channel: str, phrases: list[list[str]]) -> DataFrame:
-    """What ``bm25`` returns, from an index: reads the postings of the request's terms only."""
+def _asked(rows: DataFrame, channel: str, terms: set[str]) -> DataFrame:
+    """The postings or blocks of some terms."""
+    buckets = {zlib.crc32(t.encode()) % BUCKETS for t in terms}
+    return rows.where(F.col("bucket").isin(*sorted(buckets)) & (F.col("channel") == channel) & F.col("term").isin(*sorted(terms)))
+
+
+def _found(index: Index, channel: str, phrases: list[list[str]]) -> DataFrame:
+    """``id, length, found`` of the units in which one of the phrases occurs; kept."""
     terms = sorted({t for p in phrases for t in p})
-    asked = index.postings.sparkSession.range(1).select(*[bucket_of(F.lit(t)).alias(f"b{k}") for k, t in enumerate(terms)]).first()
-    rows = index.postings.where(F.col("bucket").isin(*sorted(set(asked))) & (F.col("channel") == channel) & F.col("term").isin(*terms))
-    met = rows.groupBy("id", "field").agg(*[F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"t{k}") for k, t in enumerate(terms)])
+    rows = _asked(index.postings, channel, set(terms))
+    met = rows.groupBy("id").agg(F.max("length").alias("length"), *[F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"t{k}") for k, t in enumerate(terms)])
 
     def times(phrase: list[str]) -> Column:
         lists = [F.col(f"t{terms.index(t)}") for t in phrase]
@@ -219,11 +270,143 @@ def bm25_of(index: Index, channel: str, phrases: list[list[str]]) -> DataFrame:
         starts = reduce(F.array_intersect, [back(x, i) for i, x in enumerate(lists)])
         return F.coalesce(F.when(starts.isNotNull(), F.size(starts)), F.lit(0))
 
-    found = met.select("id", *[times(p).alias(f"p{k}") for k, p in enumerate(phrases)]).groupBy("id").agg(F.array(*[F.sum(f"p{k}").cast("int") for k in range(len(phrases))]).alias("found"))
-    found = durable(found.where(F.exists("found", lambda n: n > 0)))
-    sums = found.agg(*[F.count_if(F.col("found")[k] > 0).alias(f"n{k}") for k in range(len(phrases))]).first()
-    score = _score(len(phrases), [_idf(index.units, sums[f"n{k}"]) for k in range(len(phrases))], index.mean[channel])
-    return index.docs.withColumnRenamed(channel, "length").join(found, "id").withColumn("bm25", score).select(*ABOUT, "evidence_json", "found", "bm25")
+    return durable(met.select("id", "length", F.array(*[times(p).cast("int") for p in phrases]).alias("found")).where(F.exists("found", lambda n: n > 0)))
+
+
+def _frequencies(found: DataFrame, phrases: int) -> list[int]:
+    return list(found.agg(*[F.count_if(F.col("found")[k] > 0).alias(f"n{k}") for k in range(phrases)]).first())
+
+
+def bm25_of(index: Index, channel: str, phrases: list[list[str]]) -> DataFrame:
+    """What ``bm25`` returns, from an index: reads the postings of the request's terms only."""
+    found = _found(index, channel, phrases)
+    score = _score(len(phrases), [_idf(index.units, n) for n in _frequencies(found, len(phrases))], index.mean[channel])
+    return index.docs.join(found, "id").withColumn("bm25", score).select(*ABOUT, "evidence_json", "found", "bm25")
+
+
+#: Blocks, those of the greatest bounds, whose units give the first threshold. Units that lie below it by SLACK, wider than rounding, are left out.
+FIRST, SLACK = 64, 1e-8
+#: Up to so many units are looked up in the postings of the remaining terms by sending their ids to every task.
+SENT = 200_000
+
+
+@dataclass(frozen=True)
+class Reach:
+    """What of a request's one-word phrases must be read: ``whole`` terms and the ``chosen`` blocks (segment, term, block, units) of ``partly`` read ones.
+
+    ``least``: the gain that a unit must reach (None: any); ``idf`` and ``most``: weight and greatest gain, repeats counted, of each term that a unit has;
+    ``rare``: the term of the fewest units.
+    """
+
+    least: float | None
+    idf: dict[str, float]
+    most: dict[str, float]
+    whole: set[str]
+    partly: set[str]
+    chosen: DataFrame
+    rare: str | None
+
+
+def _scopes(request: Request) -> Column:
+    own = scope.in_workspace(F.col("workspace_id"), request.aliases) if request.aliases else F.lit(True)
+    wide = F.lit(bool(request.aliases and request.scope_fallback == "global"))
+    return F.array_compact(F.array(F.when(own, F.lit("own")), F.when(wide, F.lit("wide"))))
+
+
+def reach(index: Index, channel: str, words: list[str], request: Request, single: bool, every: bool) -> Reach:
+    """Which blocks of the words' postings can hold a unit of the best ones, by block-max pruning.
+
+    The units of the blocks with the greatest bounds give a threshold: the gain of the last unit asked for, in each scope. Words are ordered by their greatest gain. A block
+    is left out if its bound and the greatest gains of the words before its own stay below the threshold together: a unit in left-out blocks only gains no more than that for
+    the last of its words.
+    ``single``: a unit with one of the phrases may be an answer; ``every``: one with all may, whatever its gain, for which all postings of the rarest word are read.
+    """
+    mean, times = index.mean[channel], Counter(words)
+    rows = _asked(index.blocks, channel, set(words)) if words else index.blocks.limit(0)
+    known = F.col("block").isNotNull()
+    low = [F.min("most").alias("fewest"), F.max(F.when(known, F.col("least"))).alias("longest")]
+    sums = rows.groupBy("term").agg(F.sum("units").alias("units"), F.max("most").alias("most"), F.min("least").alias("least"), *low).where("units > 0").collect()
+
+    def gain(idf: float, count: int, length: int) -> float:
+        return idf * count * (K1 + 1) / (count + K1 * (1 - B + B * length / (mean or 1.0)))
+
+    idf = {r.term: _idf(index.units, r.units) for r in sums}
+    weight = {t: times[t] * idf[t] for t in idf}
+    most = {r.term: gain(weight[r.term], r.most, r.least) for r in sums}
+    worst = {r.term: gain(weight[r.term], r.fewest, r.longest) for r in sums}
+    rare = min(sums, key=lambda r: (r.units, r.term)).term if sums else None
+    if not sums:
+        return Reach(None, {}, {}, set(), set(), rows.select("segment", "term", "block", "units"), None)
+    bound = F.coalesce(*[F.when(F.col("term") == t, _gain(weight[t], F.col("most"), F.col("least"), mean)) for t in idf])
+    rows = rows.where(known & F.col("term").isin(*idf)).withColumn("bound", bound)
+    least = math.inf
+    if single:
+        first = rows.orderBy(F.desc("bound"), "segment", "term", "block").limit(FIRST).select("segment", "term", "block").collect()
+        of: dict[tuple[int, str], list[int]] = {}
+        for r in first:
+            of.setdefault((r.segment, r.term), []).append(r.block)
+        here = reduce(lambda a, b: a | b, [(F.col("segment") == k) & (F.col("term") == t) & F.col("block").isin(*of[k, t]) for k, t in of])
+        each = F.coalesce(*[F.when(F.col("term") == t, _gain(weight[t], F.col("count"), F.col("length"), mean)) for t in idf])
+        part = _asked(index.postings, channel, set(idf)).where(here).groupBy("id").agg(F.sum(each).alias("gain"))  # FIRST blocks at most
+        seen = index.docs.join(F.broadcast(part), "id").where(in_scope(request)).select("gain", F.explode(_scopes(request)).alias("scope"))
+        best = Window.partitionBy("scope").orderBy(F.desc("gain"))
+        last = seen.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == request.depth).collect()
+        scopes = 2 if request.aliases and request.scope_fallback == "global" else 1
+        least = min(r.gain for r in last) - SLACK if len(last) == scopes else None
+    order = sorted(most, key=lambda t: (most[t], t))
+    rest = {t: sum(most[x] for x in order[:k]) for k, t in enumerate(order)}
+    whole = {t for t in idf if least is None or worst[t] + rest[t] >= least or (every and t == rare)}
+    partly = {t for t in idf if t not in whole and most[t] + rest[t] >= least}
+    short = F.coalesce(*[F.when(F.col("term") == t, F.lit(rest[t])) for t in idf])
+    reached = F.lit(True) if least is None else (F.col("bound") + short >= F.lit(least))
+    chosen = rows.where(F.col("term").isin(*partly) & reached) if partly else rows.limit(0)
+    return Reach(least, idf, most, whole, partly, chosen.select("segment", "term", "block", "units"), rare)
+
+
+def best_of(index: Index, channel: str, phrases: list[list[str]], request: Request, single: bool = True, every: bool = True) -> DataFrame:
+    """Rows of ``bm25_of``, of which units that can't be among a request's best may be missing.
+
+    ``single``: units with one of the phrases are ranked, ``every``: those with all of them are. Phrases of several words are always read whole;
+    one-word phrases by blocks and without positions. The counts of the returned units are whole.
+    """
+    words = [p[0] for p in phrases if len(p) == 1]
+    more = [p for p in phrases if len(p) > 1]
+    longs = _found(index, channel, more) if more else None
+    weights = [_idf(index.units, n) for n in _frequencies(longs, len(more))] if more else []
+    to = reach(index, channel, words, request, single, every and not more)
+    terms, mean, times = sorted(to.most), index.mean[channel], Counter(words)
+    postings = _asked(index.postings, channel, to.whole | to.partly) if to.whole | to.partly else index.postings.limit(0)
+    read = [postings.where(F.col("term").isin(*to.whole)) if to.whole else postings.limit(0)]
+    if to.partly:
+        read.append(postings.where(F.col("term").isin(*to.partly)).join(to.chosen.drop("units"), ["segment", "term", "block"], "left_semi"))
+    narrow = reduce(DataFrame.unionByName, [r.select("id", "length", "term", "count") for r in read])
+    counts = lambda some: [F.coalesce(F.sum(F.when(F.col("term") == t, F.col("count"))), F.lit(0)).alias(f"n{terms.index(t)}") for t in some]
+    met = narrow.groupBy("id").agg(F.max("length").alias("length"), *counts(terms))
+    none = F.array(*[F.lit(0)] * len(more)).cast("array<int>")
+    if longs is not None:
+        both = met.withColumnRenamed("length", "own").join(longs, "id", "full_outer")
+        met = both.select("id", F.coalesce("own", "length").alias("length"), *[F.coalesce(f"n{k}", F.lit(0)).alias(f"n{k}") for k in range(len(terms))], F.coalesce("found", none).alias("longs"))
+    else:
+        met = met.withColumn("longs", none)
+    missing = [t for t in terms if t not in to.whole]
+    if missing:
+        met = durable(met)
+        have = sum((_gain(times[t] * to.idf[t], F.col(f"n{terms.index(t)}"), F.col("length"), mean) for t in terms if t in to.whole), F.lit(0.0))
+        have = have + sum((_gain(w, F.col("longs")[k], F.col("length"), mean) for k, w in enumerate(weights)), F.lit(0.0))
+        have = have + sum(to.most[t] for t in missing)
+        full = F.forall("longs", lambda n: n > 0) & (F.lit(True) if more else F.col(f"n{terms.index(to.rare)}") > 0)
+        met = met.where((have >= F.lit(to.least)) | (full if every else F.lit(False)))
+        few = met.count() <= SENT
+        ids = met.select("id")
+        others = _asked(index.postings, channel, set(missing)).select("id", "term", "count").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        others = others.groupBy("id").agg(*counts(missing))
+        met = met.drop(*[f"n{terms.index(t)}" for t in missing]).join(others, "id", "left").fillna(0, [f"n{terms.index(t)}" for t in missing])
+    place = {id(p): F.col("longs")[k] for k, p in enumerate(more)}
+    found = [place[id(p)] if len(p) > 1 else F.col(f"n{terms.index(p[0])}").cast("int") if p[0] in to.most else F.lit(0) for p in phrases]
+    longer = iter(weights)
+    idf = [next(longer) if len(p) > 1 else to.idf.get(p[0], 0.0) for p in phrases]
+    whole = met.select("id", "length", F.array(*found).alias("found"))
+    return index.docs.join(whole, "id").withColumn("bm25", _score(len(phrases), idf, mean)).select(*ABOUT, "evidence_json", "found", "bm25")
 
 
 def scored(source: DataFrame | Index, channel: str, phrases: list[list[str]]) -> DataFrame:
@@ -255,16 +438,15 @@ def ranked(units: DataFrame | Index, request: Request) -> DataFrame:
     rows = []
     if real:
         every = whole if len(real) == len(phrases) else F.lit(False)
-        rows.append(scored(units, "text", real).withColumn("channels", F.array_compact(F.array(F.when(every, F.lit("all")), F.lit("any")))))
+        best = best_of(units, "text", real, request, every=len(real) == len(phrases)) if isinstance(units, Index) else scored(units, "text", real)
+        rows.append(best.withColumn("channels", F.array_compact(F.array(F.when(every, F.lit("all")), F.lit("any")))))
     if runs:
-        rows.append(scored(units, "cjk", runs).withColumn("channels", F.array_compact(F.array(F.when(whole, F.lit("cjk"))))))
+        best = best_of(units, "cjk", runs, request, single=False) if isinstance(units, Index) else scored(units, "cjk", runs)
+        rows.append(best.withColumn("channels", F.array_compact(F.array(F.when(whole, F.lit("cjk"))))))
     if not rows:
         empty = units.docs if isinstance(units, Index) else units
         return empty.select(F.lit("").alias("scope"), F.lit("").alias("channel"), F.lit(0).alias("rank"), "id", "summary", "session_id").limit(0)
-    own = scope.in_workspace(F.col("workspace_id"), request.aliases) if request.aliases else F.lit(True)
-    wide = F.lit(bool(request.aliases and request.scope_fallback == "global"))
-    scopes = F.array_compact(F.array(F.when(own, F.lit("own")), F.when(wide, F.lit("wide"))))
-    found = reduce(DataFrame.unionByName, [r.where(in_scope(request)).select("id", "summary", "session_id", "updated_at", F.round("bm25", PLACES).alias("bm25"), F.explode("channels").alias("channel"), scopes.alias("scopes")) for r in rows])
+    found = reduce(DataFrame.unionByName, [r.where(in_scope(request)).select("id", "summary", "session_id", "updated_at", F.round("bm25", PLACES).alias("bm25"), F.explode("channels").alias("channel"), _scopes(request).alias("scopes")) for r in rows])
     found = found.select("*", F.explode("scopes").alias("scope")).drop("scopes")
     order = Window.partitionBy("scope", "channel").orderBy("bm25", F.desc("updated_at"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= request.depth).select("scope", "channel", "rank", "id", "summary", "session_id")

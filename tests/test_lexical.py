@@ -137,3 +137,47 @@ def test_an_index_answers_like_the_table(spark, tmp_path):
             request = Request(query, limit=20, **how)
             assert lexical.search(index, request).collect() == lexical.search(table, request).collect()
             assert lexical.scope_report(index, request).collect() == lexical.scope_report(table, request).collect()
+
+
+def test_blocks_that_cannot_answer_are_left_out(spark, tmp_path, monkeypatch):
+    """Small blocks, so that most are left out: the same rows as full scoring, for rare, hot, repeated, unknown and hidden words, phrases and scopes."""
+    monkeypatch.setattr(lexical, "BLOCK_BITS", 2)
+    monkeypatch.setattr(lexical, "FIRST", 16)
+    rng = random.Random(4)
+    shares = {"the": 0.45, "pad": 0.3, "fan": 0.1, "foo_bar": 0.05, "阈值": 0.05, "rare": 0.02}
+    pool = lambda most: " ".join(w for w, p in shares.items() if rng.random() < p for _ in range(rng.randint(1, 3))) + " x" * rng.randint(0, most)
+    rows = [unit(f"u{i:04}", pool(4), "y" * (i % 2), status=rng.choice(["active", "active", "draft"]), workspace=rng.choice(["", "w", "v", "v"]), at=f"2026-01-0{rng.randint(1, 9)}") for i in range(1500)]
+    table = spark.createDataFrame(rows, UNIT).cache()
+    index = lexical.build_index(table, str(tmp_path / "index"))
+    saved, blocks = 0, index.blocks.cache()
+    hows = ({}, {"workspaces": ("w",)}, {"workspaces": ("none",), "scope_fallback": "off"})
+    for k, query in enumerate(("the", "fan", "the pad fan rare", "pad pad the", "rare the foo_bar", "the nothing")):
+        for how in hows[: 2 if k == 2 else 1] if k % 3 else hows[k // 3 :][:1]:
+            request = Request(query, limit=8, per_document_limit=None, **how)
+            want = sorted(map(tuple, lexical.ranked(table, request).collect()))
+            assert sorted(map(tuple, lexical.ranked(index, request).collect())) == want, (query, how)
+        asked = [p[0] for p in (text.query_tokens(t) for t in text.terms(query)) if len(p) == 1]
+        to = lexical.reach(index, "text", asked, Request(query, limit=8), True, True)
+        units = {r.term: r.units for r in blocks.where("channel = 'text'").groupBy("term").agg(F.sum("units").alias("units")).collect()}
+        read = sum(units[t] for t in to.whole) + (to.chosen.agg(F.sum("units")).first()[0] or 0)
+        saved += read < 0.5 * sum(units.get(t, 0) for t in set(asked))
+    assert saved >= 3
+
+
+def test_units_of_a_term_are_counted_through_commits(spark, tmp_path):
+    """Segments of changes, with and without merges: every term's units are those that have it now, every posting lies in one block within its bounds."""
+    root = str(tmp_path)
+    frame = lambda rows: spark.createDataFrame(rows, UNIT)
+    first = [unit(f"u{i:03}", "the pad", "fan " * (i % 7)) for i in range(120)]
+    segments = lexical.with_segment(spark, root, [], frame(first), None)
+    new = [unit(f"u{i:03}", "the new", "") for i in range(5)]
+    segments = lexical.with_segment(spark, root, segments, frame(new), frame(first[:5]))
+    assert len(segments) == 2
+    for changed, before in ((new[:2], new[:2]), ([unit("u000", "", "")], new[:1]), ([], first[100:])):
+        segments = lexical.with_segment(spark, root, segments, frame(changed), frame(before))
+        index = lexical.open_segments(spark, root, segments)
+        have = {(r.channel, r.term): r.n for r in index.postings.groupBy("channel", "term").agg(F.countDistinct("id").alias("n")).collect()}
+        said = {(r.channel, r.term): r.n for r in index.blocks.groupBy("channel", "term").agg(F.sum("units").alias("n")).where("n <> 0").collect()}
+        assert have == said
+        off = index.postings.join(index.blocks.drop("bucket"), ["channel", "term", "segment", "block"], "left").where("most is null or count > most or length < least or count <> size(positions)")
+        assert off.count() == 0
