@@ -294,13 +294,14 @@ SENT = 200_000
 class Reach:
     """What of a request's one-word phrases must be read: ``whole`` terms and the ``chosen`` blocks (segment, term, block, units) of ``partly`` read ones.
 
-    ``least``: the gain that a unit must reach (None: any); ``idf`` and ``most``: weight and greatest gain, repeats counted, of each term that a unit has;
+    ``least``: the gain that a unit must reach (None: any); ``idf`` and ``most``: weight and greatest gain, repeats counted, of each term that a unit has, ``units`` how many have it;
     ``rare``: the term of the fewest units.
     """
 
     least: float | None
     idf: dict[str, float]
     most: dict[str, float]
+    units: dict[str, int]
     whole: set[str]
     partly: set[str]
     chosen: DataFrame
@@ -336,7 +337,7 @@ def reach(index: Index, channel: str, words: list[str], request: Request, single
     worst = {r.term: gain(weight[r.term], r.fewest, r.longest) for r in sums}
     rare = min(sums, key=lambda r: (r.units, r.term)).term if sums else None
     if not sums:
-        return Reach(None, {}, {}, set(), set(), rows.select("segment", "term", "block", "units"), None)
+        return Reach(None, {}, {}, {}, set(), set(), rows.select("segment", "term", "block", "units"), None)
     bound = F.coalesce(*[F.when(F.col("term") == t, _gain(weight[t], F.col("most"), F.col("least"), mean)) for t in idf])
     rows = rows.where(known & F.col("term").isin(*idf)).withColumn("bound", bound)
     least = math.inf
@@ -360,7 +361,7 @@ def reach(index: Index, channel: str, words: list[str], request: Request, single
     short = F.coalesce(*[F.when(F.col("term") == t, F.lit(rest[t])) for t in idf])
     reached = F.lit(True) if least is None else (F.col("bound") + short >= F.lit(least))
     chosen = rows.where(F.col("term").isin(*partly) & reached) if partly else rows.limit(0)
-    return Reach(least, idf, most, whole, partly, chosen.select("segment", "term", "block", "units"), rare)
+    return Reach(least, idf, most, {r.term: r.units for r in sums}, whole, partly, chosen.select("segment", "term", "block", "units"), rare)
 
 
 def best_of(index: Index, channel: str, phrases: list[list[str]], request: Request, single: bool = True, every: bool = True) -> DataFrame:
@@ -372,7 +373,8 @@ def best_of(index: Index, channel: str, phrases: list[list[str]], request: Reque
     words = [p[0] for p in phrases if len(p) == 1]
     more = [p for p in phrases if len(p) > 1]
     longs = _found(index, channel, more) if more else None
-    weights = [_idf(index.units, n) for n in _frequencies(longs, len(more))] if more else []
+    held = _frequencies(longs, len(more)) if more else []
+    weights = [_idf(index.units, n) for n in held]
     to = reach(index, channel, words, request, single, every and not more)
     terms, mean, times = sorted(to.most), index.mean[channel], Counter(words)
     postings = _asked(index.postings, channel, to.whole | to.partly) if to.whole | to.partly else index.postings.limit(0)
@@ -390,13 +392,14 @@ def best_of(index: Index, channel: str, phrases: list[list[str]], request: Reque
         met = met.withColumn("longs", none)
     missing = [t for t in terms if t not in to.whole]
     if missing:
-        met = durable(met)
+        few = sum(held) + sum(to.units[t] for t in to.whole | to.partly) <= SENT  # then no job need count them
+        met = met if few else durable(met)
         have = sum((_gain(times[t] * to.idf[t], F.col(f"n{terms.index(t)}"), F.col("length"), mean) for t in terms if t in to.whole), F.lit(0.0))
         have = have + sum((_gain(w, F.col("longs")[k], F.col("length"), mean) for k, w in enumerate(weights)), F.lit(0.0))
         have = have + sum(to.most[t] for t in missing)
         full = F.forall("longs", lambda n: n > 0) & (F.lit(True) if more else F.col(f"n{terms.index(to.rare)}") > 0)
         met = met.where((have >= F.lit(to.least)) | (full if every else F.lit(False)))
-        few = met.count() <= SENT
+        few = few or met.count() <= SENT
         ids = met.select("id")
         others = _asked(index.postings, channel, set(missing)).select("id", "term", "count").join(F.broadcast(ids) if few else ids, "id", "left_semi")
         others = others.groupBy("id").agg(*counts(missing))
