@@ -181,3 +181,21 @@ def test_units_of_a_term_are_counted_through_commits(spark, tmp_path):
         assert have == said
         off = index.postings.join(index.blocks.drop("bucket"), ["channel", "term", "segment", "block"], "left").where("most is null or count > most or length < least or count <> size(positions)")
         assert off.count() == 0
+
+
+def test_postings_are_made_where_units_are_read(spark, tmp_path):
+    """No shuffle and no second posting of a word for the CJK channel, which still counts all tokens; runs of few bytes hold the same."""
+    rows = [unit("a", "pad pad", "fan", ["x"]), unit("b", "风扇 pad", "阈值"), unit("c", "", "")]
+    whole = lexical._fields(spark.createDataFrame(rows, UNIT))
+    assert "Exchange" not in lexical._postings(whole)._jdf.queryExecution().executedPlan().toString()
+    got = {(r.channel, r.term, r.id): (r.length, list(r.positions)) for r in lexical._postings(whole).collect()}
+    (length, pads), (_, fans) = got["text", "pad", "a"], got["text", "fan", "a"]
+    assert length == 4 and pads[1] == pads[0] + 1 and fans[0] > pads[1] + 1
+    assert {t for c, t, _ in got if c == "cjk"} == set("风扇阈值") and got["cjk", "扇", "b"][0] == 5
+    old = lexical.RUN_BYTES
+    try:
+        lexical.RUN_BYTES = 8
+        again = lexical._postings(lexical._fields(spark.createDataFrame(rows, UNIT))).collect()
+    finally:
+        lexical.RUN_BYTES = old
+    assert {(r.channel, r.term, r.id): (r.length, list(r.positions)) for r in again} == got
