@@ -137,3 +137,13 @@ def test_first_pairs_without_joining_on_what_all_share(spark):
     formed = linker._overlaps(classes, 2).count()
     assert formed < 200 * 199 / 2 / 4 and linker._overlaps(classes, 1).where("ca <> cb").count() == len(full)
     assert linker.document_pairs(rolled, None).count() == len(full)
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_aliases_are_met_on_more_than_their_first_word(spark, monkeypatch, most):
+    """Of aliases that share a frequent first word, a text meets those whose first words it has."""
+    monkeypatch.setattr(linker, "MOST_BROADCAST", most)
+    names = spark.createDataFrame([(f"the n{i} end{j}", f"e{i}.{j}") for i in range(20) for j in range(3)] + [("the", "e"), ("the n5", "f"), ("the n5 end1 more words", "g")], "alias string, entity_id string")
+    texts = spark.createDataFrame([("a", "see the n5 end1 and the n5 end1"), ("b", "the n5 end12"), ("c", "end1 the"), ("d", "the")], "id string, h string")
+    got = sorted((r.id, r.alias) for r in linker.candidates(texts, names).collect())
+    assert got == [("a", "the"), ("a", "the n5"), ("a", "the n5 end1"), ("b", "the"), ("b", "the n5"), ("c", "the"), ("d", "the")]
