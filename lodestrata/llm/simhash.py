@@ -33,13 +33,17 @@ SMALL = 32
 TERM, SIMILAR, RECALL = 5, 0.8, 0.99
 #: 64-bit parts of a wide fingerprint, least and most.
 PARTS = (4, 24)
+#: Parts that distances are taken over, at least: fewer would let through too many pairs whose sets are not alike.
+WHOLE = 12
 #: Standard deviations by which a distance may exceed its mean at the similarity.
 SPREAD = 3
-#: Members before it, in the order of the fingerprints, with which each member of an entry is compared; in larger entries chains of closer ones are followed too.
+#: Members before it, in the order of the fingerprints, of which each member of an entry meets the nearest at first; what that leaves apart meets in full afterwards.
 MEMBERS = 512
-#: Nearest members of an entry that become candidates of a later member.
-NEAREST = 4
-#: Nearest candidates of a text whose sets of shingles are compared with its own at first; of the others those follow that are not yet in its group.
+#: Members of an entry that one task compares with as many others; larger entries are dealt out in parts.
+PART = 4096
+#: Nearest members outside its group that a member meets at once; as long as some member has more, its entry comes again, with MORE times as many.
+NEAREST, MORE = 2, 2048
+#: Nearest candidates of a text whose sets of shingles are compared with its own at first; then all that are not yet in its group.
 CHECKED = 2
 
 
@@ -84,6 +88,8 @@ def entries(fp: str, at: int, width: int, ball: int, table: int, tables: int) ->
     """The entries of a table, for ``width`` bits of ``fp`` from ``at`` on: the values within ``ball`` bits that are not smaller."""
     masks = [sum(1 << x for x in bits) for n in range(ball + 1) for bits in combinations(range(width), n)]
     own = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
+    if not ball:
+        return F.array(own * tables + table)
     keys = F.filter(F.transform(F.array(*map(F.lit, masks)).cast("array<long>"), lambda m: own.bitwiseXOR(m)), lambda k: k >= own)
     return F.transform(keys, lambda k: k * tables + table)
 
@@ -247,6 +253,15 @@ def flips(similar: float) -> float:
     return math.acos(2 * similar / (1 + similar)) / math.pi
 
 
+def farthest(size, bits: int, similar: float, sqrt: Callable, greatest: Callable):  # noqa: ANN001, ANN201
+    """The distance in ``bits`` up to which sets may be alike, ``size`` the shingles of the larger one; as numbers or as columns.
+
+    Ties among few votes let more bits differ: up to 1 + 1 / c times ``flips`` for c shingles that both have, four at least where the sets are not equal.
+    """
+    p = (1 / greatest(similar * size, 4.0) + 1) * flips(similar)
+    return p * bits + sqrt(p * (1 - p) * bits) * SPREAD
+
+
 def plan(n: int, similar: float = SIMILAR, recall: float = RECALL) -> tuple[int, int, int, int]:
     """(width, ball, tables, parts) that let a pair of this similarity meet in some table as often as ``recall``, with the least work for ``n`` fingerprints.
 
@@ -264,63 +279,147 @@ def plan(n: int, similar: float = SIMILAR, recall: float = RECALL) -> tuple[int,
     return min(found)[2:]
 
 
+def table_entries(nodes: DataFrame, tables_of: tuple[int, int, int, int], *kept: str) -> DataFrame:
+    """``k, fp`` and the ``kept`` columns: every node (f0, f1, ...) in each table entry of the plan; ``fp`` is its ``f0``."""
+    width, ball, tables, _ = tables_of
+    per = 64 // width
+    keys = [entries(f"f{t // per}", t % per * width, width, ball, t, tables) for t in range(tables)]
+    return nodes.select(F.explode(F.concat(*keys)).alias("k"), F.col("f0").alias("fp"), *kept)
+
+
 def candidates(nodes: DataFrame, tables_of: tuple[int, int, int, int], similar: float = SIMILAR) -> DataFrame:
-    """``child, parent``: of each table entry, every member with the NEAREST ones before it that are near enough.
+    """``child, parent``: of each table entry, every member with the nearest of the MEMBERS before it, if that is near enough.
 
-    ``nodes`` has distinct ``f0`` and the other parts. A member has so many candidates for each of its entries at most, so
-    candidates grow with the members, not with their pairs. Distances are those of ``f0``; whole ones are the caller's to check.
+    ``nodes`` has distinct ``f0`` and the other parts. A member has one candidate for each of its entries at most, so candidates grow with the
+    members, not with their pairs; ``apart`` has the others. Distances are those of ``f0``; whole ones are the caller's to check.
     """
     most, p = MEMBERS, flips(similar)
-    near, close = (int(64 * p + k * math.sqrt(64 * p * (1 - p))) for k in (SPREAD - 0.25, 1))
-    width, ball, tables, _ = tables_of
-    per = 64 // width
-    keys = [entries(f"f{t // per}", t % per * width, width, ball, t, tables) for t in range(tables)]
+    near = int(64 * p + (SPREAD - 0.25) * math.sqrt(64 * p * (1 - p)))
 
     def nearest(k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        size = np.diff(np.append(starts, len(k)))
-        best, parent = np.full((NEAREST, len(k)), near + 1, np.uint8), np.zeros((NEAREST, len(k)), np.uint64)
+        best, parent = np.full(len(k), near + 1, np.uint8), np.zeros(len(k), np.uint64)
         on, d = np.arange(len(k)), 0
         while len(on) and d < most:
             d += 1
             on = on[on + d < len(k)]
             on = on[k[on + d] == k[on]]
             far = np.bitwise_count(f[on] ^ f[on + d])
-            some = far < best[-1, on + d]
-            at, far, own = on[some] + d, far[some], f[on[some]]
-            for slot in range(NEAREST):
-                had, whose = best[slot, at], parent[slot, at]
-                nearer = far < had
-                best[slot, at], parent[slot, at] = np.where(nearer, far, had), np.where(nearer, own, whose)
-                far, own = np.where(nearer, had, far), np.where(nearer, whose, own)
+            some = far < best[on + d]
+            best[on[some] + d], parent[on[some] + d] = far[some], f[on[some]]
         got = best <= near
-        child, parent = [np.broadcast_to(f, got.shape)[got]], [parent[got]]
-        for s, n in zip(starts[size > most].tolist(), size[size > most].tolist(), strict=True):
-            pairs = np.array(linked(f[s : s + n], close), dtype=np.uint64).reshape(-1, 2)
-            child.append(pairs[:, 1])
-            parent.append(pairs[:, 0])
-        return np.concatenate(child), np.concatenate(parent)
-
-    found = nodes.select(F.explode(F.concat(*keys)).alias("k"), F.col("f0").alias("fp")).repartition(F.col("k")).sortWithinPartitions("k", "fp")
+        return f[got], parent[got]
+
+    found = table_entries(nodes, tables_of).repartition(F.col("k")).sortWithinPartitions("k", "fp")
     return found.mapInArrow(by_entry(nearest), "a long, b long").distinct().select(F.col("a").alias("child"), F.col("b").alias("parent"))
 
 
+def apart(nodes: DataFrame, tables_of: tuple[int, int, int, int], limit: int, parts: int, large: DataFrame, only: DataFrame | None = None, similar: float = SIMILAR) -> DataFrame:
+    """``child, parent, k``: of each table entry the pairs of members that are near enough and lie in different groups; kept.
+
+    ``nodes`` has distinct ``f0``, the other parts and ``g``, the group. All members of an entry are compared. A member brings its ``limit`` nearest at most; rows
+    of an entry ``k`` alone say that some member of it has more. ``large``: the entries of more than PART members. ``only``: the entries (k) to look at; otherwise all. Distances are those of all
+    ``parts``. Without balls a pair comes from the first of its entries only.
+
+    Members outside an entry's largest group meet all of its members. Where those are over PART, either side is dealt out in parts of about that many and each part of one
+    meets each of the other in some task.
+    """
+    near = int(farthest(0, 128, similar, math.sqrt, max))
+    width, ball, tables, _ = tables_of
+    per, mask = 64 // width, np.uint64((1 << width) - 1)
+    names = [f"f{k}" for k in range(1, parts)]
+    rows = table_entries(nodes, tables_of, *names, "size", "g")
+    if only is not None:
+        rows = rows.join(F.broadcast(only) if few(only) else only, "k")
+    same = ["k"]
+    if large.limit(1).count():
+        known = F.broadcast(large) if few(large) else large
+        rest = rows.join(known, "k")
+        main = rest.groupBy("k", "g").agg(F.count("*").alias("n")).groupBy("k").agg(F.max(F.struct("n", "g")).alias("m"), F.sum("n").alias("n"))
+        main = durable(main.select("k", F.col("m.g").alias("main"), F.ceil((F.col("n") - F.col("m.n")) / PART).cast("int").alias("nx"), F.ceil(F.col("n") / PART).cast("int").alias("ny")).where("nx > 0"))
+        rest = rest.join(F.broadcast(main) if few(main) else main, "k")
+        part = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        no = F.lit(False)
+        own = rest.where("g <> main").select("k", part("nx").alias("x"), each("ny").alias("y"), F.lit(True).alias("side"), no.alias("main"), "fp", *names, "size", "g")
+        whole = rest.select("k", each("nx").alias("x"), part("ny").alias("y"), no.alias("side"), (F.col("g") == F.col("main")).alias("main"), "fp", *names, "size", "g")
+        small = rows.join(known, "k", "left_anti").select("k", F.lit(0).alias("x"), F.lit(0).alias("y"), no.alias("side"), no.alias("main"), "fp", *names, "size", "g")
+        same, rows = ["k", "x", "y"], small.unionByName(own).unionByName(whole)
+
+    def met(k: int, side: np.ndarray, f: np.ndarray, size: np.ndarray, g: np.ndarray, main: np.ndarray) -> pa.RecordBatch:
+        """One part of an entry: its own members, those with ``side``, against the others; without any, all against those before them."""
+        own, other = (np.flatnonzero(side), np.flatnonzero(~side)) if side.any() else (np.arange(len(f)), np.arange(len(f)))
+        child, parent, more = [], [], False
+        step = max(1, (1 << 17) // max(1, len(other)))
+        for at in range(0, len(own), step):
+            mine = own[at : at + step]
+            far = np.bitwise_count(f[mine, None, 0] ^ f[None, other, 0]) + np.bitwise_count(f[mine, None, 1] ^ f[None, other, 1])
+            row, to = np.nonzero(far <= near)
+            row, to = mine[row], other[to]
+            fit = (g[row] != g[to]) & (main[to] | (f[row, 0] > f[to, 0]))
+            row, to = row[fit], to[fit]
+            apart_by = f[row] ^ f[to]
+            far = np.bitwise_count(apart_by).sum(axis=1, dtype=np.int64)
+            fit = far <= farthest(np.maximum(size[row], size[to]), 64 * parts, similar, np.sqrt, np.maximum)
+            for t in range(0 if ball else k % tables):  # an earlier entry has the pair
+                fit &= (apart_by[:, t // per] >> np.uint64(t % per * width)) & mask != 0
+            far, row, to = far[fit], row[fit], to[fit]
+            by = np.lexsort((f[to, 0], far, row))
+            row, to = row[by], to[by]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            more |= bool((place >= limit).any())
+            child.append(row[place < limit])
+            parent.append(to[place < limit])
+        child, parent = (f[np.concatenate([*x, np.zeros(0, np.int64)]), 0].view(np.int64) for x in (child, parent))
+        none = [None] * int(more)
+        return pa.RecordBatch.from_arrays([pa.array([*child.tolist(), *none], pa.int64()), pa.array([*parent.tolist(), *none], pa.int64()), pa.array([None] * len(child) + [k] * int(more), pa.int64())], names=["child", "parent", "k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(kept)
+            k, size, g = (np.asarray(whole.column(c)) for c in ("k", "size", "g"))
+            side, main = (np.asarray(whole.column(c)) if len(same) > 1 else np.zeros(len(k), bool) for c in ("side", "main"))
+            f = np.stack([np.asarray(whole.column(c)).view(np.uint64) for c in ("fp", *names)], axis=1)
+            if len(k) > 1 and g.min() != g.max():
+                yield met(int(k[0]), side, f, size, g, main)
+
+        last = None
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(c), dtype=np.int64) for c in same], axis=1)
+            first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else []
+            for at, end in zip(first, [*first[1:], len(keys)], strict=True):
+                if last is not None and tuple(keys[at]) != last:
+                    yield from done()
+                    kept.clear()
+                last = tuple(keys[at])
+                kept.append(batch.slice(at, end - at))
+        if kept:
+            yield from done()
+
+    found = rows.repartition(*map(F.col, same)).sortWithinPartitions(*same)
+    return durable(found.mapInArrow(run, "child long, parent long, k long"))
+
+
 def without_near_copies(docs: DataFrame, key: str, text: str = "text", shingle: int = TERM, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
     """``docs`` with the row of the smallest ``key`` of each group of near copies; ``key`` is never null and different in every row.
 
     Two texts are near copies if their sets of ``shingle`` words have a Jaccard similarity of ``similar`` at least; groups are what chains of
     them connect. Texts without words are copies of each other; null counts as such a text. Every candidate that multi-index
-    hashing finds is checked by its sets unless both texts are in one group already: first each text's CHECKED nearest by whole distances, then the others. No rows give no rows.
+    hashing finds is checked by its sets unless both texts are in one group already: first each text's CHECKED nearest by whole distances of those that ``candidates`` gives,
+    then all that ``apart`` gives until it has no more. No rows give no rows.
     """
     chosen = plan(docs.count(), similar, recall)
-    parts = chosen[-1]
+    parts = max(chosen[-1], WHOLE)
     names = [f"f{k}" for k in range(parts)]
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                fps = wide_fingerprints(*shingle_sets(part.column("text"), shingle), part.num_rows, parts).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(parts))], names=["key", *names])
+                g, rows = shingle_sets(part.column("text"), shingle)
+                fps = wide_fingerprints(g, rows, part.num_rows, parts).view(np.int64)
+                size = pa.array(np.bincount(rows, minlength=part.num_rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(parts)), size], names=["key", *names, "size"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,29 +441,44 @@ def without_near_copies(docs: DataFrame, key: str, text: str = "text", shingle:
 
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = source.select("key").schema[0].dataType.simpleString()
-    each = source.mapInArrow(printed, f"key {kind}, " + ", ".join(f"{c} long" for c in names))
-    nodes = durable(each.groupBy("f0").agg(F.min(F.struct("key", *names[1:])).alias("s")).select("f0", "s.*"))
-    p, width = flips(similar), 64 * parts
-    most = int(width * p + SPREAD * math.sqrt(width * p * (1 - p)))
-    of = lambda side: nodes.select(F.col("f0").alias(side), F.array(*names).alias(f"{side}_f"))
-    pairs = candidates(nodes, chosen, similar).join(of("child"), "child").join(of("parent"), "parent")
+    each = source.mapInArrow(printed, f"key {kind}, " + ", ".join(f"{c} long" for c in [*names, "size"]))
+    nodes = durable(each.groupBy("f0").agg(F.min(F.struct("key", *names[1:], "size")).alias("s")).select("f0", "s.*"))
+    of = lambda side: nodes.select(F.col("f0").alias(side), F.array(*names).alias(f"{side}_f"), F.col("size").alias(f"{side}_size"))
     far = sum((F.bit_count(F.col("child_f")[k].bitwiseXOR(F.col("parent_f")[k])) for k in range(1, parts)), F.bit_count(F.col("child_f")[0].bitwiseXOR(F.col("parent_f")[0])))
-    pairs = pairs.select("child", "parent", far.alias("far")).where(F.col("far") <= most)
-    pairs = pairs.groupBy("child").agg(F.sort_array(F.collect_list(F.struct("far", "parent"))).alias("p"))  # as many as its entries at most
-    pairs = durable(pairs.select("child", F.posexplode("p.parent").alias("at", "parent")))
-    asked = durable(pairs.select(F.explode(F.array("child", "parent")).alias("f0")).distinct().join(nodes.select("f0", "key"), "f0"))
-    shingled = durable(source.join(F.broadcast(asked) if few(asked) else asked, "key").select("f0", "text").mapInArrow(sets, "f0 long, own binary"))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """``child, parent, far``: pairs whose whole fingerprints are near enough."""
+        both = pairs.join(of("child"), "child").join(of("parent"), "parent")
+        most = farthest(F.greatest("child_size", "parent_size"), 64 * parts, similar, F.sqrt, lambda a, b: F.greatest(a, F.lit(b)))
+        return both.where(far <= most).select("child", "parent", far.alias("far"))
 
     def checked(some: DataFrame) -> DataFrame:
+        """``a, b``: the pairs whose sets are alike."""
+        asked = durable(some.select(F.explode(F.array("child", "parent")).alias("f0")).distinct().join(nodes.select("f0", "key"), "f0"))
+        shingled = durable(source.join(F.broadcast(asked) if few(asked) else asked, "key").select("f0", "text").mapInArrow(sets, "f0 long, own binary"))
         both = some.join(shingled.select(F.col("f0").alias("child"), F.col("own").alias("x")), "child").join(shingled.select(F.col("f0").alias("parent"), F.col("own").alias("y")), "parent")
         return durable(both.select("child", "parent", "x", "y").mapInArrow(alike, "a long, b long"))
 
-    sure = checked(pairs.where(F.col("at") < CHECKED))
-    group = durable(components(sure))
-    rest = pairs.where(F.col("at") >= CHECKED)
-    for side in ("child", "parent"):
-        rest = rest.join(group.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
-    late = checked(rest.where(F.coalesce("child_root", "child") != F.coalesce("parent_root", "parent")))
-    found = components(sure.unionByName(late))
+    pairs = close(candidates(nodes, chosen, similar))
+    pairs = pairs.groupBy("child").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "parent"))), 1, CHECKED).alias("p"))  # as many as its entries at most
+    tested = durable(pairs.select("child", F.explode("p.parent").alias("parent")))
+    linked_pairs = checked(tested)
+    found = durable(components(linked_pairs))
+    large = durable(table_entries(nodes, chosen).groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("k"))
+    limit, only = NEAREST, None
+    while True:  # until no entry has members in different groups whose sets were not compared
+        grouped = nodes.join(found, nodes["f0"] == found["node"], "left").select("f0", *names[1:], "size", F.coalesce("root", "f0").alias("g"))
+        met = apart(grouped, chosen, limit, parts, large, only, similar)
+        in_order = [F.greatest("child", "parent").alias("child"), F.least("child", "parent").alias("parent")]
+        new = durable(met.where("k is null").select(*in_order).distinct().join(tested.select(*in_order), ["child", "parent"], "left_anti"))
+        more = checked(new)
+        if more.limit(1).count():
+            linked_pairs = durable(linked_pairs.unionByName(more))
+            found = durable(components(linked_pairs))
+        tested = tested.unionByName(new)
+        only = met.where("k is not null").select("k").distinct()
+        if not only.limit(1).count():
+            break
+        limit *= MORE
     kept = nodes.join(found, nodes["f0"] == found["node"], "left").groupBy(F.coalesce("root", "f0").alias("root")).agg(F.min("key").alias("__sh_key")).select("__sh_key")
     return docs.join(kept, docs[key] == kept["__sh_key"], "left_semi")

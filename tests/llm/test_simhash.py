@@ -173,3 +173,24 @@ def test_hot_keys_are_joined_without_a_shuffle(spark):
     for share in (0.001, 0.5, 1.0):
         got = {r.id: r.v for r in joined_hot(rows, values, "k", share).collect()}
         assert got == {i: "hot" if i < 900 else f"v{i}" for i in range(1000)}
+
+
+def test_no_bound_on_an_entry_loses_a_copy(spark, monkeypatch):
+    """Whatever is compared first, how many members a task compares and how many candidates one has at once, the groups are those of brute force; first candidates grow with the members."""
+    rng = random.Random(11)
+    w = [f"w{i}" for i in range(240)]
+    near = [" ".join(f"n{rng.randrange(9)}" if i in set(rng.sample(range(240), n)) else x for i, x in enumerate(w)) for n in [4, 5, 7, 9, 11, 13] * 12]
+    far = [" ".join(f"f{j}" if i % 24 == 0 else x for i, x in enumerate(w)) for j in range(30)]  # at half similarity: near by their first bits at times, never copies
+    texts = [*near, *far, *(" ".join(rng.choices(w, k=100)) for _ in range(20))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    want, pairs = jaccard_groups(texts)
+    seen = []
+    whole = simhash.candidates
+    monkeypatch.setattr(simhash, "candidates", lambda nodes, chosen, similar: seen.append((whole(nodes, chosen, similar).count(), nodes.count(), chosen[2])) or whole(nodes, chosen, similar))
+    for members, part, nearest in ((1, 4096, 1), (2, 16, 4)):
+        monkeypatch.setattr(simhash, "MEMBERS", members)
+        monkeypatch.setattr(simhash, "PART", part, raising=False)
+        monkeypatch.setattr(simhash, "NEAREST", nearest)
+        left = {r.id for r in simhash.without_near_copies(docs, "id").collect()}
+        assert left == set(want), (members, len(left), len(set(want)))
+    assert len(pairs) > 40 and all(made <= nodes * tables for made, nodes, tables in seen)
