@@ -237,8 +237,9 @@ SPREAD_BITS = np.array([sum((byte >> k & 1) << 8 * k for k in range(8)) for byte
 def wide_fingerprints(g: np.ndarray, rows: np.ndarray, n: int, parts: int) -> np.ndarray:
     """``parts`` 64-bit numbers for each of ``n`` rows: a bit is 1 if it is set in over half of the hashes of the row's shingles."""
     votes = np.zeros((n, 64 * parts), np.int64)
-    for at in range(0, len(g), 65536):
-        part, own = g[at : at + 65536], rows[at : at + 65536]
+    step = 262144 // parts  # 17 MB of counters
+    for at in range(0, len(g), step):
+        part, own = g[at : at + step], rows[at : at + step]
         raw = np.stack([mixed(part + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) for k in range(parts)], axis=1).view(np.uint8)
         begin = np.flatnonzero(np.diff(own, prepend=-1))
         place = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
