@@ -39,12 +39,10 @@ WHOLE = 12
 SPREAD = 3
 #: Members before it, in the order of the fingerprints, of which each member of an entry meets the nearest at first; what that leaves apart meets in full afterwards.
 MEMBERS = 512
-#: Members of an entry that one task compares with as many others; larger entries are dealt out in parts.
-PART = 4096
-#: Nearest members outside its group that a member meets at once; as long as some member has more, its entry comes again, with MORE times as many.
-NEAREST, MORE = 2, 2048
-#: Nearest candidates of a text whose sets of shingles are compared with its own at first; then all that are not yet in its group.
-CHECKED = 2
+#: Members of an entry or a family that one task compares with as many others, and the shingles of a family's members; more are dealt out in parts.
+PART, PART_SHINGLES = 4096, 1 << 20
+#: Nearest candidates of a text whose sets of shingles are compared with its own at first; then all of its family that are not yet in its group.
+NEAREST = 2
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -314,23 +312,78 @@ def candidates(nodes: DataFrame, tables_of: tuple[int, int, int, int], similar:
     return found.mapInArrow(by_entry(nearest), "a long, b long").distinct().select(F.col("a").alias("child"), F.col("b").alias("parent"))
 
 
-def apart(nodes: DataFrame, tables_of: tuple[int, int, int, int], limit: int, parts: int, large: DataFrame, only: DataFrame | None = None, similar: float = SIMILAR) -> DataFrame:
-    """``child, parent, k``: of each table entry the pairs of members that are near enough and lie in different groups; kept.
+def forest(f: np.ndarray, size: np.ndarray, g: np.ndarray, side: np.ndarray, similar: float, alike: Callable[[int, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Members whose pairs connect all that chains of near ones and equal groups ``g`` connect: fewer pairs than there are groups.
 
-    ``nodes`` has distinct ``f0``, the other parts and ``g``, the group. All members of an entry are compared. A member brings its ``limit`` nearest at most; rows
-    of an entry ``k`` alone say that some member of it has more. ``large``: the entries of more than PART members. ``only``: the entries (k) to look at; otherwise all. Distances are those of all
-    ``parts``. Without balls a pair comes from the first of its entries only.
+    ``f``: the parts of each member's fingerprint, two at least. Those with ``side`` meet the others; where all or none have it, all meet all. Near ones for which
+    ``alike`` (a member, others) is false do not count; it is not asked where both are connected already.
+    """
+    near, parts, mixed_sides = int(farthest(0, 128, similar, math.sqrt, max)), f.shape[1], side.any() and not side.all()
+    own, other = (np.flatnonzero(side), np.flatnonzero(~side)) if mixed_sides else (np.arange(len(f)), np.arange(len(f)))
+    root, a, b = np.unique(g, return_inverse=True)[1], [], []
+    step = max(1, (1 << 17) // max(1, len(other)))
+    for at in range(0, len(own), step):
+        mine = own[at : at + step]
+        far = np.bitwise_count(f[mine, None, 0] ^ f[None, other, 0]) + np.bitwise_count(f[mine, None, 1] ^ f[None, other, 1])
+        row, to = np.nonzero(far <= near)
+        row, to = mine[row], other[to]
+        fit = (root[row] != root[to]) & (mixed_sides | (row < to))
+        row, to = row[fit], to[fit]
+        fit = np.bitwise_count(f[row] ^ f[to]).sum(axis=1, dtype=np.int64) <= farthest(np.maximum(size[row], size[to]), 64 * parts, similar, np.sqrt, np.maximum)
+        row, to = row[fit], to[fit]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        for x, some in zip(row[first].tolist(), np.split(to, first[1:]), strict=True) if len(row) else ():
+            some = some[root[some] != root[x]]
+            if alike is not None and len(some):
+                some = some[alike(x, some)]
+            if len(some):
+                met, where = np.unique(root[some], return_index=True)
+                a += [x] * len(met)
+                b += some[where].tolist()
+                root[np.isin(root, met)] = root[x]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def by_keys(keys: list[str], compare: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function over rows sorted by ``keys`` (longs) that calls ``compare`` with all rows of a key at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            got = compare(pa.Table.from_batches(kept))
+            if got is not None:
+                yield got
+
+        last = None
+        for batch in batches:
+            own = np.stack([np.asarray(batch.column(c), dtype=np.int64) for c in keys], axis=1)
+            first = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]).any(axis=1)))) if len(own) else []
+            for at, end in zip(first, [*first[1:], len(own)], strict=True):
+                if last is not None and tuple(own[at]) != last:
+                    yield from done()
+                    kept.clear()
+                last = tuple(own[at])
+                kept.append(batch.slice(at, end - at))
+        if kept:
+            yield from done()
+
+    return run
+
+
+def pairs_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    Members outside an entry's largest group meet all of its members. Where those are over PART, either side is dealt out in parts of about that many and each part of one
-    meets each of the other in some task.
+
+def apart(nodes: DataFrame, tables_of: tuple[int, int, int, int], parts: int, large: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``a, b``: groups that connect all groups of which chains of near members in table entries connect; kept.
+
+    ``nodes`` has distinct ``f0``, the other parts and ``g``, the group. All members of an entry are compared, by all ``parts``, and give fewer pairs than it has groups.
+    ``large``: the entries of more than PART members. Their members outside the entry's largest group meet all of its members. Where those are over PART, either side is dealt out in
+    parts of about that many and each part of one meets each of the other in some task.
     """
-    near = int(farthest(0, 128, similar, math.sqrt, max))
-    width, ball, tables, _ = tables_of
-    per, mask = 64 // width, np.uint64((1 << width) - 1)
     names = [f"f{k}" for k in range(1, parts)]
     rows = table_entries(nodes, tables_of, *names, "size", "g")
-    if only is not None:
-        rows = rows.join(F.broadcast(only) if few(only) else only, "k")
     same = ["k"]
     if large.limit(1).count():
         known = F.broadcast(large) if few(large) else large
@@ -340,66 +393,61 @@ def apart(nodes: DataFrame, tables_of: tuple[int, int, int, int], limit: int, pa
         rest = rest.join(F.broadcast(main) if few(main) else main, "k")
         part = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        no = F.lit(False)
-        own = rest.where("g <> main").select("k", part("nx").alias("x"), each("ny").alias("y"), F.lit(True).alias("side"), no.alias("main"), "fp", *names, "size", "g")
-        whole = rest.select("k", each("nx").alias("x"), part("ny").alias("y"), no.alias("side"), (F.col("g") == F.col("main")).alias("main"), "fp", *names, "size", "g")
-        small = rows.join(known, "k", "left_anti").select("k", F.lit(0).alias("x"), F.lit(0).alias("y"), no.alias("side"), no.alias("main"), "fp", *names, "size", "g")
+        own = rest.where("g <> main").select("k", part("nx").alias("x"), each("ny").alias("y"), F.lit(True).alias("side"), "fp", *names, "size", "g")
+        whole = rest.select("k", each("nx").alias("x"), part("ny").alias("y"), F.lit(False).alias("side"), "fp", *names, "size", "g")
+        small = rows.join(known, "k", "left_anti").select("k", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(False).alias("side"), "fp", *names, "size", "g")
         same, rows = ["k", "x", "y"], small.unionByName(own).unionByName(whole)
 
-    def met(k: int, side: np.ndarray, f: np.ndarray, size: np.ndarray, g: np.ndarray, main: np.ndarray) -> pa.RecordBatch:
-        """One part of an entry: its own members, those with ``side``, against the others; without any, all against those before them."""
-        own, other = (np.flatnonzero(side), np.flatnonzero(~side)) if side.any() else (np.arange(len(f)), np.arange(len(f)))
-        child, parent, more = [], [], False
-        step = max(1, (1 << 17) // max(1, len(other)))
-        for at in range(0, len(own), step):
-            mine = own[at : at + step]
-            far = np.bitwise_count(f[mine, None, 0] ^ f[None, other, 0]) + np.bitwise_count(f[mine, None, 1] ^ f[None, other, 1])
-            row, to = np.nonzero(far <= near)
-            row, to = mine[row], other[to]
-            fit = (g[row] != g[to]) & (main[to] | (f[row, 0] > f[to, 0]))
-            row, to = row[fit], to[fit]
-            apart_by = f[row] ^ f[to]
-            far = np.bitwise_count(apart_by).sum(axis=1, dtype=np.int64)
-            fit = far <= farthest(np.maximum(size[row], size[to]), 64 * parts, similar, np.sqrt, np.maximum)
-            for t in range(0 if ball else k % tables):  # an earlier entry has the pair
-                fit &= (apart_by[:, t // per] >> np.uint64(t % per * width)) & mask != 0
-            far, row, to = far[fit], row[fit], to[fit]
-            by = np.lexsort((f[to, 0], far, row))
-            row, to = row[by], to[by]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            more |= bool((place >= limit).any())
-            child.append(row[place < limit])
-            parent.append(to[place < limit])
-        child, parent = (f[np.concatenate([*x, np.zeros(0, np.int64)]), 0].view(np.int64) for x in (child, parent))
-        none = [None] * int(more)
-        return pa.RecordBatch.from_arrays([pa.array([*child.tolist(), *none], pa.int64()), pa.array([*parent.tolist(), *none], pa.int64()), pa.array([None] * len(child) + [k] * int(more), pa.int64())], names=["child", "parent", "k"])
+    def met(whole: pa.Table) -> pa.RecordBatch | None:
+        size, g = (np.asarray(whole.column(c)) for c in ("size", "g"))
+        if len(g) < 2 or g.min() == g.max():
+            return None
+        side = np.asarray(whole.column("side")) if len(same) > 1 else np.zeros(len(g), bool)
+        a, b = forest(np.stack([np.asarray(whole.column(c)).view(np.uint64) for c in ("fp", *names)], axis=1), size, g, side, similar)
+        return pairs_of(g[a], g[b])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
+    found = rows.repartition(*map(F.col, same)).sortWithinPartitions(*same)
+    return durable(found.mapInArrow(by_keys(same, met), "a long, b long").distinct())
 
-        def done() -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(kept)
-            k, size, g = (np.asarray(whole.column(c)) for c in ("k", "size", "g"))
-            side, main = (np.asarray(whole.column(c)) if len(same) > 1 else np.zeros(len(k), bool) for c in ("side", "main"))
-            f = np.stack([np.asarray(whole.column(c)).view(np.uint64) for c in ("fp", *names)], axis=1)
-            if len(k) > 1 and g.min() != g.max():
-                yield met(int(k[0]), side, f, size, g, main)
 
-        last = None
-        for batch in batches:
-            keys = np.stack([np.asarray(batch.column(c), dtype=np.int64) for c in same], axis=1)
-            first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else []
-            for at, end in zip(first, [*first[1:], len(keys)], strict=True):
-                if last is not None and tuple(keys[at]) != last:
-                    yield from done()
-                    kept.clear()
-                last = tuple(keys[at])
-                kept.append(batch.slice(at, end - at))
-        if kept:
-            yield from done()
+def within_families(members: DataFrame, parts: int, similar: float = SIMILAR) -> DataFrame:
+    """``a, b``: pairs of members (``f0``) with alike sets that connect all which chains of such pairs in a ``family`` connect; kept.
 
-    found = rows.repartition(*map(F.col, same)).sortWithinPartitions(*same)
-    return durable(found.mapInArrow(run, "child long, parent long, k long"))
+    ``members`` has distinct ``f0``, the other parts, ``size``, the group ``g`` and the set, ``own``. All members of a family in different groups that are near by all ``parts`` are compared
+    by their sets where they meet, so rows grow with the members. A family of over PART members or PART_SHINGLES shingles is dealt out in parts, of which every two meet in some task.
+    """
+    names = [f"f{k}" for k in range(parts)]
+    sums = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("size") / PART_SHINGLES)).cast("int").alias("n")).where("n > 1")
+    sums = durable(sums)
+    rows = members.join(F.broadcast(sums) if few(sums) else sums, "family", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("f0"), F.col("n")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = rows.select("family", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), (F.col("part") <= F.col("with")).alias("side"), *names, "size", "g", "own")
+
+    def met(whole: pa.Table) -> pa.RecordBatch | None:
+        size, g = (np.asarray(whole.column(c)) for c in ("size", "g"))
+        if g.min() == g.max():
+            return None
+        sets = whole.column("own").to_pylist()
+        kinds, ids = np.unique(np.frombuffer(b"".join(sets), "<u8"), return_inverse=True)
+        n = np.array([len(x) // 8 for x in sets], np.int64)
+        ends, marked = np.cumsum(n), np.zeros(len(kinds), bool)
+
+        def alike(x: int, some: np.ndarray) -> np.ndarray:
+            mine = ids[ends[x] - n[x] : ends[x]]
+            marked[mine] = True
+            upto = np.cumsum(n[some])
+            of = np.repeat(ends[some] - upto, n[some]) + np.arange(upto[-1])
+            sums = np.concatenate(([0], np.cumsum(marked[ids[of]])))
+            both = sums[upto] - sums[upto - n[some]]
+            marked[mine] = False
+            return both >= similar * (n[x] + n[some] - both)
+
+        f = np.stack([np.asarray(whole.column(c)).view(np.uint64) for c in names], axis=1)
+        a, b = forest(f, size, g, np.asarray(whole.column("side")), similar, alike)
+        return pairs_of(f[a, 0].view(np.int64), f[b, 0].view(np.int64))
+
+    keys = ["family", "x", "y"]
+    return durable(rows.repartition(*map(F.col, keys)).sortWithinPartitions(*keys).mapInArrow(by_keys(keys, met), "a long, b long"))
 
 
 def without_near_copies(docs: DataFrame, key: str, text: str = "text", shingle: int = TERM, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
@@ -407,8 +455,8 @@ def without_near_copies(docs: DataFrame, key: str, text: str = "text", shingle:
 
     Two texts are near copies if their sets of ``shingle`` words have a Jaccard similarity of ``similar`` at least; groups are what chains of
     them connect. Texts without words are copies of each other; null counts as such a text. Every candidate that multi-index
-    hashing finds is checked by its sets unless both texts are in one group already: first each text's CHECKED nearest by whole distances of those that ``candidates`` gives,
-    then all that ``apart`` gives until it has no more. No rows give no rows.
+    hashing finds is checked by its sets unless both texts are in one group already: first each text's NEAREST by whole distances of those that ``candidates`` gives.
+    Groups that chains of near texts connect, by ``apart``, are then a family, in which all near texts of different groups are compared. No rows give no rows.
     """
     chosen = plan(docs.count(), similar, recall)
     parts = max(chosen[-1], WHOLE)
@@ -453,33 +501,28 @@ def without_near_copies(docs: DataFrame, key: str, text: str = "text", shingle:
         most = farthest(F.greatest("child_size", "parent_size"), 64 * parts, similar, F.sqrt, lambda a, b: F.greatest(a, F.lit(b)))
         return both.where(far <= most).select("child", "parent", far.alias("far"))
 
+    def with_sets(asked: DataFrame, *more: str) -> DataFrame:
+        """``f0, own`` and other columns of ``asked`` (f0, key): the sets of some texts."""
+        texts = source.join(F.broadcast(asked.select("f0", "key")) if few(asked) else asked.select("f0", "key"), "key").select("f0", "text")
+        shingled = durable(texts.mapInArrow(sets, "f0 long, own binary"))
+        return shingled.join(asked.select("f0", *more), "f0") if more else shingled
+
     def checked(some: DataFrame) -> DataFrame:
         """``a, b``: the pairs whose sets are alike."""
-        asked = durable(some.select(F.explode(F.array("child", "parent")).alias("f0")).distinct().join(nodes.select("f0", "key"), "f0"))
-        shingled = durable(source.join(F.broadcast(asked) if few(asked) else asked, "key").select("f0", "text").mapInArrow(sets, "f0 long, own binary"))
+        shingled = with_sets(durable(some.select(F.explode(F.array("child", "parent")).alias("f0")).distinct().join(nodes.select("f0", "key"), "f0")))
         both = some.join(shingled.select(F.col("f0").alias("child"), F.col("own").alias("x")), "child").join(shingled.select(F.col("f0").alias("parent"), F.col("own").alias("y")), "parent")
         return durable(both.select("child", "parent", "x", "y").mapInArrow(alike, "a long, b long"))
 
     pairs = close(candidates(nodes, chosen, similar))
-    pairs = pairs.groupBy("child").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "parent"))), 1, CHECKED).alias("p"))  # as many as its entries at most
-    tested = durable(pairs.select("child", F.explode("p.parent").alias("parent")))
-    linked_pairs = checked(tested)
+    pairs = pairs.groupBy("child").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "parent"))), 1, NEAREST).alias("p"))  # as many as its entries at most
+    linked_pairs = checked(durable(pairs.select("child", F.explode("p.parent").alias("parent"))))
     found = durable(components(linked_pairs))
     large = durable(table_entries(nodes, chosen).groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("k"))
-    limit, only = NEAREST, None
-    while True:  # until no entry has members in different groups whose sets were not compared
-        grouped = nodes.join(found, nodes["f0"] == found["node"], "left").select("f0", *names[1:], "size", F.coalesce("root", "f0").alias("g"))
-        met = apart(grouped, chosen, limit, parts, large, only, similar)
-        in_order = [F.greatest("child", "parent").alias("child"), F.least("child", "parent").alias("parent")]
-        new = durable(met.where("k is null").select(*in_order).distinct().join(tested.select(*in_order), ["child", "parent"], "left_anti"))
-        more = checked(new)
-        if more.limit(1).count():
-            linked_pairs = durable(linked_pairs.unionByName(more))
-            found = durable(components(linked_pairs))
-        tested = tested.unionByName(new)
-        only = met.where("k is not null").select("k").distinct()
-        if not only.limit(1).count():
-            break
-        limit *= MORE
+    grouped = nodes.join(found, nodes["f0"] == found["node"], "left").select("key", *names, "size", F.coalesce("root", "f0").alias("g"))
+    families = components(apart(grouped, chosen, parts, large, similar)).select(F.col("node").alias("g"), F.col("root").alias("family"))
+    members = durable(grouped.join(F.broadcast(families) if few(families) else families, "g"))
+    more = within_families(with_sets(members, *names[1:], "size", "g", "family"), parts, similar)
+    if more.limit(1).count():
+        found = durable(components(linked_pairs.unionByName(more)))
     kept = nodes.join(found, nodes["f0"] == found["node"], "left").groupBy(F.coalesce("root", "f0").alias("root")).agg(F.min("key").alias("__sh_key")).select("__sh_key")
     return docs.join(kept, docs[key] == kept["__sh_key"], "left_semi")

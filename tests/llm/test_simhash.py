@@ -194,3 +194,21 @@ def test_no_bound_on_an_entry_loses_a_copy(spark, monkeypatch):
         left = {r.id for r in simhash.without_near_copies(docs, "id").collect()}
         assert left == set(want), (members, len(left), len(set(want)))
     assert len(pairs) > 40 and all(made <= nodes * tables for made, nodes, tables in seen)
+
+
+def test_a_family_of_borderline_texts_gives_no_pairs(spark, monkeypatch):
+    """Texts that are near by fingerprint and not by sets: no kept table grows with their pairs, and the groups are those of brute force, whether a family is dealt out or not."""
+    rng = random.Random(3)
+    w = [f"w{i}" for i in range(240)]
+    texts = [" ".join(f"n{j}" if i in places else x for i, x in enumerate(w)) for j in range(150) for places in [set(rng.sample(range(2, 240, 6), 4))]]
+    texts += [t.replace("w0 ", "v ") for t in texts[:9]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want, pairs = jaccard_groups(texts)
+    seen, whole = [], simhash.durable
+    monkeypatch.setattr(simhash, "durable", lambda rows: seen.append(whole(rows)) or seen[-1])
+    for shingles_of_a_part in (1 << 20, 9000):
+        monkeypatch.setattr(simhash, "PART_SHINGLES", shingles_of_a_part, raising=False)
+        assert {r.id for r in simhash.without_near_copies(docs, "id").collect()} == set(want)
+        assert max(rows.count() for rows in seen) <= len(texts) * simhash.plan(len(texts))[2]
+        seen.clear()
+    assert len(pairs) >= 9 and len(set(want)) > 100
