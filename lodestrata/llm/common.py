@@ -16,6 +16,8 @@ from lodestrata.lineage import durable, shared_dir
 
 #: Text bytes that one vectorised step of a Python worker handles; a single longer text is a step of its own.
 SLICE_BYTES = 4 << 20
+#: The same for steps whose arrays of numbers take some fifty times the bytes of their text.
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import durable, slices
+from lodestrata.llm.common import STEP_BYTES, durable, slices
 from lodestrata.llm.tokens import PUNCTUATION, grams, word_hashes
 
 #: Words of a seed.
@@ -149,7 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             items = sent.value
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", STEP_BYTES):
                     h, rows = folded(part.column("text"))
                     found = matches(h, rows, items, least) if len(h) else []
                     if found:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import buffers, slices
+from lodestrata.llm.common import STEP_BYTES, buffers, slices
 from lodestrata.llm.tokens import LOWER, SPACE
 
 LONGEST, END = 4096, 2
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordIds(tokenizer_path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP_BYTES):
                 ids, ends = coder(part.column("text"))
                 rows, at = [], 0
                 for k, end in enumerate(ends.tolist()):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import buffers, durable, slices
+from lodestrata.llm.common import STEP_BYTES, buffers, durable, slices
 from lodestrata.llm.tokens import PUNCTUATION, SPACE, word_hashes
 
 #: Labelled rows that the document model is fitted on, at most.
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP_BYTES):
                 h, rows, _ = entries(part.column("text"))
                 key, at = np.unique(h, return_inverse=True)
                 pair, times = np.unique(at * part.num_rows + rows, return_counts=True)
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP_BYTES):
                 x = features(part.column("text"), lexicon, weight)
                 yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())), part.column("low"), part.column("toxic")], names=["x", *HEADS])
 
@@ -201,7 +201,7 @@ def evidence(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, STEP_BYTES):
                 z = (features(part.column(text), m.lexicon, m.weight) - m.mean) / m.scale
                 out = np.clip(z @ m.beta[1:] + m.beta[0], -12, 12)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out[:, 0]), pa.array(out[:, 1])], names=[*part.schema.names, "__low", "__toxic"])

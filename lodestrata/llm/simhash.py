@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import components, durable, joined_hot, slices
+from lodestrata.llm.common import STEP_BYTES, components, durable, joined_hot, slices
 from lodestrata.llm.lines import few
 from lodestrata.llm.tokens import grams, mixed, word_hashes
 
@@ -464,7 +464,7 @@ def without_near_copies(docs: DataFrame, key: str, text: str = "text", shingle:
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP_BYTES):
                 g, rows = shingle_sets(part.column("text"), shingle)
                 fps = wide_fingerprints(g, rows, part.num_rows, parts).view(np.int64)
                 size = pa.array(np.bincount(rows, minlength=part.num_rows), pa.int64())
@@ -472,7 +472,7 @@ def without_near_copies(docs: DataFrame, key: str, text: str = "text", shingle:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP_BYTES):
                 g, rows = shingle_sets(part.column("text"), shingle)
                 data = pa.py_buffer(g.astype("<u8").tobytes())
                 ends = 8 * np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=part.num_rows))))
