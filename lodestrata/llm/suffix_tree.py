@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import buffers, durable, slices, written
+from lodestrata.llm.common import STEP_BYTES, buffers, durable, slices, written
 from lodestrata.llm.tokens import LOWER, SPACE, mixed, weighed_words
 
 #: Occurrences of a context, and of a next symbol after it, from which on they are counted.
@@ -164,7 +164,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP_BYTES):
                 h, _, place, _ = framed(part.column("text"))
                 key, n = np.unique(h[place > 0], return_counts=True)
                 letters = np.bincount(LOWER[buffers(part.column("text"))[0]], minlength=256)
@@ -201,7 +201,7 @@ def sequence_counts(texts: DataFrame, length: int, contexts: np.ndarray, suffixe
                 yield pa.RecordBatch.from_arrays([signed(a[some]), pa.array(salt[some]), signed(b[some]), pa.array(n[some])], names=["context", "salt", "suffix", "n"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP_BYTES):
                 h, _, place, _ = framed(part.column("text"))
                 whole = sequences(h, length - 1)[-1]
                 at = np.flatnonzero(place >= length - 1)
@@ -311,7 +311,7 @@ def score(docs: DataFrame, tree: Tree, doc_id: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP_BYTES):
                 size = part.num_rows
                 h, rows, place, sums = framed(part.column("text"), m.spread[:256].take(LOWER))
                 sums += m.spread[256]
