@@ -18,6 +18,8 @@ from lodestrata.lineage import durable, shared_dir
 SLICE_BYTES = 4 << 20
 #: The same for steps whose arrays of numbers take some fifty times the bytes of their text.
 STEP_BYTES = 1 << 20
+#: Edges that a task of a round of ``components`` takes, and how many tasks a round has at least.
+EDGES, TASKS = 50_000, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,19 +72,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each round needs only the minimum over a node's
     neighbours, combined before the shuffle, and a join of the edges with those minima, so a hub's
-    neighbours never meet in one task's memory. Every round is cut by a checkpoint. Nodes without an
-    edge do not appear; loops are ignored; an empty input gives an empty result.
+    neighbours never meet in one task's memory. Every round is cut by a checkpoint. A round has tasks by the
+    number of edges, not by that of shuffle partitions: a shuffle of few rows between many tasks is mostly empty
+    blocks of files. Nodes without an edge do not appear; loops are ignored; an empty input gives an empty result.
     """
     edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    state, tasks = None, max(TASKS, -(-edges.count() // EDGES))
     for _ in range(most_rounds):
+        edges = edges.coalesce(tasks)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).coalesce(tasks)
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
+        large = large.where("a <> b").distinct().coalesce(tasks)
+        low = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = durable(small.where("a <> b").distinct())
+        edges = durable(small.where("a <> b").coalesce(tasks).distinct().coalesce(tasks))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -212,3 +212,20 @@ def test_a_family_of_borderline_texts_gives_no_pairs(spark, monkeypatch):
         assert max(rows.count() for rows in seen) <= len(texts) * simhash.plan(len(texts))[2]
         seen.clear()
     assert len(pairs) >= 9 and len(set(want)) > 100
+
+
+def test_rounds_of_components_have_tasks_by_their_edges(spark):
+    from lodestrata.llm import common
+
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = common.components(spark.createDataFrame([(k + 1, k) for k in range(300) if k % 10 != 9], "a long, b long"))
+        assert got.select("node").distinct().count() == 300
+        assert {(r.node // 10 * 10, r.root) for r in got.collect()} == {(k, k) for k in range(0, 300, 10)}
+        assert got.inputFiles() == [] and got.where("node <> root").rdd.getNumPartitions() <= common.TASKS + 64  # roots are made distinct by one more shuffle
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
