@@ -199,3 +199,18 @@ def test_postings_are_made_where_units_are_read(spark, tmp_path):
     finally:
         lexical.RUN_BYTES = old
     assert {(r.channel, r.term, r.id): (r.length, list(r.positions)) for r in again} == got
+
+
+def test_bounds_of_blocks_are_found_without_a_shuffle(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [("text", f"w{k // 700}", f"u{k}", k % 5 + 1, k % 90 + 9, [k], k >> lexical.BLOCK_BITS) for k in range(21_000)]
+    spark.createDataFrame(rows, lexical.POSTINGS).coalesce(1).write.parquet(f"{tmp_path}/p")
+    postings = spark.read.schema(lexical.POSTINGS).parquet(f"{tmp_path}/p")
+    got = lexical._bounds(postings)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    keys = ["channel", "term", "block"]
+    want = postings.groupBy(*keys).agg(F.count("*").alias("units"), F.max("count").alias("most"), F.min("length").alias("least"))
+    whole = got.groupBy(*keys).agg(F.sum("units").alias("units"), F.max("most").alias("most"), F.min("least").alias("least"))
+    assert sorted(whole.collect()) == sorted(want.collect())
+    assert got.count() <= want.count() + 2  # three batches
