@@ -147,3 +147,19 @@ def test_aliases_are_met_on_more_than_their_first_word(spark, monkeypatch, most)
     texts = spark.createDataFrame([("a", "see the n5 end1 and the n5 end1"), ("b", "the n5 end12"), ("c", "end1 the"), ("d", "the")], "id string, h string")
     got = sorted((r.id, r.alias) for r in linker.candidates(texts, names).collect())
     assert got == [("a", "the"), ("a", "the n5"), ("a", "the n5 end1"), ("b", "the"), ("b", "the n5"), ("c", "the"), ("d", "the")]
+
+
+def test_only_words_that_may_begin_an_alias_are_shuffled(spark, monkeypatch, request):
+    """Each word of the texts begins aliases, but few sequences of words are those of one; the shuffle has little more than these."""
+    monkeypatch.setattr(linker, "MOST_BROADCAST", 0)
+    for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(c, -1)
+        request.addfinalizer(lambda c=c: spark.conf.unset(c))
+    names = spark.range(400).selectExpr("concat('w', id % 20, ' v', id, ' end') as alias", "concat('e', id) as entity_id")
+    words = "concat_ws(' ', transform(sequence(1, 200), i -> concat('w', (id * 7 + i * 11) % 20)))"
+    texts = linker.written(spark.range(2000).selectExpr("format_string('t%04d', id) as id", f"if(id % 100 = 0, concat({words}, ' w3 v23 end'), {words}) as h"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    began = written()
+    got = sorted(tuple(r) for r in linker.candidates(texts, names).select("id", "alias").collect())
+    assert got == [(f"t{i:04d}", "w3 v23 end") for i in range(0, 2000, 100)]
+    assert written() - began < 120_000  # of 400,000 words
