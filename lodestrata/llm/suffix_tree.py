@@ -8,7 +8,7 @@ suffix's (Witten-Bell), the shortest towards discounted word counts, and those t
 or not, together have a probability of one at most. A token is scored from the longest kept suffix of what precedes it.
 
 Counting is distributed and covers all training texts. Each length is one pass, which leaves out sequences whose two
-parts can't be frequent enough; it knows them by bit tables of a fixed size. Workers get the most frequent rows of the
+parts can't be frequent enough; it knows them by bit tables of a bounded size. Workers get the most frequent rows of the
 tree, HOT_ROWS at most; what a token needs beyond them is joined with the rest of the table.
 """
 
@@ -23,18 +23,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import STEP_BYTES, buffers, durable, slices, written
+from lodestrata.lineage import durable, written
+from lodestrata.llm.common import STEP_BYTES, buffers, slices
 from lodestrata.llm.tokens import LOWER, SPACE, mixed, weighed_words
+from lodestrata.operators import members
 
 #: Occurrences of a context, and of a next symbol after it, from which on they are counted.
 LEAST_CONTEXT, LEAST_NEXT = 100, 10
 DEPTH = 3
 #: What each next symbol that a context stores must pay in nats, over all its occurrences.
 PRICE = 2.0
-#: Rows of the tree that every worker gets, the most frequent ones.
+#: Rows of the tree that every worker gets, the most frequent contexts, in half of them at most, and the most frequent others.
 HOT_ROWS = 2_000_000
-#: Binary logarithm of the bits of a table that says which hashes may be frequent.
-BITS = 24
 #: Sequences that a task sums before it sends them on, and the most of them in one batch.
 HELD, SENT = 1_000_000, 100_000
 #: Contexts with more than this share of the tokens, of which there are 1 / SHARE at most, are dealt out by the first bits of the next symbol too.
@@ -49,13 +49,14 @@ class Tree:
 
     ``own`` is what a context itself gives to a next symbol, keyed by the hash of both; ``bow``, keyed by the context's
     hash, the weight of its suffix's distribution. ``keys, n, own, bow`` are the hot rows, sorted by key; rarer rows are
-    in ``cold`` (None: there are none), and ``cold_bits`` tells which hashes may be there. ``spread`` has log10
+    in ``cold`` (None: there are none), and ``cold_own`` and ``cold_bow``, tables of ``members``, tell which hashes may have an own or a bow there (``cold_contexts``: some have a bow). ``spread`` has log10
     probabilities of 256 bytes and the end of a word, ``known_from`` the count from which all words are among the hot rows.
     """
 
     words: DataFrame
     facts: DataFrame
     cold: DataFrame | None
+    cold_contexts: bool
     train_tokens: int
     distinct: int
     discount: float
@@ -79,7 +80,8 @@ class Hot:
     own: np.ndarray
     bow: np.ndarray
     spread: np.ndarray
-    cold_bits: np.ndarray | None
+    cold_own: tuple[np.ndarray, int] | None
+    cold_bow: tuple[np.ndarray, int] | None
     train_tokens: int
     distinct: int
     discount: float
@@ -141,18 +143,9 @@ def sequences(h: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
-def bits_of(rows: DataFrame, key: str = "key") -> np.ndarray:
-    """A table of 2**BITS bits, set for the hashes in ``rows``; it may be set for others too. Combined before it reaches the driver."""
-    slot = F.shiftrightunsigned(key, 64 - (BITS - 6)).alias("slot")
-    own = F.expr(f"shiftleft(1L, cast({key} & 63 as int))")
-    found = rows.groupBy(slot).agg(F.bit_or(own).alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    out[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return out
-
-
-def maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return (bits[(h >> np.uint64(64 - (BITS - 6))).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+def bits_of(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """A table of ``members`` for the keys of ``rows``."""
+    return members.table_of(rows.select("key"), rows.count())
 
 
 def signed(h: np.ndarray) -> pa.Array:
@@ -176,7 +169,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def sequence_counts(texts: DataFrame, length: int, contexts: np.ndarray, suffixes: np.ndarray, hot: np.ndarray) -> DataFrame:
+def sequence_counts(texts: DataFrame, length: int, contexts: tuple[np.ndarray, int], suffixes: tuple[np.ndarray, int], hot: np.ndarray) -> DataFrame:
     """``key, context, suffix, n`` of sequences of ``length`` symbols with LEAST_NEXT occurrences; both bit tables must have their parts.
 
     Tasks send what follows a context in one run, whose rows compress well, and to one task. ``hot`` has the hashes of contexts whose followers are dealt out among tasks.
@@ -206,8 +199,8 @@ def sequence_counts(texts: DataFrame, length: int, contexts: np.ndarray, suffixe
                 whole = sequences(h, length - 1)[-1]
                 at = np.flatnonzero(place >= length - 1)
                 a, b = whole[at - 1], whole[at]
-                on = maybe(of_context, a)
-                on &= maybe(of_suffix, b)
+                on = members.set_in(*of_context, a)
+                on[on] = members.set_in(*of_suffix, b[on])
                 held.append((a[on], b[on]))
                 if sum(len(x[0]) for x in held) >= HELD:
                     yield from summed()
@@ -272,19 +265,28 @@ def train(docs: DataFrame, text: str = "text", depth: int = DEPTH, price: float
         parts.append(kept.select("key", F.lit(None).cast("long").alias("n"), F.col("n").alias("weight"), none.alias("own"), "bow"))
         contexts = below.where(F.col("n") >= LEAST_CONTEXT).select("key", "n")
     facts = durable(reduce(DataFrame.unionByName, parts).groupBy("key").agg(*[F.max(c).alias(c) for c in ("n", "weight", "own", "bow")]))
-    least = frequent_from(facts, most)
-    hot = facts.where(F.col("weight") >= least)
+    # contexts have up to half of the rows before others: without them a worker can't tell what else a token needs
+    contexts = F.col("bow").isNotNull()
+    least_context = frequent_from(facts.where(contexts), most // 2)
+    least = frequent_from(facts.where(~contexts), most - facts.where(contexts & (F.col("weight") >= least_context)).count())
+    is_hot = F.col("weight") >= F.when(contexts, least_context).otherwise(least)
+    hot = facts.where(is_hot)
     hot = hot.select("key", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("own").cast("float"), F.lit(float("nan"))).alias("own"), F.coalesce(F.col("bow").cast("float"), F.lit(float("nan"))).alias("bow")).toArrow()
-    cold = facts.where(F.col("weight") < least).drop("weight") if least > LEAST_NEXT else None
+    least = max(least, least_context)
+    cold = facts.where(~is_hot).drop("weight") if least > LEAST_NEXT else None
     key = hot["key"].to_numpy().view(np.uint64)
     order = np.argsort(key)
     values = [np.asarray(hot[c].to_numpy(), dtype=t)[order] for c, t in (("n", np.int64), ("own", np.float32), ("bow", np.float32))]
-    sent = spark.sparkContext.broadcast(Hot(key[order], *values, spread, None if cold is None else bits_of(cold.where("own is not null or bow is not null")), total, distinct, discount, depth))
-    return Tree(words, facts, cold, total, distinct, discount, depth, least, sent)
+    bits: list = [None, None]
+    if cold is not None:
+        bits = [bits_of(cold.where(F.col(c).isNotNull())) for c in ("own", "bow")]
+        bits = bits if bits[1][0].any() else [bits[0], None]
+    sent = spark.sparkContext.broadcast(Hot(key[order], *values, spread, *bits, total, distinct, discount, depth))
+    return Tree(words, facts, cold, bits[1] is not None, total, distinct, discount, depth, least, sent)
 
 
 def frequent_from(facts: DataFrame, most: int) -> int:
-    """The least weight, LEAST_NEXT or more, from which on ``facts`` has ``most`` rows at most; weights are told apart to a sixteenth of their binary logarithm."""
+    """The least weight, LEAST_NEXT or more, from which on ``facts`` has ``most`` rows at most; LEAST_NEXT: all of them. Weights are told apart to a sixteenth of their binary logarithm."""
     step = F.floor(F.log2(F.col("weight").cast("double")) * 16).alias("step")
     at, left = 1 << 62, most
     for r in facts.groupBy(step).agg(F.count("*").alias("rows"), F.min("weight").alias("least")).orderBy(F.desc("step")).collect():
@@ -317,30 +319,38 @@ def score(docs: DataFrame, tree: Tree, doc_id: str = "doc_id", text: str = "text
                 sums += m.spread[256]
                 grams = sequences(h, depth + 1)
                 found = [m.look(grams[0])]
-                open_ = np.zeros(len(h), bool)
+                open_, hard = np.zeros(len(h), bool), np.zeros(len(h), bool)
                 p = np.ones(len(h))
                 n = np.where(found[0] >= 0, m.n[found[0]], 0) if len(m.keys) else np.zeros(len(h), np.int64)
                 known = n > 0
                 p[known] = (n[known] - m.discount) / m.train_tokens
+                given = np.where(known, p, 0.0)  # what is known of the probability
                 facts: dict[str, np.ndarray] = {}
+                weights: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for d in range(1, depth + 1):
                     here = np.flatnonzero(place >= d)
                     context = found[d - 1][here - 1]
                     bow = np.where(context >= 0, m.bow[context], np.nan) if len(m.keys) else np.full(len(here), np.nan)
-                    on = np.ones(len(here), bool) if m.cold_bits is not None or d < depth else ~np.isnan(bow)
+                    on = np.ones(len(here), bool) if m.cold_own is not None or d < depth else ~np.isnan(bow)
                     at = np.full(len(h), -1)
                     at[here[on]] = m.look(grams[d][here[on]])
                     found.append(at)
                     own = np.where(at[here] >= 0, m.own[at[here]], np.nan) if len(m.keys) else np.full(len(here), np.nan)
-                    if m.cold_bits is not None:
-                        for name, value, got, key in (("own", own, at[here], grams[d][here]), ("bow", bow, context, grams[d - 1][here - 1])):
-                            ask = (got < 0) & maybe(m.cold_bits, key)
+                    if m.cold_own is not None:
+                        ask_bow = (context < 0) & members.set_in(*m.cold_bow, grams[d - 1][here - 1]) if m.cold_bow is not None else np.zeros(len(here), bool)
+                        ask_own = (at[here] < 0) & (ask_bow | ~np.isnan(bow))  # else the context isn't kept, and has nothing of its own
+                        ask_own[ask_own] = members.set_in(*m.cold_own, grams[d][here[ask_own]])
+                        hard[here[ask_bow]] = True
+                        for name, value, ask, key in (("own", own, ask_own, grams[d][here]), ("bow", bow, ask_bow, grams[d - 1][here - 1])):
                             open_[here[ask]] = True
                             facts[slot(name, d)], facts[f"{slot(name, d)}_key"] = np.full(len(h), np.nan), np.zeros(len(h), np.uint64)
                             facts[slot(name, d)][here], facts[f"{slot(name, d)}_key"][here] = value, np.where(ask, key, 0)
                     kept = ~np.isnan(bow)
                     p[here[kept]] = np.nan_to_num(own[kept].astype(np.float64)) + bow[kept] * p[here[kept]]
+                    given[here[kept]] = np.nan_to_num(own[kept].astype(np.float64)) + bow[kept] * given[here[kept]]
+                    weights.append((here, kept, bow))
                 token = place > 0
+                open_ |= ~known & (given > 0)  # the word's own count matters to the sum
                 sure, asked = token & ~open_, token & open_
                 base = np.full(len(h), -np.log10(whole))
                 base[known] += np.log10(n[known] + 1.0)
@@ -350,8 +360,15 @@ def score(docs: DataFrame, tree: Tree, doc_id: str = "doc_id", text: str = "text
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([signed(h[rare]), pa.array(sums[rare]), pa.array(sure[rare])], ["key", "letters", "alone"]))
                 cols = [part.column("doc_id"), pa.array(np.bincount(rows[token], minlength=size)), pa.array(np.bincount(rows[token & known], minlength=size)), pa.array(np.bincount(rows[token], base[token], size)), pa.array(np.bincount(rows[sure], np.log10(p[sure]), size)), lists]
                 names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "rare"]
-                if m.cold_bits is not None:
-                    some = np.flatnonzero(asked)
+                if m.cold_own is not None:
+                    asks = asked_for(asked & ~hard, known, h, given, sums, weights, facts)
+                    asks = asks[np.argsort(rows[asks["token"]], kind="stable")]
+                    ends = np.concatenate(([0], np.cumsum(np.bincount(rows[asks["token"]], minlength=size)))).astype(np.int32)
+                    each = [pa.array(asks["at"]), signed(asks["key"]), pa.array(asks["base"]), pa.array(asks["coef"]), pa.array(asks["letters"], from_pandas=True)]
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(each, ["at", "key", "base", "coef", "letters"])))
+                    names.append("asks")
+                if m.cold_bow is not None:
+                    some = np.flatnonzero(asked & hard)
                     ends = np.concatenate(([0], np.cumsum(np.bincount(rows[some], minlength=size)))).astype(np.int32)
                     fields = {"word": signed(h[some]), "letters": pa.array(sums[some]), "n": pa.array(n[some])}
                     for v in values:
@@ -364,25 +381,72 @@ def score(docs: DataFrame, tree: Tree, doc_id: str = "doc_id", text: str = "text
     kind = dict(source.dtypes)["doc_id"]
     cold = tree.cold is not None
     field = "word: bigint, letters: double, n: bigint, " + ", ".join(f"{v}: double, {v}_key: bigint" for v in values)
-    schema = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<struct<key: bigint, letters: double, alone: boolean>>" + (f", open array<struct<{field}>>" if cold else "")
+    ask = "array<struct<at: int, key: bigint, base: double, coef: double, letters: double>>"
+    schema = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<struct<key: bigint, letters: double, alone: boolean>>" + (f", asks {ask}" if cold else "") + (f", open array<struct<{field}>>" if tree.cold_contexts else "")
     parts = written(source.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()))
     asked = parts.select("__row", F.explode("rare").alias("r")).select("__row", "r.*")
     few = tree.words.where(F.col("n") < tree.known_from)
     n = F.coalesce("n", F.lit(0))
     found = asked.join(few, "key", "left").groupBy("__row").agg(F.count_if(n > 0).alias("__k"), F.sum(F.log10(n + 1)).alias("__b"), F.sum(F.when(F.col("alone"), tree.word_log10(n, F.col("letters"))).otherwise(0.0)).alias("__s"))
-    out = parts.drop("rare", "open").join(found, "__row", "left")
+    out = parts.drop("rare", "asks", "open").join(found, "__row", "left")
     added = F.coalesce("__s", F.lit(0.0))
     if cold:
-        out = out.join(joined(parts, tree, values), "__row", "left")
+        sums = weighed(parts, tree)
+        sums = sums.unionByName(joined(parts, tree, values)) if tree.cold_contexts else sums
+        out = out.join(sums.groupBy("__row").agg(F.sum("__t").alias("__t")), "__row", "left")
         added += F.coalesce("__t", F.lit(0.0))
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("__k", F.lit(0))).alias("n_known"), (F.col("base_score") + F.coalesce("__b", F.lit(0.0))).alias("base_score"), (F.col("score") + added).alias("score"))
 
 
+#: What is looked up for a token: ``at`` names the token in its row if it has more than one, and is -1 otherwise.
+ASK = np.dtype([("token", np.int64), ("at", np.int32), ("key", np.uint64), ("base", np.float64), ("coef", np.float64), ("letters", np.float64)])
+
+
+def asked_for(some: np.ndarray, known: np.ndarray, h: np.ndarray, given: np.ndarray, sums: np.ndarray, weights: list[tuple[np.ndarray, np.ndarray, np.ndarray]], facts: dict[str, np.ndarray]) -> np.ndarray:
+    """What to look up for ``some`` tokens, all of whose kept contexts are known: the probability is then what is ``given``, the first one's ``base``, and for
+    each row that is looked up its value times ``coef``, the product of the weights of the longer contexts. Words that aren't ``known`` are looked up too; they
+    have ``letters``."""
+    coef, out = np.ones(len(h)), []
+    for d in range(len(weights), 0, -1):
+        here, kept, bow = weights[d - 1]
+        token = np.flatnonzero(some & (facts[f"{slot('own', d)}_key"] != 0))
+        out.append((token, facts[f"{slot('own', d)}_key"][token], coef[token], np.full(len(token), np.nan)))
+        coef[here[kept]] *= bow[kept]
+    token = np.flatnonzero(some & ~known)
+    out.append((token, h[token], coef[token], sums[token]))
+    asks = np.zeros(sum(len(x[0]) for x in out), ASK)
+    for name, values in zip(("token", "key", "coef", "letters"), zip(*out, strict=True), strict=True):
+        asks[name] = np.concatenate(values)
+    token, first, times = np.unique(asks["token"], return_index=True, return_counts=True)
+    asks["base"][first] = given[token]
+    asks["at"] = np.where(np.bincount(asks["token"], minlength=len(h))[asks["token"]] > 1, asks["token"], -1)
+    return asks
+
+
+def rare_rows(tree: Tree) -> DataFrame:
+    """What workers don't have: rows of the tree and words of few occurrences."""
+    return tree.cold.unionByName(tree.words.where(F.col("n") < LEAST_NEXT).select("key", "n", *[F.lit(None).cast("double").alias(c) for c in ("own", "bow")]))
+
+
+def weighed(parts: DataFrame, tree: Tree) -> DataFrame:
+    """``__row, __t``: sums of log10 probabilities of the tokens whose contexts are known, from what they lack (``asked_for``); nothing else of a token is shuffled."""
+    asked = parts.select("__row", F.explode("asks").alias("a")).select("__row", "a.*")
+    got = asked.join(rare_rows(tree).select("key", "n", "own"), "key", "left")
+    word, unseen = F.col("letters").isNotNull(), F.coalesce("n", F.lit(0)) == 0
+    low = tree.word_log10(F.coalesce("n", F.lit(0)), F.col("letters"))
+    value = F.when(word, F.pow(F.lit(10.0), low)).otherwise(F.coalesce("own", F.lit(0.0)))
+    # a word of very many bytes has a probability that no number can hold
+    got = got.select("__row", "at", (F.col("base") + F.col("coef") * value).alias("p"), F.when(word & unseen, F.log10("coef") + low).alias("low"))
+    one, whole = F.col("at") < 0, lambda p, low: F.when(p > 0, F.log10(p)).otherwise(low)
+    each = got.groupBy("__row", "at").agg(F.sum(F.when(one, whole(F.col("p"), F.col("low")))).alias("t"), F.sum(F.when(~one, F.col("p"))).alias("p"), F.max(F.when(~one, F.col("low"))).alias("low"))
+    return each.select("__row", F.when(one, F.col("t")).otherwise(whole(F.col("p"), F.col("low"))).alias("__t"))
+
+
 def joined(parts: DataFrame, tree: Tree, values: list[str]) -> DataFrame:
-    """``__row, __t``: log10 probabilities of the tokens that need rows of the tree which workers don't have. A hot row is never asked
+    """``__row, __t``: log10 probabilities of the tokens that need contexts which workers don't have. A hot row is never asked
     for, so no key that is asked for has more than its share of the tokens, whatever the corpus."""
     tokens = parts.select("__row", F.posexplode("open").alias("__at", "t")).select("__row", "__at", "t.*")
-    facts = tree.cold.unionByName(tree.words.where(F.col("n") < LEAST_NEXT).select("key", "n", *[F.lit(None).cast("double").alias(c) for c in ("own", "bow")]))
+    facts = rare_rows(tree)
     asks = [F.struct(F.lit(v).alias("slot"), F.col(f"{v}_key").alias("key")) for v in values] + [F.struct(F.lit("n").alias("slot"), F.when(F.col("n") == 0, F.col("word")).otherwise(F.lit(0)).alias("key"))]
     asked = tokens.select("__row", "__at", F.explode(F.filter(F.array(*asks), lambda a: a["key"] != 0)).alias("a")).select("__row", "__at", "a.*")
     got = asked.join(facts, "key").groupBy("__row", "__at").agg(F.max(F.when(F.col("slot") == "n", F.col("n"))).alias("__n"), *[F.max(F.when(F.col("slot") == v, F.col(v[:3]))).alias(f"__{v}") for v in values])

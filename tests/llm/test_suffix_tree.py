@@ -155,3 +155,18 @@ def test_odd_rows(spark):
     empty = st.train(spark.createDataFrame([], "text string"))
     got = st.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), empty).first()
     assert got.n_known == 0 and got.score < 0
+
+
+def test_rare_rows_cost_what_they_are_asked_for(spark, low, monkeypatch):
+    """Where workers have all contexts, a token sends the keys that it lacks and their weights, not all that is known of it; the scores are those of the whole tree."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 4 = 0")
+    all_ = st.train(docs)
+    tree = st.train(docs, hot_rows=2 * all_.facts.where("bow is not null").count())
+    kept, real = [], st.written
+    monkeypatch.setattr(st, "written", lambda df: kept.append(real(df)) or kept[-1])
+    got = {r.doc_id: r for r in st.score(docs, tree).collect()}
+    for r in st.score(docs, all_).collect():
+        assert got[r.doc_id].n_known == r.n_known and got[r.doc_id].score == pytest.approx(r.score, rel=1e-5)
+    sizes = kept[0].selectExpr(*[f"sum(size({c})) as {c}" for c in ("open", "asks") if c in kept[0].columns]).first().asDict()
+    assert not sizes.get("open", 0)
+    assert 0 < sizes["asks"] < sum(r.n_tokens for r in got.values())
